@@ -313,6 +313,6 @@ def filtered_index_rows(spark, sf):
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("exact_group_counts_of_workload", "SELECT event_type AS grp, COUNT(value)::DOUBLE AS value FROM events GROUP BY 1")
+@check("exact_count_no_predicate", "SELECT event_type AS grp, COUNT(value)::DOUBLE AS value FROM events GROUP BY 1")
 def no_predicate(spark, sf):
     return exact(catalog(spark, sf), AggQuery("COUNT", "value", "events", "event_type"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEMS, RATE, catalog, check, predicted_and_sizes, sampled, u,
+    FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEMS, RATE, catalog, check, mean, predicted_and_sizes, sampled, u,
 )
 from checks.generation import COLUMNS, impute_sql, item_fit, types_of
 from thingroups.operators import repair
 from thingroups.operators.generate import fit
 from thingroups.sources.catalog import scan_stored
+from thingroups.spec import AggQuery, Predicate
 
 BATCHES, SIZE = 4, 10
 
@@ -34,26 +35,33 @@ def supply_weights(spark, sf):
     return sizes.select("grp", "n", repair.supply_weight(F.col("n")).alias("weight"))
 
 
-def flagship_fit(cat):
-    return fit(scan_stored(cat, "events"), cat.spec("events"), "user_id", FLAGSHIP.predicates)
+# The measure is free here: it is filled in from the group's errors.
+SUPPLY = AggQuery("AVG", "value", "events", "user_id", (Predicate("event_type", "=", "error"),))
 
 
-def judged(cat):
-    sample = sampled(cat, FLAGSHIP)["events"]
-    _, sizes = predicted_and_sizes(cat)
+def supply_fit(cat):
+    return fit(scan_stored(cat, "events"), cat.spec("events"), "user_id", SUPPLY.predicates)
+
+
+def judged(cat, query=SUPPLY):
+    sample = sampled(cat, query)["events"]
+    _, sizes = predicted_and_sizes(cat, query)
     made = repair.generate_for(
-        sizes.select("grp"), FLAGSHIP.predicates, flagship_fit(cat), types_of(cat, "events"), cat.bounds("events"),
+        sizes.select("grp"), query.predicates, supply_fit(cat), types_of(cat, "events"), cat.bounds("events"),
         BATCHES * SIZE,
     )
     return repair.accept_by_cv(repair.batch_rows(made, SIZE), "value", repair.sample_moments(sample, "value"))
 
 
-JUDGED = f"""
-WITH s AS (SELECT user_id, value FROM events WHERE {FLAG_WHERE} AND {IN_SAMPLE}),
+def judged_sql(where, value):
+    """Batches of the sample's groups and their ratios; ``value`` is the generated measure."""
+    return f"""
+WITH s AS (SELECT user_id, value FROM events WHERE {where} AND {IN_SAMPLE}),
 base AS (SELECT COUNT(*) AS n0, avg(value) AS m, var_pop(value) * COUNT(*) AS ss0 FROM s),
-made AS (SELECT grp, CAST(ceil(i / {SIZE}.0) AS INTEGER) AS batch,
-  20.0::DOUBLE + {u('condition|42', "'value', grp, i")} * (hi - 20.0::DOUBLE) AS value
-  FROM (SELECT DISTINCT user_id AS grp FROM s), range(1, {BATCHES * SIZE + 1}) r(i), (SELECT max(value) AS hi FROM events)),
+fitted AS (SELECT user_id AS grp, {mean('value')} AS v FROM events WHERE event_type = 'error' GROUP BY 1),
+made AS (SELECT grp, CAST(ceil(i / {SIZE}.0) AS INTEGER) AS batch, {value} AS value
+  FROM (SELECT DISTINCT user_id AS grp FROM s) JOIN fitted USING (grp), range(1, {BATCHES * SIZE + 1}) r(i),
+   (SELECT max(value) AS hi FROM events)),
 sums AS (SELECT grp, batch, COUNT(*) AS n, SUM(value - m) AS s1, SUM((value - m) * (value - m)) AS s2 FROM made, base GROUP BY 1, 2),
 upto AS (SELECT grp, batch, n, s1, s2, SUM(n) OVER w AS cn, SUM(s1) OVER w AS c1, SUM(s2) OVER w AS c2 FROM sums
   WINDOW w AS (PARTITION BY grp ORDER BY batch)),
@@ -65,14 +73,26 @@ judged AS (SELECT *, cv_before - cv_after AS reward,
 """
 
 
-@check(
-    "supply_accept_by_cv",
-    JUDGED + "SELECT grp, batch, n, round(cv_before, 6) AS cv_before, round(cv_after, 6) AS cv_after,"
-    " round(reward, 6) AS reward, accepted FROM judged",
+JUDGED = judged_sql("event_type = 'error'", "v")
+DRAWN = judged_sql(FLAG_WHERE, f"20.0::DOUBLE + {u('condition|42', chr(39) + 'value' + chr(39) + ', grp, i')} * (hi - 20.0::DOUBLE)")
+SHOWN = (
+    " SELECT grp, batch, n, round(cv_before, 6) AS cv_before, round(cv_after, 6) AS cv_after,"
+    " round(reward, 6) AS reward, accepted FROM judged"
 )
+
+
+def shown(lines):
+    return lines.withColumns({c: F.round(c, 6) for c in ("cv_before", "cv_after", "reward")})
+
+
+@check("supply_accept_by_cv", JUDGED + SHOWN)
 def accept_by_cv(spark, sf):
-    rounded = {c: F.round(c, 6) for c in ("cv_before", "cv_after", "reward")}
-    return judged(catalog(spark, sf)).withColumns(rounded)
+    return shown(judged(catalog(spark, sf)))
+
+
+@check("supply_accept_by_cv_drawn", DRAWN + SHOWN)
+def accept_drawn(spark, sf):
+    return shown(judged(catalog(spark, sf), FLAGSHIP))
 
 
 @check(
@@ -89,8 +109,8 @@ def rewards(spark, sf):
 @check("dynamic_supply")
 def dynamic_supply(spark, sf):
     cat = catalog(spark, sf)
-    sample = sampled(cat, FLAGSHIP, RATE)["events"]
+    sample = sampled(cat, SUPPLY, RATE)["events"]
     rows, _ = repair.dynamic_supply(
-        sample, "user_id", "value", FLAGSHIP.predicates, flagship_fit(cat), types_of(cat, "events"), cat.bounds("events")
+        sample, "user_id", "value", SUPPLY.predicates, supply_fit(cat), types_of(cat, "events"), cat.bounds("events")
     )
     return rows

@@ -8,7 +8,6 @@ from checks.common import FLAG_WHERE, FLAGSHIP, STAR, catalog, check, folder, in
 from thingroups.operators.filters import drop_incomplete, route, where_all
 from thingroups.operators.generate import fit, load_or_fit, save_fit
 from thingroups.operators.relational import exact, filtered_frames, full_frames, matching_rows
-from thingroups.operators.score import group_errors
 from thingroups.sources.catalog import (
     fetch_by_locator, scan, scan_bernoulli, scan_stored, scan_with_locator,
 )

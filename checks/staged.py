@@ -92,7 +92,7 @@ def type_workload(spark, sf, name):
 def type_run(spark, sf, name):
     statements = type_workload(spark, sf, name).persist()
     run = StagedRun(catalog(spark, sf))
-    return run, statements, workloads.run_workload(run, statements)
+    return run, statements, workloads.run_workload(run, statements, parallel=4)
 
 
 @check(

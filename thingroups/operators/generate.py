@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -269,13 +270,14 @@ def impute_sampled(
 ) -> DataFrame:
     """Fill NULL cells from a fairly drawn real row, ``imputations`` times per row.
 
-    Each request draws a position among the complete rows of its cell (group and
+    Each request draws a position among the complete rows of its pool (group and
     equalities, else group, else all rows) and takes the open cells of the donor
-    there. All donors can be drawn; positions come from a distributed rank.
+    at that position. Every donor can be drawn.
     """
     columns = list(columns or spec.columns)
     key = key_parts(donors, spec)
-    whole = complete_rows(donors, columns).withColumn("donor_key", F.concat_ws("|", *key))
+    whole = complete_rows(donors, columns).select(*columns, F.concat_ws("|", *key).alias("donor_key"))
+    whole = whole.withColumn("donor_digest", digest(salted("donor_rank", seed), "donor_key"))
     requests = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(imputations))))
     requests = requests.withColumn("u", unit(salted("donor", seed), *request_key, F.col("k")))
     asked = rows.select(group).distinct()
@@ -288,33 +290,73 @@ def impute_sampled(
 
     open_requests, filled = requests, []
     for pool in pools:
-        sizes = pool.groupBy(F.col(group).alias("pool_grp")).agg(F.count(F.lit(1)).alias("pool_rows"))
-        sized = open_requests.join(sizes, F.col(group) == F.col("pool_grp"), "left").drop("pool_grp")
-        ready = sized.where(F.col("pool_rows").isNotNull()).withColumn(
-            "pick", (F.floor(F.col("u") * F.col("pool_rows")) + 1).cast("bigint")
-        )
-        open_requests = sized.where(F.col("pool_rows").isNull()).drop("pool_rows")
-        order = digest(salted("donor_rank", seed), "donor_key")
-        ranked = distributed_rank(pool.select(*columns, "donor_key"), [group], order, ["donor_key"], "donor_rank")
-        filled.append(_take(ready, ranked, columns, [F.col(group) == F.col(f"from_{group}")]))
+        pool = pool.withColumn("pool", F.col(group))
+        sizes = pool.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_rows"))
+        sized = open_requests.withColumn("pool", F.col(group)).join(sizes, "pool", "left")
+        ready = sized.where(F.col("pool_rows").isNotNull())
+        open_requests = sized.where(F.col("pool_rows").isNull()).drop("pool", "pool_rows")
+        filled.append(_from_donors(ready, pool, columns))
     if not open_requests.isEmpty():
-        total = whole.count()
-        ready = open_requests.withColumn("pick", (F.floor(F.col("u") * F.lit(total)) + 1).cast("bigint"))
-        order = digest(salted("donor_rank", seed), "donor_key")
-        ranked = distributed_rank(whole.select(*columns, "donor_key"), [], order, ["donor_key"], "donor_rank", 4)
-        filled.append(_take(ready, ranked, columns, []))
-    out = filled[0]
-    for more in filled[1:]:
-        out = out.unionByName(more)
-    return out.select(*rows.columns, "k")
-
-
-def _take(ready: DataFrame, ranked: DataFrame, columns: Sequence[str], on: list[Column]) -> DataFrame:
-    donor = ranked.select(*[F.col(c).alias(f"from_{c}") for c in columns], "donor_rank")
-    joined = ready.join(donor, [*on, F.col("pick") == F.col("donor_rank")])
-    kept = [c for c in ready.columns if c not in ("pick", "pool_rows", "u")]
+        # One pool of everything: requests are spread over copies of its cell list.
+        copies = F.pmod(F.xxhash64(*request_key, F.col("k")), F.lit(GLOBAL_COPIES)).cast("int")
+        ready = open_requests.withColumn("pool", copies).withColumn("pool_rows", F.lit(whole.count()))
+        filled.append(_from_donors(ready, whole, columns, GLOBAL_COPIES))
+    return reduce(DataFrame.unionByName, filled).select(*rows.columns, "k")
+
+
+# A pool falls into at most 16^4 cells by the leading digits of its digests.
+CELL_DIGITS = 4
+GLOBAL_COPIES = 32
+
+
+def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str], copies: int | None = None) -> DataFrame:
+    """Give each request the donor at position ``floor(u * pool_rows) + 1`` of its pool.
+
+    Positions follow the donor digests. Donors are only counted per cell at
+    first; a request is matched to the cell its position falls into, and none
+    but these cells are ranked row by row.
+    """
+    by = ["pool"] if copies is None else []
+    pool = pool.withColumn("cell", F.substring("donor_digest", 1, CELL_DIGITS))
+    counts = pool.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
+    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "cell", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("start"))
+    if copies is not None:
+        starts = starts.withColumn("pool", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+
+    # As-of match of positions to cell starts: sort both together, carry the cell on.
+    position = (F.floor(F.col("u") * F.col("pool_rows")) + 1).cast("bigint")
+    carried = [c for c in requests.columns if c not in ("pool", "pool_rows", "u")]
+    asks = requests.select(
+        "pool",
+        position.alias("place"),
+        F.lit(None).cast("string").alias("cell"),
+        F.lit(None).cast("bigint").alias("start"),
+        F.struct(*carried).alias("request"),
+    )
+    marks = starts.select(
+        "pool", (F.col("start") + 1).alias("place"), "cell", "start",
+        F.lit(None).cast(asks.schema["request"].dataType).alias("request"),
+    )
+    along = Window.partitionBy("pool").orderBy("place", F.col("request").isNotNull()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    placed = (
+        marks.unionByName(asks)
+        .withColumn("in_cell", F.last("cell", ignorenulls=True).over(along))
+        .withColumn("from_start", F.last("start", ignorenulls=True).over(along))
+        .where(F.col("request").isNotNull())
+        .select("pool", F.col("in_cell").alias("cell"), (F.col("place") - F.col("from_start")).alias("within"), "request.*")
+    )
+    inner = Window.partitionBy(*by, "cell").orderBy("donor_digest", "donor_key")
+    ranked = (
+        pool.join(placed.select(*by, "cell").distinct(), [*by, "cell"], "left_semi")
+        .withColumn("within", F.row_number().over(inner))
+        .select(*by, "cell", "within", *[F.col(c).alias(f"from_{c}") for c in columns])
+    )
+    joined = placed.join(ranked, [*by, "cell", "within"])
     return joined.select(
-        *[F.coalesce(F.col(c), F.col(f"from_{c}")).alias(c) if c in columns else F.col(c) for c in kept]
+        *[F.coalesce(F.col(c), F.col(f"from_{c}")).alias(c) if c in columns else F.col(c) for c in carried]
     )
 
 

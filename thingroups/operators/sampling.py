@@ -18,6 +18,8 @@ TOPUP_SALT = "topup"
 # Above this many rows the cell that holds a cut is split once more by its next
 # hex digits before single digests are counted.
 CELL_ROWS = 65_536
+# A list of this many group keys is small enough to be sent to every executor.
+SMALL_LIST = 100_000
 
 
 # --- uniform samples -------------------------------------------------------
@@ -162,22 +164,33 @@ def rare_groups(predicted: DataFrame, sizes: DataFrame, wanted: int) -> DataFram
 
 
 def topup_rows(
-    candidates: DataFrame, group: str, rare: DataFrame, wanted: int, key: list[Column], seed: int = 42
+    candidates: DataFrame,
+    group: str,
+    rare: DataFrame,
+    wanted: int,
+    key: list[Column],
+    seed: int = 42,
+    n_rare: int | None = None,
 ) -> DataFrame:
     """Up to ``need`` random candidate rows for every rare group, all groups in one job.
 
-    ``need`` never exceeds ``wanted``, and saying so lets Spark drop all but
-    ``wanted`` rows a group before the shuffle, however large the group is.
+    Rows are ranked before they meet the needs: a need never exceeds ``wanted``,
+    so each task drops all but ``wanted`` rows of a group before the shuffle, and
+    a group with a third of all rows costs no more than any other. If the number
+    of rare groups is known and small, other groups are dropped even before that.
     """
-    needs = rare.select(F.col("grp").alias(group), "need")
+    if n_rare is not None and n_rare <= SMALL_LIST:
+        listed = rare.select(F.col("grp").alias(group))
+        candidates = candidates.join(F.broadcast(listed), group, "left_semi").select(*candidates.columns)
     order = Window.partitionBy(group).orderBy("draw", "draw_key")
     ranked = (
         candidates.withColumn("draw", digest(salted(TOPUP_SALT, seed), *key))
         .withColumn("draw_key", F.concat_ws("|", *key))
-        .join(needs, group)
         .withColumn("draw_rank", F.row_number().over(order))
+        .where(F.col("draw_rank") <= wanted)
     )
-    taken = ranked.where((F.col("draw_rank") <= wanted) & (F.col("draw_rank") <= F.col("need")))
+    needs = rare.select(F.col("grp").alias(group), "need")
+    taken = ranked.join(needs, group).where(F.col("draw_rank") <= F.col("need"))
     return taken.select(*candidates.columns)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,10 @@ class StagedRun:
         return {f.name: f.dataType for f in self.catalog.frame(query.table).schema.fields}
 
     def run(self, query: AggQuery, synthetic_only: bool = False, truth: DataFrame | None = None) -> dict:
+        """Metrics of one query; runs of several threads do not share state."""
+        return copy(self)._run(query, synthetic_only, truth)
+
+    def _run(self, query: AggQuery, synthetic_only: bool, truth: DataFrame | None) -> dict:
         self.metrics: dict = {}
         self._held: list[DataFrame] = []
         try:
@@ -163,7 +168,9 @@ class StagedRun:
         if not cfg.allow_duplicates:
             # Membership of the sample is a function of the key: no anti-join.
             candidates = candidates.where(~in_sample(candidates, spec, cfg.sample_rate, cfg.seed))
-        drawn = topup_rows(candidates, query.group, rare, cfg.topup_rows, key, cfg.seed)
+        drawn = topup_rows(
+            candidates, query.group, rare, cfg.topup_rows, key, cfg.seed, self.metrics["num_of_rare_groups"]
+        )
         return union_rows(frames[query.table], drawn)
 
     def _run_repaired(self, query: AggQuery) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thingroups.operators.relational import exact, matching_rows
@@ -36,13 +38,17 @@ def run_workload(
     truth_folder: str | None = None,
     dataset: str = "",
     synthetic_only: bool = False,
+    parallel: int = 1,
 ) -> DataFrame:
-    """One metric row per statement; a failing statement is recorded and skipped over."""
-    rows = []
-    counters: dict[str, int] = {}
-    for line, query in queries_of(run, statements):
-        idx = counters.get(line["workload"], 0)
-        counters[line["workload"]] = idx + 1
+    """One metric row per statement; a failing statement is recorded and skipped over.
+
+    With ``parallel`` several statements are submitted at a time: their jobs are
+    small, and Spark runs those of different threads side by side. Measured
+    seconds then include waiting for the others.
+    """
+
+    def one(item) -> dict:
+        idx, line, query = item
         record = {k: line[k] for k in ("workload", "sql", "n_predicates")}
         record["idx"] = idx
         try:
@@ -53,11 +59,29 @@ def run_workload(
                 write_truth(exact(run.catalog, query), truth_folder, dataset, line["workload"], idx)
         except Exception as problem:  # noqa: BLE001 - the workload goes on
             record["error"] = f"{type(problem).__name__}: {problem}".splitlines()[0]
-        rows.append(record)
+        return record
+
+    items = numbered(queries_of(run, statements))
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(one, items))
+    else:
+        rows = [one(item) for item in items]
     return metric_frame(run.catalog.spark, rows, EXTRA)
 
 
-def final_error() -> F.Column:
+def numbered(lines: list[tuple[dict, AggQuery | Exception]]) -> list[tuple[int, dict, AggQuery | Exception]]:
+    """Position of each statement within its workload, from 0."""
+    counters: dict[str, int] = {}
+    out = []
+    for line, query in lines:
+        idx = counters.get(line["workload"], 0)
+        counters[line["workload"]] = idx + 1
+        out.append((idx, line, query))
+    return out
+
+
+def final_error() -> Column:
     """The error of the last stage a query went through."""
     return F.coalesce("re_after_dynamic_supply", "re")
 
@@ -74,10 +98,8 @@ def by_predicate_count(metrics: DataFrame) -> DataFrame:
 def selectivities(run: StagedRun, statements: DataFrame) -> DataFrame:
     """Share of fact rows each statement selects: ``(workload, idx, selectivity)``."""
     totals: dict[str, int] = {}
-    rows, counters = [], {}
-    for line, query in queries_of(run, statements):
-        idx = counters.get(line["workload"], 0)
-        counters[line["workload"]] = idx + 1
+    rows = []
+    for idx, line, query in numbered(queries_of(run, statements)):
         if isinstance(query, Exception):
             continue
         if query.table not in totals:

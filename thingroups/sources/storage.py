@@ -61,11 +61,11 @@ class BitmapIndex:
         closed: bool = False,
         layout: str = "adaptive",
         seed: int = 42,
-        files_per_column: int = 8,
+        rows_per_file: int = 64_000_000,
     ):
         self.catalog, self.table, self.bins, self.closed, self.layout = catalog, table, bins, closed, layout
         self.spec = catalog.spec(table)
-        self.seed, self.files_per_column = seed, files_per_column
+        self.seed, self.rows_per_file = seed, rows_per_file
         base = f"{folder}/index/{catalog.name}/{table}_{self.spec.index_rate}_{seed}"
         self.rows_path = f"{base}/rows"
         self.bitmaps_path = f"{base}/bitmaps_{bins}_{'closed' if closed else 'open'}_{layout}"
@@ -82,10 +82,15 @@ class BitmapIndex:
         return bitmaps.build(lines, self.layout)
 
     def write(self) -> DataFrame:
-        """One folder per column; within a file sorted by value, so that a value
-        lookup skips row groups, and spread by bucket, so that a hot value is not
-        in one file."""
-        spread = F.pmod(F.col("bucket"), F.lit(self.files_per_column))
+        """One folder per column, with as many files as the row count asks for.
+
+        Within a file containers are sorted by value, so that a value lookup
+        skips row groups; files are filled by bucket, so that a hot value is
+        spread over all of them."""
+        if is_written(self.catalog.spark, self.bitmaps_path):
+            return self.read()
+        files = max(1, -(-self.write_rows().count() // self.rows_per_file))
+        spread = F.pmod(F.xxhash64("bucket"), F.lit(files))
         arranged = (
             self.containers()
             .repartition("column", spread)
