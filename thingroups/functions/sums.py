@@ -33,5 +33,6 @@ def spread_ratio(n: Column, s1: Column, s2: Column, center: Column) -> Column:
     ``n`` rows, ``s1`` the sum and ``s2`` the sum of squares of ``x - center``.
     NULL below two rows or at mean zero, so that a comparison with it fails.
     """
-    variance = (s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0))
-    return F.sqrt(F.greatest(variance, F.lit(0.0))) / F.nullif(center + s1 / n, F.lit(0.0))
+    rows = F.nullif(n, F.lit(0))
+    variance = (s2 - s1 * s1 / rows) / F.nullif(n - 1, F.lit(0))
+    return F.sqrt(F.greatest(variance, F.lit(0.0))) / F.nullif(center + s1 / rows, F.lit(0.0))

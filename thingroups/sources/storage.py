@@ -13,6 +13,9 @@ from thingroups.operators import bitmaps
 from thingroups.sources.catalog import Catalog, scan_bernoulli
 
 
+_local_folders: dict[str, str] = {}
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a local one only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,9 +23,10 @@ def scratch_folder(spark: SparkSession) -> str:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="thingroups-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="thingroups-")
+    return _local_folders[application]
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
