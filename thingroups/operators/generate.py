@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -168,7 +168,8 @@ def _level(rows: DataFrame, spec: TableSpec, columns: Sequence[str], group: str
     if group is None:
         # Two one-row frames side by side.
         return fitted.withColumn("one", F.lit(1)).join(modes.withColumn("one", F.lit(1)), "one").drop("one")
-    return fitted.join(modes, "grp")
+    # Left, so that the whole counting side is dropped when no mode is asked for.
+    return fitted.join(modes, "grp", "left")
 
 
 @dataclass
@@ -182,6 +183,19 @@ class Fit:
     by_group: DataFrame
     overall: DataFrame
 
+    @cached_property
+    def overall_values(self) -> dict:
+        """One value per column, fetched once however often rows are filled."""
+        return self.overall.first().asDict()
+
+    def for_groups(self, names: Sequence) -> "Fit":
+        """The same fit for a short list of groups; the list reaches the scan."""
+        only = F.col("grp").isin(list(names))
+        by_equal = None if self.by_equal is None else self.by_equal.where(only)
+        short = Fit(self.spec, self.group, self.columns, by_equal, self.by_group.where(only), self.overall)
+        short.__dict__["overall_values"] = self.overall_values
+        return short
+
 
 def complete_rows(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.na.drop(subset=list(columns))
@@ -193,13 +207,18 @@ def fit(
     group: str,
     predicates: Sequence[Predicate] = (),
     columns: Sequence[str] | None = None,
+    fill: Sequence[str] | None = None,
 ) -> Fit:
-    """Learn the conditional statistics from rows without NULLs."""
+    """Learn the conditional statistics from rows without NULLs in ``columns``.
+
+    ``fill`` names the columns that will have open cells, by default all.
+    """
     columns = list(columns or spec.columns)
+    fill = columns if fill is None else list(fill)
     data = complete_rows(rows, columns).select(*columns)
     equal = [p for p in predicates if not p.is_range and p.column in columns and p.column != group]
-    by_equal = _level(where_all(data, equal, spec), spec, columns, group) if equal else None
-    return Fit(spec, group, columns, by_equal, _level(data, spec, columns, group), _level(data, spec, columns, None))
+    by_equal = _level(where_all(data, equal, spec), spec, fill, group) if equal else None
+    return Fit(spec, group, columns, by_equal, _level(data, spec, fill, group), _level(data, spec, fill, None))
 
 
 def save_fit(fitted: Fit, folder: str) -> Fit:
@@ -243,7 +262,7 @@ def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
     """
     group, columns = fitted.group, fitted.columns
     types = {f.name: f.dataType for f in rows.schema.fields}
-    overall = fitted.overall.first()  # one value per column
+    overall = fitted.overall_values
     levels = [(f, p) for f, p in ((fitted.by_equal, "eq_"), (fitted.by_group, "grp_")) if f is not None]
     for frame, prefix in levels:
         shown = frame.select(*[F.col(c).alias(prefix + c) for c in frame.columns])
@@ -251,7 +270,7 @@ def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
     cells = {}
     for c in columns:
         options = [F.col(prefix + c) for frame, prefix in levels if c in frame.columns]
-        if c in overall.asDict():
+        if c in overall:
             options.append(F.lit(overall[c]))
         cells[c] = F.coalesce(F.col(c), *[o.cast(types[c]) for o in options]) if options else F.col(c)
     return rows.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in types])

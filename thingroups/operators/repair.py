@@ -194,7 +194,7 @@ def dynamic_supply(
     names = sorted({r["grp"] for r in race})
     listed = spark.createDataFrame([(g,) for g in names], T.StructType([T.StructField("grp", types[group])]))
     made = batch_rows(
-        generate_for(listed, predicates, fitted, types, bounds, max_batches * size, seed), size
+        generate_for(listed, predicates, fitted.for_groups(names), types, bounds, max_batches * size, seed), size
     )
     judged = {}
     if names:

@@ -95,7 +95,10 @@ class StagedRun:
         used = {query.group, query.measure, *(p.column for p in query.predicates)}
         if query.join is not None:
             used.add(query.join.fact_key)
-        return fit(rows, spec, query.group, query.predicates, [c for c in spec.columns if c in used])
+        columns = [c for c in spec.columns if c in used]
+        # A conditioned cell is known in every generated row and needs no fit.
+        known = {query.group, *(p.column for p in query.predicates)}
+        return fit(rows, spec, query.group, query.predicates, columns, [c for c in columns if c not in known])
 
     def _types(self, query: AggQuery):
         return {f.name: f.dataType for f in self.catalog.frame(query.table).schema.fields}
