@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import FLAGSHIP, ITEMS, STAR, STAR_COUNT, TAIL_COUNTS, TAIL, TAIL_TRUTH, catalog, check, folder, index_of
+from checks.common import (
+    ESTIMATE, FLAG_COUNTS, FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_KEY, ITEM_WHERE, ITEMS,
+    STAR, STAR_COUNT, STAR_COUNT_FROM, TAIL, TAIL_COUNTS, TRUTH, bounds, catalog, check, folder, h, index_of, mean,
+    total, u, weight,
+)
+from checks.repair import SUPPLY
 from checks.scans import statement_lines
-from checks.scoring import RATIOS, TAIL_ALIGNED
+from checks.scoring import ALIGNED, RATIOS, TAIL_ALIGNED
 from thingroups.plans import workloads
 from thingroups.plans.staged import StagedRun, metric_frame
 from thingroups.sources.workload import profile, profile_summary, read_workload
@@ -23,14 +28,102 @@ def one_run(spark, sf, query, config=RunConfig(), table=None, synthetic_only=Fal
     return without_seconds(metric_frame(spark, [{"idx": 0, **run.run(query, synthetic_only)}]))
 
 
-@check("staged_avg")
+def scored_sql(truth, estimate, name):
+    """Error and precision / recall of one estimate, as a row."""
+    aligned = ALIGNED.replace(f"({TRUTH})", f"({truth})").replace(f"({ESTIMATE})", f"({estimate})")
+    return f"(WITH {aligned} SELECT round({RATIOS[name]}, 6) FROM aligned)"
+
+
+def stages_sql(parts):
+    return ", ".join(f"{value} AS {name}" for name, value in parts.items())
+
+
+def rounded(row, columns):
+    return row.select(*[F.round(c, 6).alias(c) if c.startswith(("re", "pre")) else F.col(c) for c in columns])
+
+
+def topup_sql(table, where, key, in_sample, group, wanted):
+    """CTEs: sample rows, rare groups, and the sample with its top-up rows."""
+    return f"""smp AS (SELECT * FROM {table} WHERE {where} AND {in_sample}),
+    rare AS (SELECT c.grp, {wanted} - coalesce(s.n, 0) AS need FROM counts c
+      LEFT JOIN (SELECT {group} AS grp, COUNT(*) AS n FROM smp GROUP BY 1) s ON c.grp = s.grp WHERE coalesce(s.n, 0) < {wanted}),
+    whole AS (SELECT * FROM smp UNION ALL SELECT * EXCLUDE (need, rn) FROM (
+      SELECT t.*, need, row_number() OVER (PARTITION BY {group} ORDER BY {h('topup|42', key)}, {key}) AS rn
+      FROM {table} t JOIN rare ON {group} = grp WHERE {where} AND NOT {in_sample}) WHERE rn <= need)"""
+
+
+AVG_WHOLE = f"SELECT user_id AS grp, {mean('value')} AS value FROM whole GROUP BY 1"
+AVG_STAGES = {
+    "num_of_rare_groups": "(SELECT COUNT(*) FROM rare)",
+    "re_with_samples": scored_sql(TRUTH, ESTIMATE, "relative_error"),
+    "re_after_sampling_rare_groups": scored_sql(TRUTH, AVG_WHOLE, "relative_error"),
+    "precision": scored_sql(TRUTH, AVG_WHOLE, "precision"),
+    "recall": scored_sql(TRUTH, AVG_WHOLE, "recall"),
+}
+
+
+# What the supply stage adds to groups does not change which groups there are,
+# so precision and recall of the last stage are those after the top-up.
+@check(
+    "staged_avg",
+    f"WITH {FLAG_COUNTS}, {topup_sql('events', FLAG_WHERE, 'event_id', IN_SAMPLE, 'user_id', 5)} SELECT {stages_sql(AVG_STAGES)}",
+)
 def staged_avg(spark, sf):
-    return one_run(spark, sf, FLAGSHIP, RunConfig(topup_rows=5), "events")
+    return rounded(one_run(spark, sf, FLAGSHIP, RunConfig(topup_rows=5), "events"), list(AVG_STAGES))
+
+
+ITEM_TRUTH = f"SELECT l_partkey AS grp, {total('l_extendedprice')} AS value FROM lineitem WHERE {ITEM_WHERE} GROUP BY 1"
+SUM_WHOLE = (
+    f"SELECT w.grp, w.v * est_count AS value FROM (SELECT l_partkey AS grp, {mean('l_extendedprice')} AS v FROM whole"
+    " GROUP BY 1) w JOIN counts ON w.grp = counts.grp"
+)
+SUM_STAGES = {
+    "num_of_rare_groups": "(SELECT COUNT(*) FROM rare)",
+    "re_after_sampling_rare_groups": scored_sql(ITEM_TRUTH, SUM_WHOLE, "relative_error"),
+    "precision": scored_sql(ITEM_TRUTH, SUM_WHOLE, "precision"),
+    "recall": scored_sql(ITEM_TRUTH, SUM_WHOLE, "recall"),
+}
+
+
+@check(
+    "staged_sum",
+    f"WITH {ITEM_COUNTS}, {topup_sql('lineitem', ITEM_WHERE, ITEM_KEY, ITEM_IN_SAMPLE, 'l_partkey', 5)}"
+    f" SELECT {stages_sql(SUM_STAGES)}",
+)
+def staged_sum(spark, sf):
+    return rounded(one_run(spark, sf, ITEMS, RunConfig(topup_rows=5)), list(SUM_STAGES))
+
+
+DRAWN = f"20.0::DOUBLE + {u('condition|42', chr(39) + 'value' + chr(39) + ', grp, i')} * (hi - 20.0::DOUBLE)"
 
 
-@check("staged_avg_generated")
+def generated_sql(groups):
+    """Ten rows for each of the groups, errors above 20."""
+    return (
+        f"SELECT grp AS user_id, {DRAWN} AS value FROM ({groups}), range(1, 11) r(i),"
+        " (SELECT max(value) AS hi FROM events)"
+    )
+
+
+MISSING = "SELECT grp FROM counts WHERE grp NOT IN (SELECT user_id FROM smp)"
+GEN_WHOLE = (
+    f"SELECT user_id AS grp, {mean('value')} AS value FROM (SELECT user_id, value FROM smp"
+    f" UNION ALL {generated_sql(MISSING)}) WHERE value > 20 GROUP BY 1"
+)
+GEN_STAGES = {
+    "num_of_missing_groups": f"(SELECT COUNT(*) FROM ({MISSING}))",
+    "re_with_samples": scored_sql(TRUTH, ESTIMATE, "relative_error"),
+    "re_after_supply_missing_groups": scored_sql(TRUTH, GEN_WHOLE, "relative_error"),
+    "recall": scored_sql(TRUTH, GEN_WHOLE, "recall"),
+}
+
+
+@check(
+    "staged_avg_generated",
+    f"WITH {FLAG_COUNTS}, smp AS (SELECT * FROM events WHERE {FLAG_WHERE} AND {IN_SAMPLE}) SELECT {stages_sql(GEN_STAGES)}",
+)
 def staged_avg_generated(spark, sf):
-    return one_run(spark, sf, FLAGSHIP, RunConfig(repair="generate"), "events")
+    return rounded(one_run(spark, sf, FLAGSHIP, RunConfig(repair="generate"), "events"), list(GEN_STAGES))
 
 
 @check("staged_avg_join")
@@ -38,9 +131,9 @@ def staged_avg_join(spark, sf):
     return one_run(spark, sf, STAR, RunConfig(topup_rows=5))
 
 
-@check("staged_sum")
-def staged_sum(spark, sf):
-    return one_run(spark, sf, ITEMS, RunConfig(topup_rows=5))
+@check("staged_avg_supplied")
+def staged_avg_supplied(spark, sf):
+    return one_run(spark, sf, SUPPLY, RunConfig(topup_rows=5))
 
 
 @check(
@@ -54,14 +147,37 @@ def staged_count(spark, sf):
     return row.select(*[F.round(c, 6).alias(c) for c in ("re", "precision", "recall", "missing_rate", "out_rate")])
 
 
-@check("staged_count_join")
+COUNT_TRUTH = f"SELECT l_suppkey AS grp, COUNT(l_quantity)::DOUBLE AS value FROM {STAR_COUNT_FROM} GROUP BY 1"
+COUNT_ESTIMATE = (
+    f"SELECT * FROM (SELECT l_suppkey AS grp, SUM({weight('l_extendedprice', '<', 20000)}) AS value FROM lineitem, b"
+    " WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1) WHERE value > 0"
+)
+COUNT_STAGES = {
+    "re": scored_sql(COUNT_TRUTH, COUNT_ESTIMATE, "relative_error"),
+    "precision": scored_sql(COUNT_TRUTH, COUNT_ESTIMATE, "precision"),
+    "recall": scored_sql(COUNT_TRUTH, COUNT_ESTIMATE, "recall"),
+}
+
+
+@check("staged_count_join", f"WITH {bounds('lineitem', 'l_extendedprice')} SELECT {stages_sql(COUNT_STAGES)}")
 def staged_count_join(spark, sf):
-    return one_run(spark, sf, STAR_COUNT, table="lineitem")
+    return rounded(one_run(spark, sf, STAR_COUNT, table="lineitem"), list(COUNT_STAGES))
 
 
-@check("staged_avg_synthetic")
+SYNTHETIC = (
+    f"SELECT user_id AS grp, {mean('value')} AS value FROM"
+    f" ({generated_sql('SELECT DISTINCT user_id AS grp FROM events')}) WHERE value > 20 GROUP BY 1"
+)
+SYNTHETIC_STAGES = {
+    "re_after_dynamic_supply": scored_sql(TRUTH, SYNTHETIC, "relative_error"),
+    "precision": scored_sql(TRUTH, SYNTHETIC, "precision"),
+    "recall": scored_sql(TRUTH, SYNTHETIC, "recall"),
+}
+
+
+@check("staged_avg_synthetic", f"SELECT {stages_sql(SYNTHETIC_STAGES)}")
 def staged_avg_synthetic(spark, sf):
-    return one_run(spark, sf, FLAGSHIP, synthetic_only=True)
+    return rounded(one_run(spark, sf, FLAGSHIP, synthetic_only=True), list(SYNTHETIC_STAGES))
 
 
 @check("metric_row")
@@ -124,13 +240,37 @@ def workload_profile(spark, sf):
     return profile_summary(profile(both))
 
 
-@check("workload_by_predicate_count")
+def workload_errors_sql():
+    """CTE ``errors``: selectivity and mean count error of every statement that runs."""
+    tails = {1: ("TRUE", "1.0::DOUBLE"), 2: ("value > 20", weight("value", ">", 20)),
+             3: ("value > 20 AND user_id < 90", f"{weight('value', '>', 20)} * (user_id < 90)::INT")}
+    parts = " UNION ALL ".join(
+        f"SELECT event_type, {n} AS n_predicates, user_id, SUM(({raw})::INT)::DOUBLE AS t, SUM({est}) AS e FROM events, b GROUP BY 1, 3"
+        for n, (raw, est) in tails.items()
+    )
+    return (
+        f"WITH {bounds('events', 'value')}, per_group AS ({parts}), errors AS (SELECT event_type, n_predicates,"
+        " SUM(t) / (SELECT COUNT(*) FROM events) AS selectivity, avg(CASE WHEN t = 0 OR e = 0 THEN 1.0::DOUBLE"
+        " ELSE least(1.0::DOUBLE, abs(t - e) / (t + 1e-8::DOUBLE)) END) AS err FROM per_group WHERE t > 0 OR e > 0 GROUP BY 1, 2)"
+    )
+
+
+@check(
+    "workload_by_predicate_count",
+    workload_errors_sql() + " SELECT n_predicates, COUNT(*) AS n_statements, round(avg(err), 6) AS mean_error FROM errors GROUP BY 1",
+)
 def by_predicate_count(spark, sf):
     _, _, metrics = type_run(spark, sf, "by_count")
-    return workloads.by_predicate_count(metrics)
+    return workloads.by_predicate_count(metrics).withColumn("mean_error", F.round("mean_error", 6))
 
 
-@check("workload_by_selectivity")
+@check(
+    "workload_by_selectivity",
+    workload_errors_sql() + " SELECT selectivity_class, COUNT(*) AS n_statements, round(avg(selectivity), 6) AS mean_selectivity,"
+    " round(avg(err), 6) AS mean_error FROM (SELECT *, ntile(4) OVER (ORDER BY selectivity DESC, event_type, n_predicates)"
+    " AS selectivity_class FROM errors) GROUP BY 1",
+)
 def by_selectivity(spark, sf):
     run, statements, metrics = type_run(spark, sf, "by_selectivity")
-    return workloads.by_selectivity(metrics, workloads.selectivities(run, statements))
+    found = workloads.by_selectivity(metrics, workloads.selectivities(run, statements))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_selectivity", "mean_error")})

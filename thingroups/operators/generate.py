@@ -255,6 +255,9 @@ def load_or_fit(
 # --- imputing -----------------------------------------------------------------
 
 
+SCATTER = 1024
+
+
 def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
     """Fill NULL cells with the mean / most frequent value; known cells stay.
 
@@ -264,9 +267,13 @@ def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
     types = {f.name: f.dataType for f in rows.schema.fields}
     overall = fitted.overall_values
     levels = [(f, p) for f, p in ((fitted.by_equal, "eq_"), (fitted.by_group, "grp_")) if f is not None]
+    # Rows without a group match nothing; a second key spreads them over tasks.
+    scatter = F.pmod(F.xxhash64(*columns), F.lit(SCATTER)) + 1
+    rows = rows.withColumn("scatter", F.when(F.col(group).isNull(), scatter).otherwise(F.lit(0).cast("bigint")))
     for frame, prefix in levels:
-        shown = frame.select(*[F.col(c).alias(prefix + c) for c in frame.columns])
-        rows = rows.join(shown, F.col(group) == F.col(f"{prefix}grp"), "left")
+        shown = frame.select(*[F.col(c).alias(prefix + c) for c in frame.columns], F.lit(0).cast("bigint").alias(f"{prefix}at"))
+        on = (F.col(group) == F.col(f"{prefix}grp")) & (F.col("scatter") == F.col(f"{prefix}at"))
+        rows = rows.join(shown, on, "left")
     cells = {}
     for c in columns:
         options = [F.col(prefix + c) for frame, prefix in levels if c in frame.columns]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from thingroups.functions.draws import digest, keep, salted, unit_open
 from thingroups.operators.relational import filtered_frames
 from thingroups.sources.catalog import Catalog, key_parts, scan_stored
+from thingroups.sources.storage import write_once
 from thingroups.spec import AggQuery, TableSpec
 
 SAMPLE_SALT = "u1"
@@ -128,8 +129,7 @@ def cached_sample(
             frames[table] = frames[table].persist()
         else:
             path = f"{folder}/sample/{catalog.name}/{table}_{rate}_{seed}"
-            frames[table].write.mode("ignore").parquet(path)
-            frames[table] = catalog.spark.read.parquet(path)
+            frames[table] = write_once(frames[table], path)
     return frames
 
 

@@ -22,7 +22,8 @@ class TableSpec:
     ``int`` and ``str`` columns are categorical, ``num`` columns continuous.
     ``scales`` gives the number of decimal places of a ``num`` column; sums of
     such a column are taken in decimal, so that they do not depend on the order
-    in which tasks deliver their parts.
+    in which tasks deliver their parts. A generated value counts with as many
+    decimals as a stored one.
     """
 
     name: str
