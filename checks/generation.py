@@ -195,7 +195,7 @@ def most_probable(spark, sf):
 
 
 DONOR_SQL = f"""
-WITH asked AS (SELECT DISTINCT user_id FROM events WHERE value > 200),
+WITH asked AS (SELECT DISTINCT user_id FROM events),
 pool AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY {h('donor_rank|42', 'event_id')}, event_id) AS r,
   COUNT(*) OVER (PARTITION BY user_id) AS n FROM events e WHERE event_type = 'error' AND user_id IN (SELECT * FROM asked)),
 rest AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY {h('donor_rank|42', 'event_id')}, event_id) AS r,
@@ -210,7 +210,7 @@ FROM req LEFT JOIN pool p ON p.user_id = req.user_id AND p.r = floor(u * p.n) +
 @check("impute_sampled", DONOR_SQL)
 def sampled_fill(spark, sf):
     cat = catalog(spark, sf)
-    asked = cat.frame("events").where("value > 200").select("user_id").distinct()
+    asked = cat.frame("events").select("user_id").distinct()
     rows = asked.select("user_id", F.lit("error").alias("event_type"), F.lit(None).cast("double").alias("value"))
     return generate.impute_sampled(
         rows, scan_stored(cat, "events"), cat.spec("events"), "user_id", ["user_id"],
@@ -220,7 +220,8 @@ def sampled_fill(spark, sf):
 
 @check(
     "accept_reject_rows",
-    f"""WITH made AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 OR event_type = 'view'),
+    f"""WITH made AS (SELECT event_id, user_id, event_type FROM events
+      UNION ALL SELECT -1 - event_id, user_id, event_type FROM events WHERE event_type = 'view'),
     d AS (SELECT event_type, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS t FROM events GROUP BY 1),
     m AS (SELECT event_type, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS t FROM made GROUP BY 1)
     SELECT made.* FROM made JOIN m USING (event_type) JOIN d USING (event_type)
@@ -229,7 +230,9 @@ def sampled_fill(spark, sf):
 def accept(spark, sf):
     cat = catalog(spark, sf)
     data = cat.frame("events").select("event_id", "user_id", "event_type")
-    made = data.where("event_id % 2 = 0 or event_type = 'view'")
+    # Everything once and the views a second time: too many views were made.
+    again = data.where("event_type = 'view'").withColumn("event_id", F.lit(-1) - F.col("event_id"))
+    made = data.unionByName(again)
     return generate.accept_by_density(made, data, "event_type", ["event_id"])
 
 

@@ -10,7 +10,7 @@ from thingroups.plans import workloads
 from thingroups.plans.staged import StagedRun, metric_frame
 from thingroups.sources import datasets
 from thingroups.sources.catalog import fetch_by_locator, scan_bernoulli, scan_with_locator
-from thingroups.sources.storage import formatted, read_truth, scratch_folder
+from thingroups.sources.storage import cut, formatted, read_truth, scratch_folder
 from thingroups.sources.workload import profile, read_workload, to_query
 
 
@@ -84,6 +84,42 @@ def test_saved_answers_replay(spark):
     assert again["re"] == pytest.approx(metrics["re"]) and "ground_truth_latency" not in again
 
 
+def test_scratch_folder_is_the_shared_one(spark):
+    assert scratch_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    small = cut(spark.range(5).withColumn("x", F.rand(1)))
+    assert "Range" not in physical(small) and small.collect() == small.collect()
+
+
+def test_hot_key_answers(spark, hot_cat):
+    """A third of all rows in one group and on one key, against plain pandas."""
+    query = AggQuery("SUM", "x", "f", "g", (Predicate("n", "=", "even"), Predicate("x", ">=", 100)), JoinSpec("d", "k", "dk"))
+    fact, dim = hot_cat.frame("f").toPandas(), hot_cat.frame("d").toPandas()
+    rows = fact.merge(dim, left_on="k", right_on="dk")
+    rows = rows[(rows.n == "even") & (rows.x >= 100)]
+    assert {r["grp"]: r["value"] for r in relational.exact(hot_cat, query).collect()} == rows.groupby("g").x.sum().to_dict()
+    metrics = StagedRun(hot_cat, RunConfig(topup_rows=1_000_000, count_mode="exact")).run(query)
+    assert metrics["re_after_sampling_rare_groups"] == pytest.approx(0, abs=1e-9)
+    few = StagedRun(hot_cat, RunConfig(topup_rows=4, count_mode="exact")).run(query)
+    assert few["recall"] == 1.0 and few["re_after_sampling_rare_groups"] < 0.5
+
+
+@pytest.fixture(scope="module")
+def hot_cat(spark):
+    i = F.col("id")
+    fact = spark.range(30_000).select(
+        "id",
+        F.when(i % 3 == 0, -1).otherwise(i % 211).alias("g"),
+        F.when(i % 3 == 1, 0).otherwise(i % 50).alias("k"),
+        (i * 7919 % 1009).cast("double").alias("x"),
+    )
+    dim = spark.range(50).select(i.alias("dk"), F.when(i % 2 == 0, "even").otherwise("odd").alias("n"))
+    specs = {
+        "f": datasets.TableSpec("f", {"g": "int", "k": "int", "x": "num"}, ("id",), True, scales={"x": 0}),
+        "d": datasets.TableSpec("d", {"dk": "int", "n": "str"}, ("dk",)),
+    }
+    return Catalog(spark, specs, {"f": fact.persist(), "d": dim}, "hot")
+
+
 # --- workload text -----------------------------------------------------------------------
 
 

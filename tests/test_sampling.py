@@ -1,10 +1,9 @@
 from hashlib import md5
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from thingroups.functions.draws import digest, keep, salted, unit
+from thingroups.functions.draws import digest, keep, unit
 from thingroups.operators import sampling
 from thingroups.operators.relational import group_sizes
 from thingroups.sources.catalog import key_parts
@@ -108,4 +107,3 @@ def test_weighted_choice_follows_the_weights(spark):
 
 def test_native_sampling(skewed):
     assert 2400 < sampling.uniform_sample(skewed, SPEC, 0.1, native=True).count() < 3600
-    assert isinstance(skewed.limit(1).toPandas(), pd.DataFrame)

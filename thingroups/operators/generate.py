@@ -22,7 +22,7 @@ from thingroups.operators.filters import literal, where_all
 from thingroups.operators.sampling import at_most, rank_cuts
 from thingroups.operators.stats import long_form, norm_stats, value_counts
 from thingroups.sources.catalog import key_parts
-from thingroups.sources.storage import is_written, write_once
+from thingroups.sources.storage import cut, is_written, write_once
 from thingroups.spec import Between, Predicate, TableSpec
 
 
@@ -58,11 +58,12 @@ def category_dictionary(df: DataFrame, columns: Sequence[str], seed: int = 42) -
     """``(column, value, code)`` with dense codes from 0 per column.
 
     Which value gets which code is immaterial; hash order lets a large domain
-    be numbered in parallel.
+    be numbered in parallel. The dictionary is checkpointed: encoding and
+    decoding read it once per column.
     """
     values = long_form(df, columns).where(F.col("value").isNotNull()).distinct()
     ranked = distributed_rank(values, ["column"], digest(salted("code", seed), "column", "value"), ["value"], "code")
-    return ranked.withColumn("code", F.col("code") - 1)
+    return cut(ranked.withColumn("code", F.col("code") - 1))
 
 
 def category_encode(df: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -298,7 +299,8 @@ def impute_sampled(
 
     Each request draws a position among the complete rows of its pool (group and
     equalities, else group, else all rows) and takes the open cells of the donor
-    at that position. Every donor can be drawn.
+    at that position. Every donor can be drawn. Donors are read three times per
+    level; requests, which are few, are checkpointed in between.
     """
     columns = list(columns or spec.columns)
     key = key_parts(donors, spec)
@@ -318,7 +320,7 @@ def impute_sampled(
     for pool in pools:
         pool = pool.withColumn("pool", F.col(group))
         sizes = pool.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_rows"))
-        sized = open_requests.withColumn("pool", F.col(group)).join(sizes, "pool", "left")
+        sized = cut(open_requests.withColumn("pool", F.col(group)).join(sizes, "pool", "left"))
         ready = sized.where(F.col("pool_rows").isNotNull())
         open_requests = sized.where(F.col("pool_rows").isNull()).drop("pool", "pool_rows")
         filled.append(_from_donors(ready, pool, columns))
@@ -374,6 +376,7 @@ def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str], c
         .where(F.col("request").isNotNull())
         .select("pool", F.col("in_cell").alias("cell"), (F.col("place") - F.col("from_start")).alias("within"), "request.*")
     )
+    placed = cut(placed)
     inner = Window.partitionBy(*by, "cell").orderBy("donor_digest", "donor_key")
     ranked = (
         pool.join(placed.select(*by, "cell").distinct(), [*by, "cell"], "left_semi")
@@ -424,7 +427,7 @@ def mask_stratified(
     names = spec.columns if pick_numeric else spec.categorical
     picks = {c: digest(salted(f"pick_{c}", seed), *key) for c in names}
     cuts = rank_cuts(df, picks, lambda total: F.floor(total * F.lit(r)))
-    counts = value_counts(df, spec.categorical)
+    counts = cut(value_counts(df, spec.categorical))
     totals = {r_["column"]: r_["n"] for r_ in counts.groupBy("column").agg(F.sum("n").alias("n")).collect()}
     draws = {c: unit(salted(f"mask_{c}", seed), *key) for c in spec.categorical}
     hide = {}

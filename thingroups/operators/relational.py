@@ -13,15 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thingroups.functions import sums
-from thingroups.operators.filters import drop_incomplete, route, where_all
+from thingroups.operators.filters import route, where_all
 from thingroups.sources.catalog import Catalog, scan_stored
 from thingroups.spec import AggQuery
 
-__all__ = [
-    "align", "answer", "coefficient_of_variation", "drop_incomplete", "exact", "full_frames",
-    "group_sizes", "join_fact_dim", "left_groups", "matching_rows", "semi_join_reduce",
-]
-
 
 def full_frames(catalog: Catalog, query: AggQuery) -> dict[str, DataFrame]:
     return {t: scan_stored(catalog, t) for t in catalog.tables_of(query)}

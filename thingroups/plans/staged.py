@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from thingroups.operators.estimate import approx_avg, approx_count, approx_sum
 from thingroups.operators.generate import Fit, fit, load_or_fit
-from thingroups.operators.groups import bitmap_group_counts, bitmap_op_count, candidate_rows, group_counts
+from thingroups.operators.groups import (
+    bitmap_group_counts, bitmap_op_count, candidate_rows, group_counts, index_rows,
+)
 from thingroups.operators.relational import exact, filtered_frames, group_sizes
 from thingroups.operators.repair import dynamic_supply, generate_for, supply_missing_groups
 from thingroups.operators.sampling import (
@@ -103,16 +105,27 @@ class StagedRun:
     def _types(self, query: AggQuery):
         return {f.name: f.dataType for f in self.catalog.frame(query.table).schema.fields}
 
-    def run(self, query: AggQuery, synthetic_only: bool = False, truth: DataFrame | None = None) -> dict:
-        """Metrics of one query; runs of several threads do not share state."""
-        return copy(self)._run(query, synthetic_only, truth)
-
-    def _run(self, query: AggQuery, synthetic_only: bool, truth: DataFrame | None) -> dict:
+    def run(
+        self,
+        query: AggQuery,
+        synthetic_only: bool = False,
+        truth: DataFrame | None = None,
+        keep_truth: Callable[[DataFrame], None] | None = None,
+    ) -> dict:
+        """Metrics of one query; runs of several threads do not share state.
+
+        ``truth`` is an answer to replay; ``keep_truth`` is given the computed one.
+        """
+        return copy(self)._run(query, synthetic_only, truth, keep_truth)
+
+    def _run(self, query, synthetic_only, truth, keep_truth) -> dict:
         self.metrics: dict = {}
         self._held: list[DataFrame] = []
         try:
             if truth is None:
                 self._truth = self._timed("ground_truth_latency", lambda: exact(self.catalog, query))
+                if keep_truth is not None:
+                    keep_truth(self._truth)
             else:
                 self._truth = truth
             if synthetic_only:
@@ -133,10 +146,10 @@ class StagedRun:
                 "predict_groups_latency", lambda: bitmap_group_counts(self.catalog, query, self.index)
             )
         else:
-            rows = self.index.rows() if self.index is not None else None
+            rows = index_rows(self.catalog, query, self.index, cfg.seed)
             counts = self._timed(
                 "predict_groups_latency",
-                lambda: group_counts(self.catalog, query, cfg.count_mode, cfg.bins, rows, cfg.seed),
+                lambda: group_counts(self.catalog, query, cfg.count_mode, cfg.bins, rows),
             )
         if self.index is not None:
             self.metrics["num_of_bitmap_ops"] = bitmap_op_count(self.catalog, query, self.index).first()[0]
@@ -165,8 +178,7 @@ class StagedRun:
         rare = rare.persist()
         self._held.append(rare)
         self.metrics["num_of_rare_groups"] = rare.count()
-        rows = self.index.rows() if self.index is not None else scan_stored(self.catalog, query.table)
-        candidates = candidate_rows(self.catalog, query, rows)
+        candidates = candidate_rows(self.catalog, query, index_rows(self.catalog, query, self.index, cfg.seed))
         key = key_parts(candidates, spec)
         if not cfg.allow_duplicates:
             # Membership of the sample is a function of the key: no anti-join.

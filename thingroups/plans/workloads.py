@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thingroups.operators.relational import exact, matching_rows
+from thingroups.operators.relational import matching_rows
 from thingroups.plans.staged import StagedRun, metric_frame
 from thingroups.sources.storage import write_truth
 from thingroups.sources.workload import profile, to_query
@@ -54,9 +55,10 @@ def run_workload(
         try:
             if isinstance(query, Exception):
                 raise query
-            record.update(run.run(query, synthetic_only))
+            keep = None
             if truth_folder is not None:
-                write_truth(exact(run.catalog, query), truth_folder, dataset, line["workload"], idx)
+                keep = partial(write_truth, folder=truth_folder, dataset=dataset, workload=line["workload"], idx=idx)
+            record.update(run.run(query, synthetic_only, keep_truth=keep))
         except Exception as problem:  # noqa: BLE001 - the workload goes on
             record["error"] = f"{type(problem).__name__}: {problem}".splitlines()[0]
         return record

@@ -29,6 +29,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a result that is much smaller than what it was computed from and
+    is used more than once: later steps read it and do not repeat its scans."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(scratch_folder(spark))
+    return df.checkpoint()
+
+
 def is_written(spark: SparkSession, path: str) -> bool:
     """Whether a finished Parquet write is there; an aborted one has no data files."""
     try:
@@ -73,10 +82,20 @@ class BitmapIndex:
         base = f"{folder}/index/{catalog.name}/{table}_{self.spec.index_rate}_{seed}"
         self.rows_path = f"{base}/rows"
         self.bitmaps_path = f"{base}/bitmaps_{bins}_{'closed' if closed else 'open'}_{layout}"
+        self._opened: dict[str, DataFrame] = {}
+
+    def _open(self, path: str) -> DataFrame:
+        """A stored table; its files are listed once, not at every use."""
+        if path not in self._opened:
+            self._opened[path] = self.catalog.spark.read.parquet(path)
+        return self._opened[path]
 
     def write_rows(self) -> DataFrame:
-        rows = scan_bernoulli(self.catalog, self.table, seed=self.seed)
-        return write_once(rows.withColumn("rid", F.monotonically_increasing_id()), self.rows_path)
+        if self.rows_path not in self._opened:
+            rows = scan_bernoulli(self.catalog, self.table, seed=self.seed)
+            numbered = rows.withColumn("rid", F.monotonically_increasing_id())
+            self._opened[self.rows_path] = write_once(numbered, self.rows_path)
+        return self._opened[self.rows_path]
 
     def containers(self) -> DataFrame:
         """The index as a plan over the row table, not yet written."""
@@ -91,7 +110,7 @@ class BitmapIndex:
         Within a file containers are sorted by value, so that a value lookup
         skips row groups; files are filled by bucket, so that a hot value is
         spread over all of them."""
-        if is_written(self.catalog.spark, self.bitmaps_path):
+        if self.bitmaps_path in self._opened or is_written(self.catalog.spark, self.bitmaps_path):
             return self.read()
         files = max(1, -(-self.write_rows().count() // self.rows_per_file))
         spread = F.pmod(F.xxhash64("bucket"), F.lit(files))
@@ -117,11 +136,11 @@ class BitmapIndex:
         return self.catalog.spark.table(name)
 
     def rows(self) -> DataFrame:
-        return self.catalog.spark.read.parquet(self.rows_path)
+        return self._open(self.rows_path)
 
     def read(self, column: str | None = None, values: Sequence[str] | None = None) -> DataFrame:
         """Containers of one column (a folder) and of given values (a pushed filter)."""
-        index = self.catalog.spark.read.parquet(self.bitmaps_path)
+        index = self._open(self.bitmaps_path)
         if column is not None:
             index = index.where(F.col("column") == column)
         if values is not None:
