@@ -49,7 +49,8 @@ def test_condition_rows_on_flights(spark):
     assert all(r["month"] == 4 and r["dest"] == "ABE" and 10 <= r["airtime"] <= 50 and r["origin"] is None for r in made)
 
 
-def test_sampled_fill_draws_every_donor(spark):
+def test_sampled_fill_draws_every_donor(spark, monkeypatch):
+    monkeypatch.setattr(generate, "REQUESTS_PER_PART", 100)  # six parts a pool
     donors = spark.range(40).select("id", F.when(F.col("id") < 30, "hot").otherwise("cold").alias("g"), F.lit("p").alias("c"), F.col("id").cast("double").alias("x"))
     asks = spark.createDataFrame([("hot", None, None), ("cold", None, None), ("new", None, None)], "g string, c string, x double")
     drawn = generate.impute_sampled(asks, donors, SPEC, "g", ["g"], (), 600).collect()

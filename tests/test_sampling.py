@@ -98,7 +98,7 @@ def test_supply_weight(spark):
 def test_weighted_choice_follows_the_weights(spark):
     groups = spark.createDataFrame([("thin", 0), ("thick", 300)], "grp string, n bigint")
     weight = sampling.supply_weight(F.col("n"))
-    drawn = groups.crossJoin(spark.range(4000).withColumnRenamed("id", "d")).select(
+    drawn = groups.select("*", F.explode(F.sequence(F.lit(1), F.lit(4000))).alias("d")).select(
         "d", "grp", sampling.choice_score(F.col("grp"), weight, F.col("d")).alias("s")
     )
     wins = drawn.groupBy("d").agg(F.min_by("grp", "s").alias("grp")).where("grp = 'thin'").count()

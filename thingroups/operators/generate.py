@@ -167,8 +167,9 @@ def _level(rows: DataFrame, spec: TableSpec, columns: Sequence[str], group: str
         *[F.min_by("value", F.when(F.col("column") == c, rank)).alias(c) for c in categorical]
     )
     if group is None:
-        # Two one-row frames side by side.
-        return fitted.withColumn("one", F.lit(1)).join(modes.withColumn("one", F.lit(1)), "one").drop("one")
+        # One row of means and one of modes: each column has a value in one of them.
+        both = fitted.unionByName(modes, allowMissingColumns=True)
+        return both.agg(*[F.max(c).alias(c) for c in both.columns])
     # Left, so that the whole counting side is dropped when no mode is asked for.
     return fitted.join(modes, "grp", "left")
 
@@ -319,54 +320,60 @@ def impute_sampled(
     open_requests, filled = requests, []
     for pool in pools:
         pool = pool.withColumn("pool", F.col(group))
-        sizes = pool.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_rows"))
-        sized = cut(open_requests.withColumn("pool", F.col(group)).join(sizes, "pool", "left"))
-        ready = sized.where(F.col("pool_rows").isNotNull())
-        open_requests = sized.where(F.col("pool_rows").isNull()).drop("pool", "pool_rows")
-        filled.append(_from_donors(ready, pool, columns))
+        sized = _sized(open_requests.withColumn("pool", F.col(group)), pool)
+        open_requests = sized.where(F.col("pool_rows").isNull()).drop("pool", "pool_rows", "parts")
+        filled.append(_from_donors(sized.where(F.col("pool_rows").isNotNull()), pool, columns))
     if not open_requests.isEmpty():
-        # One pool of everything: requests are spread over copies of its cell list.
-        copies = F.pmod(F.xxhash64(*request_key, F.col("k")), F.lit(GLOBAL_COPIES)).cast("int")
-        ready = open_requests.withColumn("pool", copies).withColumn("pool_rows", F.lit(whole.count()))
-        filled.append(_from_donors(ready, whole, columns, GLOBAL_COPIES))
+        everything = whole.withColumn("pool", F.lit(0))
+        filled.append(_from_donors(_sized(open_requests.withColumn("pool", F.lit(0)), everything), everything, columns))
     return reduce(DataFrame.unionByName, filled).select(*rows.columns, "k")
 
 
-# A pool falls into at most 16^4 cells by the leading digits of its digests.
+# A pool falls into at most 16^4 cells by the leading digits of its digests; the
+# requests to a pool are handled in parts of about this many.
 CELL_DIGITS = 4
-GLOBAL_COPIES = 32
+REQUESTS_PER_PART = 100_000
 
 
-def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str], copies: int | None = None) -> DataFrame:
+def _sized(requests: DataFrame, pool: DataFrame) -> DataFrame:
+    """Requests with the rows of their pool and the number of parts they are handled in."""
+    donors = pool.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_rows"))
+    asks = requests.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / F.lit(REQUESTS_PER_PART)).alias("parts"))
+    return cut(requests.join(donors.join(asks, "pool"), "pool", "left"))
+
+
+def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Give each request the donor at position ``floor(u * pool_rows) + 1`` of its pool.
 
     Positions follow the donor digests. Donors are only counted per cell at
     first; a request is matched to the cell its position falls into, and none
     but these cells are ranked row by row.
     """
-    by = ["pool"] if copies is None else []
     pool = pool.withColumn("cell", F.substring("donor_digest", 1, CELL_DIGITS))
-    counts = pool.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
-    before = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "cell", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("start"))
-    if copies is not None:
-        starts = starts.withColumn("pool", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    counts = pool.groupBy("pool", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
+    before = Window.partitionBy("pool").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        counts.select("pool", "cell", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("start"))
+        .join(requests.select("pool", "parts").distinct(), "pool")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    )
 
     # As-of match of positions to cell starts: sort both together, carry the cell on.
     position = (F.floor(F.col("u") * F.col("pool_rows")) + 1).cast("bigint")
-    carried = [c for c in requests.columns if c not in ("pool", "pool_rows", "u")]
+    carried = [c for c in requests.columns if c not in ("pool", "pool_rows", "parts", "u")]
     asks = requests.select(
         "pool",
+        F.pmod(F.xxhash64("u", *carried), F.col("parts")).alias("part"),
         position.alias("place"),
         F.lit(None).cast("string").alias("cell"),
         F.lit(None).cast("bigint").alias("start"),
         F.struct(*carried).alias("request"),
     )
     marks = starts.select(
-        "pool", (F.col("start") + 1).alias("place"), "cell", "start",
+        "pool", "part", (F.col("start") + 1).alias("place"), "cell", "start",
         F.lit(None).cast(asks.schema["request"].dataType).alias("request"),
     )
-    along = Window.partitionBy("pool").orderBy("place", F.col("request").isNotNull()).rowsBetween(
+    along = Window.partitionBy("pool", "part").orderBy("place", F.col("request").isNotNull()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     placed = (
@@ -377,13 +384,13 @@ def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str], c
         .select("pool", F.col("in_cell").alias("cell"), (F.col("place") - F.col("from_start")).alias("within"), "request.*")
     )
     placed = cut(placed)
-    inner = Window.partitionBy(*by, "cell").orderBy("donor_digest", "donor_key")
+    inner = Window.partitionBy("pool", "cell").orderBy("donor_digest", "donor_key")
     ranked = (
-        pool.join(placed.select(*by, "cell").distinct(), [*by, "cell"], "left_semi")
+        pool.join(placed.select("pool", "cell").distinct(), ["pool", "cell"], "left_semi")
         .withColumn("within", F.row_number().over(inner))
-        .select(*by, "cell", "within", *[F.col(c).alias(f"from_{c}") for c in columns])
+        .select("pool", "cell", "within", *[F.col(c).alias(f"from_{c}") for c in columns])
     )
-    joined = placed.join(ranked, [*by, "cell", "within"])
+    joined = placed.join(ranked, ["pool", "cell", "within"])
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"from_{c}")).alias(c) if c in columns else F.col(c) for c in carried]
     )
