@@ -15,10 +15,13 @@ gives an empty table; columns beside the named ones are not looked at.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from thingroups.llm.common import map_batches
 
 #: Pieces and neighbour pairs that a worker remembers; beyond that it starts anew.
-REMEMBERED_PIECES = 1_000_000
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PIECES = 400_000
+REMEMBERED_PAIRS = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -196,11 +199,18 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keys: Ite
         pieces = regex.compile(pattern)
         known = encoder(vocabulary)
         for *key_columns, texts in batches:
-            ids = [list(chain.from_iterable(map(known.__getitem__, pieces.findall(t)))) if t else [] for t in texts]
-            yield dict(zip(keys, key_columns, strict=True)) | {"ids": ids}
+            ids, ends = array("i"), [0]
+            for text in texts.to_pylist():
+                if text:
+                    ids.extend(chain.from_iterable(map(known.__getitem__, pieces.findall(text))))
+                ends.append(len(ids))
+            flat = pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield dict(zip(keys, key_columns, strict=True)) | {"ids": lists}
 
     kinds = dict(df.dtypes)
-    return map_batches(df, [*keys, text], work, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["ids array<int>"]))
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["ids array<int>"])
+    return map_batches(df, [*keys, text], work, schema, arrow_in=True)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
@@ -208,15 +218,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded")
     keys = [c for c in df.columns if c != ids]
     vocabulary = load_vocabulary(df, path)
 
-    def work(batches: Iterator[list[list]]) -> Iterator[dict]:
-        tokens = encoder(vocabulary).tokens
+    def work(batches: Iterator[list]) -> Iterator[dict]:
+        ranks = read_ranks(vocabulary.value)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
         for *key_columns, lists in batches:
-            decoded = [b"".join(map(tokens.__getitem__, x or ())) for x in lists]
+            flat = lists.values.to_pylist()
+            ends = lists.offsets.to_pylist()
+            decoded = [b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield dict(zip(keys, key_columns, strict=True)) | {output: decoded}
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{output}` binary"])
-    return map_batches(df, [*keys, ids], work, schema)
+    return map_batches(df, [*keys, ids], work, schema, arrow_in=True)
 
 
 def id_digest(ids: Column) -> Column:

@@ -29,12 +29,13 @@ def on_workers(df: DataFrame) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, columns: Sequence[str], work: Callable[[Iterator[list[list]]], Iterator[dict]], schema: str
+    df: DataFrame, columns: Sequence[str], work: Callable[[Iterator[list]], Iterator[dict]], schema: str, arrow_in: bool = False
 ) -> DataFrame:
     """Apply ``work`` to the partitions of the named columns.
 
-    ``work`` gets each Arrow batch as one Python list per column and gives
-    dictionaries of output columns. Other columns never reach Python.
+    ``work`` gets each Arrow batch as one Python list per column (or, ``arrow_in``,
+    one Arrow array) and gives dictionaries of output columns, as lists or arrays.
+    Other columns never reach Python.
     """
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,9 +43,11 @@ def map_batches(
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ([c.to_pylist() for c in batch.columns] for batch in batches if batch.num_rows)
+        lists = ([c if arrow_in else c.to_pylist() for c in b.columns] for b in batches if b.num_rows)
         for out in work(lists):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            columns = [out[f.name] for f in arrow]
+            columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return on_workers(df).select(*columns).mapInArrow(run, schema)
 
