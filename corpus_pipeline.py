@@ -2,11 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; ``run`` writes what
 a stage gives to a fresh shared folder and hands the next one what it reads back.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``; further columns of the input
+are not passed on.
 
-Rows with a NULL text, or a text without letters, go at the first stage. Rows of
-one id and text are copies of each other; an id with different texts stands for
-different documents. Other columns of the input are not passed on.
+* language: documents of no language, those without a letter, go. Short texts are
+  near no prototype, so a low score is no reason to drop one.
+* near_copies: of each group of linked documents the one with the smallest id stays.
+* decontaminate: documents go of which benchmark phrases cover a twentieth or more.
+* secrets: secrets in a text are replaced by a mark; n_chars follows.
+* tokens: the token ids of each text, and whether they decode to it again.
+
+A NULL or empty text goes at the first stage. Repeated rows of one id and text stay
+once; an id with several texts stands for several documents. Empty tables give empty
+tables at each stage.
 """
 
 from __future__ import annotations
@@ -15,17 +23,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thingroups.llm import bpe, decontaminate
+from thingroups.llm import bpe, decontaminate, jaccard, langid, secrets
 from thingroups.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = langid.identify(docs, COLUMNS)
+    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = jaccard.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = kept.select(F.col("doc_id").alias("kept")).distinct()
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
+    return found.where(~decontaminate.contaminated()).select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scanned = secrets.scan(docs.select(*COLUMNS))
+    clean = scanned.withColumn("text", secrets.redact(scanned))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keys=["doc_id", "lang", "source", "text"])
+    decoded = bpe.decode(encoded.withColumn("tokens", F.col("ids")), path)
+    return decoded.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.col("tokens").alias("ids"),
+        (F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"),
+    )
 
 
-STAGES = [("benchmark", benchmark)]
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("decontaminate", decontaminated),
+    ("secrets", without_secrets),
+    ("tokens", tokens),
+]
+#: The stages use models, connected components and an encoder: no SQL gives their rows.
 ORACLE_SQL = None
 
 

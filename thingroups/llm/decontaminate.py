@@ -23,7 +23,7 @@ empty benchmark hits nothing, an empty document table gives an empty table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -227,18 +227,25 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
 
 
 def find_overlaps(
-    documents: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS
+    documents: DataFrame,
+    benchmark: DataFrame,
+    keep: Sequence[str] = ("doc_id",),
+    width: int = 13,
+    block_bytes: int = BLOCK_BYTES,
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted ids with an occurring
-    phrase) and spans (characters to remove: start, end exclusive)."""
+    """Per document: the columns ``keep``, n_words, n_hit, items (sorted ids with an
+    occurring phrase) and spans (characters to remove: start, end exclusive)."""
     blocks = _blocks(benchmark, block_bytes)
-    schema = (
-        "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
+    kinds = dict(documents.dtypes)
+    schema = ", ".join(
+        [f"`{k}` {kinds[k]}" for k in keep]
+        + ["n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"]
     )
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         phrases = [Phrases(b.value, width) for b in blocks]
-        for doc_ids, texts in batches:
+        for *columns, texts in batches:
             first = 0
             while first < len(texts):
                 lists, total, end = [], 0, first
@@ -247,8 +254,7 @@ def find_overlaps(
                     total += len(lists[-1])
                     end += 1
                 marked, hits = _shard(phrases, lists)
-                yield {
-                    "doc_id": doc_ids[first:end],
+                yield {k: c[first:end] for k, c in zip(keep, columns, strict=True)} | {
                     "n_words": [len(x) for x in lists],
                     "n_hit": [int(m.sum()) for m in marked],
                     "items": [sorted(h) for h in hits],
@@ -259,7 +265,7 @@ def find_overlaps(
                 }
                 first = end
 
-    return map_batches(documents.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "text"], work, schema)
+    return map_batches(documents, [*keep, "text"], work, schema)
 
 
 def contaminated(share: int = 20) -> Column:
