@@ -8,7 +8,8 @@ share at least t * max(n, m) of them, and that bound discards rows in two steps:
   share a known number of hashes. The incidence of heads goes in blocks (a run of
   documents by a range of hashes) to the hash ranges, where hashes of one set only
   fall away; the overlaps left are added up for each set. Sets below the bound have
-  no partner. Few others stay.
+  no partner. Few others stay. Hashes are shortened in this step, which can only keep
+  a set that could go.
 * For what stays, the frequency of each n-gram is counted in the same blocks. Linked
   sets share one of their rarest n - ceil(t * n) + 1 n-grams; sets that share one,
   directly or through others, form a cluster.
@@ -95,130 +96,160 @@ def _set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def sets_of(documents: DataFrame, whole: bool, ngram: int, percent: int) -> DataFrame:
-    """doc_id, n, key and hashes: all of a set, or its head."""
+def sets_of(documents: DataFrame, ngram: int, hashes: bool) -> DataFrame:
+    """doc_id, n, key and, if asked for, the hashes of each text's set."""
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         for doc_ids, texts in batches:
             for i in range(0, len(texts), 1_000):
                 sets = shingle_sets(texts[i : i + 1_000], ngram)
-                yield {
+                out = {
                     "doc_id": doc_ids[i : i + 1_000],
                     "n": [len(s) for s in sets],
                     "key": [_set_key(s) if len(s) else None for s in sets],
-                    "hashes": [(s if whole else s[: head_length(len(s), percent)]).tobytes() for s in sets],
                 }
+                yield out | ({"hashes": [s.tobytes() for s in sets]} if hashes else {})
 
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_batches(rows, ["doc_id", "text"], work, "doc_id long, n long, key binary, hashes binary")
+    schema = "doc_id long, n long, key binary" + ", hashes binary" * hashes
+    return map_batches(rows, ["doc_id", "text"], work, schema)
+
+
+def _cells(keys: list[bytes], lists: list[np.ndarray], ranges: int, key_bytes: int, kind: type) -> Iterator[dict]:
+    """The incidence of a run of sets in blocks: for each range of hashes the keys that
+    have some there, how many, and these. Keys and hashes may be shortened: what falls
+    together then only makes overlaps look larger."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    hashes = np.concatenate([*lists, np.zeros(0, np.uint64)])
+    part = (hashes >> np.uint64(33)) % np.uint64(ranges)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
+    for p in range(ranges):
+        here = order[edges[p] : edges[p + 1]]
+        if len(here):
+            own, counts = np.unique(owner[here], return_counts=True)
+            yield {
+                "range": [p],
+                "keys": [b"".join([keys[i][:key_bytes] for i in own.tolist()])],
+                "counts": [counts.astype(np.uint32).tobytes()],
+                "hashes": [hashes[here].astype(kind).tobytes()],
+            }
+
+
+_CELLS = "range int, keys binary, counts binary, hashes binary"
+
+
+def _joined(block: pd.DataFrame, key_bytes: int, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One range: its keys, and the (key, hash) pairs in it, each once."""
+    keys = np.frombuffer(b"".join(block["keys"]), f"V{key_bytes}")
+    keys, place = np.unique(keys.view([(f"k{i}", ">u8") for i in range(key_bytes // 8)]), return_inverse=True)
+    owner = np.repeat(place, np.frombuffer(b"".join(block["counts"]), np.uint32))
+    hashes = np.frombuffer(b"".join(block["hashes"]), kind)
+    order = np.lexsort((owner, hashes))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    return keys, owner[new], hashes[new]
 
 
-def _ranges(sets: DataFrame, ranges: int) -> DataFrame:
-    """The incidence matrix in blocks: range, keys, sizes, number of hashes and hashes
-    of a run of documents. Sets that come again in the run are left out."""
+def _frequency(hashes: np.ndarray) -> np.ndarray:
+    """How often each of the sorted hashes occurs."""
+    edges = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1], [True]]))
+    return np.repeat(np.diff(edges), np.diff(edges))
 
-    def work(batches: Iterator[list[list]]) -> Iterator[dict]:
-        for keys, sizes, blobs in batches:
-            last = {k: i for i, k in enumerate(keys) if k is not None}
-            rows = sorted(last.values())
-            lists = [np.frombuffer(blobs[i], np.uint64) for i in rows]
-            owner = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-            hashes = np.concatenate([*lists, np.zeros(0, np.uint64)])
-            part = (hashes >> np.uint64(20)) % np.uint64(ranges)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(ranges + 1, dtype=np.uint64))
-            for p in range(ranges):
-                here = order[edges[p] : edges[p + 1]]
-                if len(here):
-                    own, counts = np.unique(owner[here], return_counts=True)
-                    yield {
-                        "range": [p],
-                        "keys": [b"".join(keys[rows[i]] for i in own.tolist())],
-                        "sizes": [np.array([sizes[rows[i]] for i in own.tolist()], np.int64).tobytes()],
-                        "counts": [counts.astype(np.int32).tobytes()],
-                        "hashes": [hashes[here].tobytes()],
-                    }
-
-    schema = "range int, keys binary, sizes binary, counts binary, hashes binary"
-    return map_batches(sets, ["key", "n", "hashes"], work, schema)
-
-
-def _joined(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One range: keys and sizes of its sets, and (set, hash) pairs without repeats."""
-    keys = np.frombuffer(b"".join(block["keys"]), [("high", ">u8"), ("low", ">u8")])
-    sizes = np.frombuffer(b"".join(block["sizes"]), np.int64)
-    counts = np.frombuffer(b"".join(block["counts"]), np.int32)
-    hashes = np.frombuffer(b"".join(block["hashes"]), np.uint64)
-    _, first, same = np.unique(keys, return_index=True, return_inverse=True)
-    chosen = np.zeros(len(keys), bool)
-    chosen[first] = True
-    keep = np.repeat(chosen, counts)
-    return keys[first], sizes[first], np.repeat(same, counts)[keep], hashes[keep]
 
+def _homes(keys: np.ndarray, homes: int) -> np.ndarray:
+    return ((keys["k0"] >> np.uint64(7)) % np.uint64(homes)).astype(np.int64)
 
-def _frequency(hashes: np.ndarray) -> np.ndarray:
-    _, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
-    return times[place]
 
+def _parts(df: DataFrame, total_hashes: int) -> int:
+    """Ranges of hashes: enough for the tasks, and of bounded size."""
+    return max(1, -(-total_hashes // RANGE_HASHES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-def _in_ranges(total_hashes: int) -> int:
-    return max(1, -(-total_hashes // RANGE_HASHES))
 
+def possible(documents: DataFrame, ngram: int, percent: int, total_hashes: int) -> DataFrame:
+    """``start`` (8 bytes of a key) and ``shared`` of sets with hashes in their heads that
+    others have in theirs; sent back in one piece for each range and home of keys."""
+    parts = _parts(documents, total_hashes)
 
-def possible(sets: DataFrame, percent: int, total_hashes: int) -> DataFrame:
-    """Keys of sets whose heads overlap with others as much as the bound asks for."""
+    def work(batches: Iterator[list[list]]) -> Iterator[dict]:
+        for (texts,) in batches:
+            for i in range(0, len(texts), 5_000):
+                heads = {}
+                for whole in shingle_sets(texts[i : i + 5_000], ngram):
+                    if len(whole):
+                        heads[_set_key(whole)] = whole[: head_length(len(whole), percent)]
+                yield from _cells(list(heads), list(heads.values()), parts, 8, np.uint32)
 
     def overlaps(block: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, owner, hashes = _joined(block)
+        keys, owner, hashes = _joined(block, 8, np.uint32)
         shared = np.bincount(owner[_frequency(hashes) > 1], minlength=len(keys))
         some = np.flatnonzero(shared)
-        return pd.DataFrame({"key": [keys[i].tobytes() for i in some], "n": sizes[some], "shared": shared[some]})
-
-    blocks = _ranges(sets, max(_in_ranges(total_hashes), _parts(sets)))
-    found = on_workers(blocks).groupBy("range").applyInPandas(overlaps, "key binary, n long, shared long")
-    added = found.groupBy("key").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
-    smallest = F.ceil(F.col("n") * percent / 100)  # of the sets that it can be linked with
-    return added.where(F.col("shared") * 100 >= smallest * (100 - percent)).select("key")
+        home = _homes(keys[some], parts)
+        lines = []
+        for h in np.unique(home).tolist():
+            mine = some[home == h]
+            lines.append((h, keys[mine].tobytes(), shared[mine].astype(np.uint32).tobytes()))
+        return pd.DataFrame(lines, columns=["home", "keys", "shared"])
 
+    def add(block: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(block["keys"]), [("k0", ">u8")])
+        keys, place = np.unique(keys, return_inverse=True)
+        shared = np.bincount(place, np.frombuffer(b"".join(block["shared"]), np.uint32), len(keys))
+        return pd.DataFrame({"start": [k.tobytes() for k in keys], "shared": shared.astype(np.int64)})
 
-def _parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = map_batches(documents, ["text"], work, _CELLS)
+    found = cells.groupBy("range").applyInPandas(overlaps, "home int, keys binary, shared binary")
+    return found.groupBy("home").applyInPandas(add, "start binary, shared long")
 
 
 def rare_ngrams(sets: DataFrame, percent: int, total_hashes: int) -> DataFrame:
     """key and hash: those of a set's rarest n-grams that other sets have as well."""
-
-    def frequencies(block: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, owner, hashes = _joined(block)
-        times = _frequency(hashes)
-        order = np.argsort(owner, kind="stable")
-        edges = np.searchsorted(owner[order], np.arange(len(keys) + 1))
-        lines = []
-        for i in range(len(keys)):
-            mine = order[edges[i] : edges[i + 1]]
-            mine = mine[times[mine] > 1]
-            if len(mine):
-                pairs = np.stack([times[mine].astype(np.uint64), hashes[mine]], axis=1)
-                lines.append((keys[i].tobytes(), sizes[i], pairs.tobytes()))
-        return pd.DataFrame(lines, columns=["key", "n", "pairs"])
-
-    blocks = _ranges(sets, max(_in_ranges(total_hashes), _parts(sets)))
-    found = on_workers(blocks).groupBy("range").applyInPandas(frequencies, "key binary, n long, pairs binary")
-    gathered = found.groupBy("key").agg(F.first("n").alias("n"), F.collect_list("pairs").alias("pairs"))
+    parts = _parts(sets, total_hashes)
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
-        for keys, sizes, lists in batches:
-            out_keys, out_hashes = [], []
-            for key, n, blobs in zip(keys, sizes, lists, strict=True):
-                pairs = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
-                room = n - least_shared(n, percent) + 1 - (n - len(pairs))
-                if room > 0:
-                    rarest = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))[:room], 1]
-                    out_hashes += rarest.view(np.int64).tolist() if rarest.flags.c_contiguous else rarest.astype(np.int64).tolist()
-                    out_keys += [key] * len(rarest)
-            yield {"key": out_keys, "hash": out_hashes}
+        for keys, blobs in batches:
+            for i in range(0, len(keys), 2_000):
+                lists = [np.frombuffer(b, np.uint64) for b in blobs[i : i + 2_000]]
+                yield from _cells(keys[i : i + 2_000], lists, parts, 16, np.uint64)
 
-    return map_batches(gathered, ["key", "n", "pairs"], work, "key binary, hash long")
+    def frequencies(block: pd.DataFrame) -> pd.DataFrame:
+        keys, owner, hashes = _joined(block, 16, np.uint64)
+        times = np.minimum(_frequency(hashes), 65_535)  # the rest of the order is by hash
+        keep = times > 1
+        once = np.bincount(owner[~keep], minlength=len(keys))
+        owner, hashes, times = owner[keep], hashes[keep], times[keep]
+        home = _homes(keys, parts)
+        order = np.lexsort((owner, home[owner]))
+        owner, hashes, times = owner[order], hashes[order], times[order]
+        lines = []
+        for h in np.unique(home).tolist():
+            mine = np.flatnonzero(home == h)
+            a, b = np.searchsorted(home[owner], [h, h + 1])
+            counts = np.bincount(np.searchsorted(mine, owner[a:b]), minlength=len(mine))
+            lines.append((h, keys[mine].tobytes(), once[mine].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), times[a:b].astype(np.uint16).tobytes(), hashes[a:b].tobytes()))
+        return pd.DataFrame(lines, columns=["home", "keys", "once", "counts", "times", "hashes"])
+
+    def rarest(block: pd.DataFrame) -> pd.DataFrame:
+        keys = np.frombuffer(b"".join(block["keys"]), [("k0", ">u8"), ("k1", ">u8")])
+        once, counts = (np.frombuffer(b"".join(block[c]), np.uint32).astype(np.int64) for c in ("once", "counts"))
+        keys, place = np.unique(keys, return_inverse=True)
+        single = np.bincount(place, once, len(keys)).astype(np.int64)
+        sizes = single + np.bincount(place, counts, len(keys)).astype(np.int64)
+        owner = np.repeat(place, counts)
+        times = np.frombuffer(b"".join(block["times"]), np.uint16)
+        hashes = np.frombuffer(b"".join(block["hashes"]), np.uint64)
+        order = np.lexsort((hashes, times, owner))
+        owner, hashes = owner[order], hashes[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        room = sizes - least_shared(sizes, percent) + 1 - single
+        keep = rank < room[owner]
+        return pd.DataFrame({"key": [keys[i].tobytes() for i in owner[keep]], "hash": hashes[keep].view(np.int64)})
+
+    cells = map_batches(sets, ["key", "hashes"], work, _CELLS)
+    schema = "home int, keys binary, once binary, counts binary, times binary, hashes binary"
+    found = cells.groupBy("range").applyInPandas(frequencies, schema)
+    return found.groupBy("home").applyInPandas(rarest, "key binary, hash long")
 
 
 def linked(keys: list[bytes], blobs: list[bytes], percent: int, own: np.ndarray | None = None) -> list[tuple[bytes, bytes]]:
@@ -302,23 +333,27 @@ def links_of(sets: DataFrame, clusters: DataFrame, percent: int, block_rows: int
 def near_copies(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
     documents = documents.select("doc_id", "text")
-    heads = stored(sets_of(documents, False, ngram, percent), "heads")
-    total = heads.agg(F.sum(F.length("hashes") / 8).cast("long")).first()[0] or 0
-    named = heads.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
-    possibly = stored(named.join(possible(heads.select("key", "n", "hashes"), percent, total), "key"), "possible")
-    again = documents.join(possibly.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    whole = sets_of(again, True, ngram, percent).join(possibly.select("key"), "key", "left_semi")
+    rows = stored(sets_of(documents, ngram, False), "set-keys")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
+    share = head_length(1_000, percent) / 1_000
+    overlaps = possible(documents, ngram, percent, int(total * share)).withColumnRenamed("start", "from_start")
+    smallest = F.ceil(F.col("n") * percent / 100)  # of the sets that it can be linked with
+    near = named.withColumn("start", F.substring("key", 1, 8)).join(overlaps, F.col("start") == F.col("from_start"))
+    near = stored(near.where(F.col("shared") * 100 >= smallest * (100 - percent)).select("key", "least"), "possible")
+    # a second look at the texts of these sets only
+    again = documents.join(near.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
+    whole = sets_of(again, ngram, True).join(near.select("key"), "key", "left_semi")
     whole = stored(whole.groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "sets")
     total = whole.agg(F.sum("n")).first()[0] or 0
     rare = stored(rare_ngrams(whole, percent, total), "rare")
     meeting = rare.groupBy("hash").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = rare.join(meeting, "hash").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b").distinct()
     links = links_of(whole, components(shared), percent)
-    joined = components(links)
-    classes = joined.join(named.withColumnRenamed("key", "node"), "node")
+    classes = components(links).join(named.select(F.col("key").alias("node"), "least"), "node")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     members = classes.join(least, "component").select(F.col("node").alias("key"), "component_id")
     ids = named.join(members, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
-    return heads.select("doc_id", F.col("n").alias("n_shingles"), "key").join(ids, "key", "left").select(
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(ids, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
