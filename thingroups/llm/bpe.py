@@ -224,9 +224,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded")
         for token, i in ranks.items():
             tokens[i] = token
         for *key_columns, lists in batches:
-            flat = lists.values.to_pylist()
-            ends = lists.offsets.to_pylist()
-            decoded = [b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+            decoded = [
+                b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)
+            ]
             yield dict(zip(keys, key_columns, strict=True)) | {output: decoded}
 
     kinds = dict(df.dtypes)
