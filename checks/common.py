@@ -135,6 +135,10 @@ def u(salt: str, key: str) -> str:
     return f"(('0x' || substr({h(salt, key)}, 1, 8))::BIGINT / 4294967296::DOUBLE)"
 
 
+def u_fine(salt: str, key: str) -> str:
+    return f"(('0x' || substr({h(salt, key)}, 1, 13))::BIGINT / 4503599627370496::DOUBLE)"
+
+
 def u_open(salt: str, key: str) -> str:
     return f"((('0x' || substr({h(salt, key)}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)"
 
@@ -187,8 +191,9 @@ def share(op: str, v: float, b: str = "b") -> str:
 
 def weight(x: str, op: str, v: float, b: str = "b") -> str:
     side = ">" if op in (">", ">=") else "<"
+    closed = f" WHEN {x} = {v} THEN 1.0::DOUBLE" if op in (">=", "<=") else ""
     return (
-        f"(CASE WHEN {bin_of(x, b)} {side} {at(v, b)} THEN 1.0::DOUBLE"
+        f"(CASE{closed} WHEN {bin_of(x, b)} {side} {at(v, b)} THEN 1.0::DOUBLE"
         f" WHEN {bin_of(x, b)} = {at(v, b)} THEN {share(op, v, b)} ELSE 0.0::DOUBLE END)"
     )
 

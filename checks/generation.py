@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_WHERE, ITEMS, catalog, check, h, mean, predicted_and_sizes, u,
+    ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_WHERE, ITEMS, catalog, check, h, mean, predicted_and_sizes, u, u_fine,
 )
 from thingroups.operators import generate
 from thingroups.operators.groups import missing_groups
@@ -200,7 +200,7 @@ pool AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY {h('donor_
   COUNT(*) OVER (PARTITION BY user_id) AS n FROM events e WHERE event_type = 'error' AND user_id IN (SELECT * FROM asked)),
 rest AS (SELECT e.*, row_number() OVER (PARTITION BY user_id ORDER BY {h('donor_rank|42', 'event_id')}, event_id) AS r,
   COUNT(*) OVER (PARTITION BY user_id) AS n FROM events e WHERE user_id IN (SELECT * FROM asked)),
-req AS (SELECT user_id, k, {u('donor|42', 'user_id, k')} AS u FROM asked, range(1, 4) q(k))
+req AS (SELECT user_id, k, {u_fine('donor|42', 'user_id, k')} AS u FROM asked, range(1, 4) q(k))
 SELECT req.user_id, 'error' AS event_type, CASE WHEN p.n IS NOT NULL THEN p.value ELSE g.value END AS value, k
 FROM req LEFT JOIN pool p ON p.user_id = req.user_id AND p.r = floor(u * p.n) + 1
  LEFT JOIN rest g ON g.user_id = req.user_id AND g.r = floor(u * g.n) + 1

@@ -261,6 +261,43 @@ def count_join(spark, sf):
     return rounded(groups.group_counts(catalog(spark, sf), STAR_COUNT))
 
 
+def _at_end(column, op, v, group="l_suppkey"):
+    return AggQuery("COUNT", column, "lineitem", group, (Predicate(column, op, v),))
+
+
+def raw_counts(query, name="est_count", kind="::DOUBLE"):
+    """Rows of each group by the raw predicate."""
+    (p,) = query.predicates
+    return (
+        f"SELECT {query.group} AS grp, COUNT(*){kind} AS {name} FROM lineitem WHERE {p.column} {p.op} {p.value} GROUP BY 1"
+    )
+
+
+AT_MAX, AT_MIN, DISCOUNT_MAX = (
+    _at_end("l_quantity", ">=", 50), _at_end("l_tax", "<=", 0), _at_end("l_discount", ">=", 0.1),
+)
+
+
+@check("group_count_estimate_at_max", raw_counts(AT_MAX))
+def count_at_max(spark, sf):
+    return rounded(groups.group_counts(catalog(spark, sf), AT_MAX))
+
+
+@check("group_count_estimate_at_min", raw_counts(AT_MIN))
+def count_at_min(spark, sf):
+    return rounded(groups.group_counts(catalog(spark, sf), AT_MIN))
+
+
+@check("predict_groups_at_max", raw_counts(DISCOUNT_MAX, "n", ""))
+def predict_at_max(spark, sf):
+    return groups.predict_groups(catalog(spark, sf), DISCOUNT_MAX, index_of(spark, sf, "lineitem"))
+
+
+@check("predict_groups_at_min", raw_counts(AT_MIN, "n", ""))
+def predict_at_min(spark, sf):
+    return groups.predict_groups(catalog(spark, sf), AT_MIN, index_of(spark, sf, "lineitem"))
+
+
 @check("group_row_ids", f"SELECT user_id AS grp, event_id AS rid FROM events WHERE {FLAG_WHERE}")
 def row_ids(spark, sf):
     cat = catalog(spark, sf)

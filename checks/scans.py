@@ -21,6 +21,12 @@ ITEM_COLUMNS = (
 )
 
 
+def micros(rows):
+    """Timestamps as whole microseconds, which print alike everywhere."""
+    stamps = [c for c, kind in rows.dtypes if kind.startswith("timestamp")]
+    return rows.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in stamps})
+
+
 @check("scan_project", f"SELECT {ITEM_COLUMNS} FROM lineitem")
 def scan_project(spark, sf):
     return scan(catalog(spark, sf), "lineitem")
@@ -36,19 +42,20 @@ def bernoulli(spark, sf):
 
 @check(
     "scan_with_locator",
-    "SELECT event_id, user_id, event_type, value, props, CAST(event_id AS VARCHAR) AS locator FROM events",
+    "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props, CAST(event_id AS VARCHAR) AS locator FROM events",
 )
 def with_locator(spark, sf):
-    return scan_with_locator(catalog(spark, sf), "events").drop("ts")
+    return micros(scan_with_locator(catalog(spark, sf), "events"))
 
 
 @check(
     "fetch_by_locator",
-    "SELECT CAST(event_id AS VARCHAR) AS locator, event_id, user_id, event_type, value FROM events WHERE value > 150",
+    "SELECT CAST(event_id AS VARCHAR) AS locator, event_id, epoch_us(ts) AS ts, user_id, event_type, value, props"
+    " FROM events WHERE value > 150",
 )
 def by_locator(spark, sf):
-    rows = scan_with_locator(catalog(spark, sf), "events").drop("ts", "props")
-    return fetch_by_locator(rows, rows.where("value > 150").select("locator"))
+    rows = scan_with_locator(catalog(spark, sf), "events")
+    return micros(fetch_by_locator(rows, rows.where("value > 150").select("locator")))
 
 
 def statement_lines(spark, sf):
@@ -160,6 +167,9 @@ _filter("filter_gt", [Predicate("value", ">", "49.99")], "value > 49.99")
 _filter("filter_gte", [Predicate("value", ">=", 50)], "value >= 50")
 _filter("filter_lt", [Predicate("value", "<", 3.5)], "value < 3.5")
 _filter("filter_lte", [Predicate("value", "<=", 3.5)], "value <= 3.5")
+_filter("filter_int_fraction", [Predicate("user_id", "<", 3.5)], "user_id < 3.5")
+_filter("filter_int_fraction_text", [Predicate("user_id", ">=", "3.5")], "user_id >= 3.5")
+_filter("filter_int_equal_fraction", [Predicate("user_id", "=", 3.5)], "user_id = 3.5")
 _filter(
     "filter_conjunction",
     [

@@ -1,7 +1,6 @@
 """Every registered query against the SQL that must give the same rows."""
 
 import math
-import os
 from decimal import Decimal
 
 import duckdb
@@ -40,12 +39,8 @@ def lines(columns, rows):
     return sorted((tuple(plain(row[i]) for i in order) for row in rows), key=repr)
 
 
-# Without SQL to compare with, these only run here; test_runs.py looks at what they give.
-REPEATED = {"metric_row", "staged_avg_join", "staged_avg_supplied"}
-TRIED = [n for n in QUERIES if n not in REPEATED or os.environ.get("TEST_ALL")]
 
-
-@pytest.mark.parametrize("name", TRIED)
+@pytest.mark.parametrize("name", QUERIES)
 def test_same_rows(name, spark, duck):
     df = QUERIES[name](spark, DATA)
     mine = lines(df.columns, [tuple(r) for r in df.collect()])

@@ -61,13 +61,12 @@ def test_rare_groups(spark):
     assert found == {"b": (1, 2), "c": (0, 3)}
 
 
-@pytest.mark.parametrize("n_rare", [None, 3])
-def test_topup_takes_what_is_needed_and_there(spark, n_rare):
+def test_topup_takes_what_is_needed_and_there(spark):
     rows = spark.createDataFrame(
         [(i, g) for i, g in enumerate("a" * 9 + "b" + "c" * 8)], "id bigint, g string"
     )
     rare = spark.createDataFrame([("b", 1, 2), ("c", 0, 3)], "grp string, n bigint, need bigint")
-    taken = sampling.topup_rows(rows, "g", rare, 3, [F.col("id").cast("string")], n_rare=n_rare)
+    taken = sampling.topup_rows(rows, "g", rare, 3, [F.col("id").cast("string")])
     assert {r["grp"]: r["n"] for r in group_sizes(taken, "g").collect()} == {"b": 1, "c": 3}
 
 

@@ -55,25 +55,39 @@ def boundary_bin(v, lo, hi, bins: int) -> Column:
     )
 
 
+# What a bin counts for whose edge alone satisfies a closed comparison: little, but
+# no group that lives on the edge is lost.
+EDGE_SHARE = 0.01
+
+
 def boundary_fraction(op: str, v, lo, hi, bins: int) -> Column:
     """Share of the boundary bin that lies on the wanted side of the literal."""
     at = boundary_bin(v, lo, hi, bins)
     step = width(lo, hi, bins)
     left = _col(lo) + step * at
     share = (left + step - _col(v)) / step if op in (">", ">=") else (_col(v) - left) / step
-    return F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    share = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    on_edge = at.between(0, bins - 1) & (share == 0)
+    return F.when(on_edge, F.lit(EDGE_SHARE)).otherwise(share) if op in (">=", "<=") else share
 
 
 def full_bins(op: str, v, lo, hi, bins: int) -> tuple[Column, Column]:
-    """First and last bin that lie wholly on the wanted side; first > last if none."""
+    """First and last bin that lie wholly on the wanted side; first > last if none.
+
+    A closed comparison with the end of the domain takes the bin at that end: rows
+    with just this value are in it.
+    """
     at = boundary_bin(v, lo, hi, bins)
-    if op in (">", ">="):
+    if op == ">=":
+        return F.when(_col(v) == _col(hi), F.lit(bins - 1)).otherwise(at + 1), F.lit(bins - 1)
+    if op == ">":
         return at + 1, F.lit(bins - 1)
-    return F.lit(0), at - 1
+    return F.lit(0), F.when(_col(v) == _col(lo), F.lit(0)).otherwise(at - 1) if op == "<=" else at - 1
 
 
 def range_weight(x: Column, op: str, v, lo, hi, bins: int) -> Column:
-    """1 in a full bin, the boundary fraction in the boundary bin, else 0."""
+    """1 in a full bin or at the literal of a closed comparison, the boundary fraction
+    in the boundary bin, else 0."""
     if not isinstance(lo, Column) and lo == hi:
         # One-value domain: there is nothing to interpolate.
         satisfied = {">": x > v, ">=": x >= v, "<": x < v, "<=": x <= v}[op]
@@ -81,6 +95,8 @@ def range_weight(x: Column, op: str, v, lo, hi, bins: int) -> Column:
     home = bin_of(x, lo, hi, bins)
     at = boundary_bin(v, lo, hi, bins)
     inside = home > at if op in (">", ">=") else home < at
+    if op in (">=", "<="):
+        inside = inside | (x == _col(v))
     return (
         F.when(inside, F.lit(1.0))
         .when(home == at, boundary_fraction(op, v, lo, hi, bins))

@@ -40,6 +40,12 @@ def unit(salt: str, *parts: Column | str, algo: str = "md5") -> Column:
     return unit_of(digest(salt, *parts, algo=algo))
 
 
+def fine_unit(salt: str, *parts: Column | str, algo: str = "md5") -> Column:
+    """Uniform number in [0, 1) from 52 bits: every position of a large pool can be drawn."""
+    bits = F.conv(F.substring(digest(salt, *parts, algo=algo), 1, 13), 16, 10).cast("bigint")
+    return bits / F.lit(float(2**52))
+
+
 def keep(rate: float, salt: str, *parts: Column | str, algo: str = "md5") -> Column:
     """Bernoulli membership with probability ``rate``: a filter, no shuffle."""
     if rate >= 1:

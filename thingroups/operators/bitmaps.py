@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thingroups.functions import binning
-from thingroups.operators.filters import compare, literal
+from thingroups.operators.filters import compare_whole, literal
 from thingroups.spec import Predicate, TableSpec
 
 BITMAP_BYTES = 4096
@@ -150,8 +150,7 @@ def range_set(index: DataFrame, predicate: Predicate, spec: TableSpec, bounds: B
     """
     mine = index.where(F.col("column") == predicate.column)
     if spec.kinds[predicate.column] == "int":
-        wanted = literal(predicate.value, "int")
-        return union_set(mine.where(compare(F.col("value").cast("bigint"), predicate.op, wanted)))
+        return union_set(mine.where(compare_whole(F.col("value").cast("bigint"), predicate.op, predicate.value)))
     if spec.kinds[predicate.column] == "str":
         raise ValueError(f"range predicate on text column '{predicate.column}'")
     lo, hi = bounds[predicate.column]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from decimal import Decimal
+from decimal import ROUND_FLOOR, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ def literal(value, kind: str, dtype: T.DataType | None = None) -> Column:
     if kind == "str":
         return F.lit(str(value))
     if kind == "int":
-        return F.lit(int(value))
+        return F.lit(int(Decimal(str(value))))
     if isinstance(dtype, T.DecimalType):
         return F.lit(Decimal(str(value)))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -36,8 +36,21 @@ def compare(left: Column, op: str, right: Column) -> Column:
     }[op]()
 
 
+def compare_whole(left: Column, op: str, value) -> Column:
+    """Compare a column of whole numbers: a fraction moves the bound to the next whole one."""
+    exact = Decimal(str(value))
+    below = int(exact.to_integral_value(ROUND_FLOOR))
+    if exact == below:
+        return compare(left, op, F.lit(below))
+    if op == "=":
+        return left.isNull() & left.isNotNull()
+    return left > F.lit(below) if op in (">", ">=") else left <= F.lit(below)
+
+
 def condition(df: DataFrame, predicate: Predicate, spec: TableSpec) -> Column:
     kind = spec.kinds[predicate.column]
+    if kind == "int":
+        return compare_whole(F.col(predicate.column), predicate.op, predicate.value)
     value = literal(predicate.value, kind, df.schema[predicate.column].dataType)
     return compare(F.col(predicate.column), predicate.op, value)
 

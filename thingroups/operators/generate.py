@@ -11,18 +11,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property, reduce
+from hashlib import sha1
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from thingroups.functions import sums
-from thingroups.functions.draws import digest, salted, unit
+from thingroups.functions.draws import digest, fine_unit, salted, unit
 from thingroups.operators.filters import literal, where_all
 from thingroups.operators.sampling import at_most, rank_cuts
 from thingroups.operators.stats import long_form, norm_stats, value_counts
 from thingroups.sources.catalog import key_parts
-from thingroups.sources.storage import cut, is_written, write_once
+from thingroups.sources.storage import cut, write_once
 from thingroups.spec import Between, Predicate, TableSpec
 
 
@@ -223,12 +224,18 @@ def fit(
     return Fit(spec, group, columns, by_equal, _level(data, spec, fill, group), _level(data, spec, fill, None))
 
 
-def save_fit(fitted: Fit, folder: str) -> Fit:
+def model_path(folder: str, dataset: str, spec: TableSpec, group: str, columns: Sequence[str]) -> str:
+    """What the levels depend on: the dataset, the table and its kinds, the group, the columns."""
+    content = repr((dataset, sorted(spec.kinds.items()), sorted(spec.scales.items()), list(columns)))
+    return f"{folder}/model/{spec.name}/{group}/{sha1(content.encode()).hexdigest()[:16]}"
+
+
+def save_fit(fitted: Fit, folder: str, dataset: str = "") -> Fit:
     """Write the query-independent levels once; a later call reads them.
 
-    ``folder`` belongs to one dataset, as its tables are told apart by name only.
+    ``dataset`` tells apart catalogs that keep their models in one folder.
     """
-    base = f"{folder}/model/{fitted.spec.name}/{fitted.group}"
+    base = model_path(folder, dataset, fitted.spec, fitted.group, fitted.columns)
     by_group = write_once(fitted.by_group, f"{base}/by_group")
     overall = write_once(fitted.overall, f"{base}/overall")
     return Fit(fitted.spec, fitted.group, fitted.columns, fitted.by_equal, by_group, overall)
@@ -241,23 +248,15 @@ def load_or_fit(
     folder: str,
     predicates: Sequence[Predicate] = (),
     columns: Sequence[str] | None = None,
+    dataset: str = "",
 ) -> Fit:
     """Saved levels if there are any, else fit and save; equalities are fitted per query."""
-    base = f"{folder}/model/{spec.name}/{group}"
-    spark = rows.sparkSession
-    fitted = fit(rows, spec, group, predicates, columns)  # a plan: nothing runs yet
-    if is_written(spark, f"{base}/by_group") and is_written(spark, f"{base}/overall"):
-        by_group, overall = spark.read.parquet(f"{base}/by_group"), spark.read.parquet(f"{base}/overall")
-        if set(fitted.columns) - {group} <= set(overall.columns) | {group}:
-            return Fit(spec, group, fitted.columns, fitted.by_equal, by_group, overall)
-        raise ValueError(f"model at {base} was fitted on other columns")
-    return save_fit(fitted, folder)
+    return save_fit(fit(rows, spec, group, predicates, columns), folder, dataset)  # a plan until it is written
 
 
 # --- imputing -----------------------------------------------------------------
 
-
-SCATTER = 1024
+SALTS = 16
 
 
 def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
@@ -269,20 +268,30 @@ def impute(rows: DataFrame, fitted: Fit) -> DataFrame:
     types = {f.name: f.dataType for f in rows.schema.fields}
     overall = fitted.overall_values
     levels = [(f, p) for f, p in ((fitted.by_equal, "eq_"), (fitted.by_group, "grp_")) if f is not None]
-    # Rows without a group match nothing; a second key spreads them over tasks.
-    scatter = F.pmod(F.xxhash64(*columns), F.lit(SCATTER)) + 1
-    rows = rows.withColumn("scatter", F.when(F.col(group).isNull(), scatter).otherwise(F.lit(0).cast("bigint")))
+
+    def filled(rows: DataFrame, levels: list) -> DataFrame:
+        cells = {}
+        for c in columns:
+            options = [F.col(prefix + c) for frame, prefix in levels if c in frame.columns]
+            if c in overall:
+                options.append(F.lit(overall[c]))
+            cells[c] = F.coalesce(F.col(c), *[o.cast(types[c]) for o in options]) if options else F.col(c)
+        return rows.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in types])
+
+    # Rows without a group match no level: they need no join, only the overall values.
+    grouped, without = rows.where(F.col(group).isNotNull()), rows.where(F.col(group).isNull())
+    # A level has one line for each group; each line comes once per salt, so that the
+    # rows of a hot group meet it in as many tasks.
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    grouped = grouped.withColumn("salt", salt)
     for frame, prefix in levels:
-        shown = frame.select(*[F.col(c).alias(prefix + c) for c in frame.columns], F.lit(0).cast("bigint").alias(f"{prefix}at"))
-        on = (F.col(group) == F.col(f"{prefix}grp")) & (F.col("scatter") == F.col(f"{prefix}at"))
-        rows = rows.join(shown, on, "left")
-    cells = {}
-    for c in columns:
-        options = [F.col(prefix + c) for frame, prefix in levels if c in frame.columns]
-        if c in overall:
-            options.append(F.lit(overall[c]))
-        cells[c] = F.coalesce(F.col(c), *[o.cast(types[c]) for o in options]) if options else F.col(c)
-    return rows.select(*[cells[c].alias(c) if c in cells else F.col(c) for c in types])
+        shown = frame.select(
+            *[F.col(c).alias(prefix + c) for c in frame.columns],
+            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{prefix}salt"),
+        )
+        on = (F.col(group) == F.col(f"{prefix}grp")) & (F.col("salt") == F.col(f"{prefix}salt"))
+        grouped = grouped.join(shown, on, "left")
+    return filled(grouped, levels).unionByName(filled(without, []))
 
 
 def impute_sampled(
@@ -308,7 +317,7 @@ def impute_sampled(
     whole = complete_rows(donors, columns).select(*columns, F.concat_ws("|", *key).alias("donor_key"))
     whole = whole.withColumn("donor_digest", digest(salted("donor_rank", seed), "donor_key"))
     requests = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(imputations))))
-    requests = requests.withColumn("u", unit(salted("donor", seed), *request_key, F.col("k")))
+    requests = requests.withColumn("u", fine_unit(salted("donor", seed), *request_key, F.col("k")))
     asked = rows.select(group).distinct()
 
     equal = [p for p in predicates if not p.is_range and p.column in columns and p.column != group]
@@ -329,12 +338,20 @@ def impute_sampled(
     return reduce(DataFrame.unionByName, filled).select(*rows.columns, "k")
 
 
-# A pool falls into at most 16^4 cells by the leading digits of its digests; the
-# requests to a pool are handled in parts of about this many.
-CELL_DIGITS = 4
+# A pool falls into cells by the leading digits of its digests, as many digits as keep
+# a cell of the largest pool near this many rows; the requests to a pool are handled in
+# parts of about that many.
+CELL_ROWS = 65_536
 REQUESTS_PER_PART = 100_000
 
 
+def _cell_digits(pool_rows: int) -> int:
+    digits = 4
+    while pool_rows > CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def _sized(requests: DataFrame, pool: DataFrame) -> DataFrame:
     """Requests with the rows of their pool and the number of parts they are handled in."""
     donors = pool.groupBy("pool").agg(F.count(F.lit(1)).alias("pool_rows"))
@@ -349,7 +366,8 @@ def _from_donors(requests: DataFrame, pool: DataFrame, columns: Sequence[str]) -
     first; a request is matched to the cell its position falls into, and none
     but these cells are ranked row by row.
     """
-    pool = pool.withColumn("cell", F.substring("donor_digest", 1, CELL_DIGITS))
+    largest = requests.agg(F.coalesce(F.max("pool_rows"), F.lit(0))).first()[0]
+    pool = pool.withColumn("cell", F.substring("donor_digest", 1, _cell_digits(largest)))
     counts = pool.groupBy("pool", "cell").agg(F.count(F.lit(1)).alias("cell_rows"))
     before = Window.partitionBy("pool").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -402,7 +420,9 @@ def accept_by_density(
     """Keep a generated row with probability ``min(1, p_data(cell) / p_generated(cell))``."""
     n_data = data.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("cell")).agg(F.count(F.lit(1)).alias("n_data"))
     n_made = generated.groupBy(F.col(column).alias("cell")).agg(F.count(F.lit(1)).alias("n_made"))
-    all_data, all_made = data.where(F.col(column).isNotNull()).count(), generated.count()
+    n_data, n_made = cut(n_data), cut(n_made)
+    all_data = n_data.agg(F.coalesce(F.sum("n_data"), F.lit(0))).first()[0]
+    all_made = n_made.agg(F.coalesce(F.sum("n_made"), F.lit(0))).first()[0]
     ratio = F.try_divide(F.coalesce("n_data", F.lit(0)) * F.lit(all_made), F.col("n_made") * F.lit(all_data))
     ratios = n_made.join(n_data, "cell", "left").select("cell", F.least(F.lit(1.0), ratio).alias("p_accept"))
     judged = generated.join(ratios, F.col(column) == F.col("cell"), "left").drop("cell")

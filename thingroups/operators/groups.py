@@ -74,9 +74,8 @@ def group_counts(
         elif mode == "reference":
             at = binning.boundary_bin(v, lo, hi, bins)
             share = binning.boundary_fraction(p.op, v, lo, hi, bins)
-            side = at + 1 if p.op in (">", ">=") else at
-            shared = binning.edge(lo, hi, bins, side)
             first, last = binning.full_bins(p.op, v, lo, hi, bins)
+            shared = binning.edge(lo, hi, bins, first if p.op in (">", ">=") else last + 1)
             rows = rows.where((first <= last) & (x >= shared if p.op in (">", ">=") else x <= shared))
             extra = extra + F.when((x == shared) & at.between(0, bins - 1), share).otherwise(F.lit(0.0))
         else:

@@ -19,8 +19,6 @@ TOPUP_SALT = "topup"
 # Above this many rows the cell that holds a cut is split once more by its next
 # hex digits before single digests are counted.
 CELL_ROWS = 65_536
-# A list of this many group keys is small enough to be sent to every executor.
-SMALL_LIST = 100_000
 
 
 # --- uniform samples -------------------------------------------------------
@@ -41,10 +39,16 @@ def uniform_sample(
 
 
 def rank_cuts(
-    df: DataFrame, digests: Mapping[str, Column], size_of: Callable[[Column], Column]
+    df: DataFrame,
+    digests: Mapping[str, Column],
+    size_of: Callable[[Column], Column],
+    ties: dict[str, tuple[int, int]] | None = None,
 ) -> dict[str, str | None]:
     """Per name, the digest of the last row among the ``size_of(rows)`` lowest.
 
+    Rows with equal keys share a digest. If only some of those at the cut are among
+    the lowest, ``ties`` is given how many, and of how many.
+
     No global sort: rows are counted per leading hex digits (partial
     aggregation, at most 65,536 cells a name), the cell in which the running
     count crosses the target is found, and only that cell is looked into
@@ -80,9 +84,10 @@ def rank_cuts(
         still: dict[str, tuple[str, int | None]] = {}
         for row in crossing:
             left = min(row["target"], row["total"]) - (row["upto"] - row["n"])
-            # Rows with equal keys share a digest and are taken together.
             if left == row["n"] or digits >= 32:
                 cuts[row["name"]] = row["top"]
+                if left < row["n"] and ties is not None:
+                    ties[row["name"]] = (left, row["n"])
             else:
                 still[row["name"]] = (row["cell"], left)
         deeper = any(r["n"] > CELL_ROWS for r in crossing if r["name"] in still)
@@ -100,8 +105,28 @@ def exact_sample(
 ) -> DataFrame:
     """Simple random sample of exactly ``round(rate * rows)`` rows, without replacement."""
     order = digest(salted(salt, seed), *key_parts(df, spec))
-    cut = rank_cuts(df, {"all": order}, lambda total: F.bround(total * F.lit(rate), 0))["all"]
-    return df.where(at_most(order, cut))
+    return lowest(df, order, lambda total: F.bround(total * F.lit(rate), 0))[0]
+
+
+def lowest(
+    df: DataFrame, order: Column, size_of: Callable[[Column], Column], same: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Exactly ``size_of(rows)`` rows of lowest digest, and the others.
+
+    Rows of one key at the cut are told apart by all their columns; rows that are
+    the ``same`` in all of them are interchangeable.
+    """
+    ties: dict[str, tuple[int, int]] = {}
+    cut = rank_cuts(df, {"all": order}, size_of, ties)["all"]
+    if not ties:
+        return df.where(at_most(order, cut)), df.where(~at_most(order, cut))
+    shared, (wanted, there) = df.where(order == cut), ties["all"]
+    if same:
+        chosen, rest = shared.limit(wanted), shared.limit(there - wanted)
+    else:
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns]
+        chosen, rest = lowest(shared, digest("tie", *cells), lambda total: F.lit(wanted), same=True)
+    return df.where(order < cut).unionByName(chosen), df.where(order > cut).unionByName(rest)
 
 
 def sample_frames(
@@ -143,9 +168,8 @@ def train_validation_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Exact hold-out of ``ceil(ratio * rows)`` rows; returns (train, validation)."""
     order = digest(salted("holdout", seed), *key_parts(df, spec))
-    cut = rank_cuts(df, {"all": order}, lambda total: F.ceil(total * F.lit(ratio)))["all"]
-    held = at_most(order, cut)
-    return df.where(~held), df.where(held)
+    held, rest = lowest(df, order, lambda total: F.ceil(total * F.lit(ratio)))
+    return rest, held
 
 
 # --- rare groups -----------------------------------------------------------
@@ -170,18 +194,13 @@ def topup_rows(
     wanted: int,
     key: list[Column],
     seed: int = 42,
-    n_rare: int | None = None,
 ) -> DataFrame:
     """Up to ``need`` random candidate rows for every rare group, all groups in one job.
 
     Rows are ranked before they meet the needs: a need never exceeds ``wanted``,
     so each task drops all but ``wanted`` rows of a group before the shuffle, and
-    a group with a third of all rows costs no more than any other. If the number
-    of rare groups is known and small, other groups are dropped even before that.
+    a group with a third of all rows costs no more than any other.
     """
-    if n_rare is not None and n_rare <= SMALL_LIST:
-        listed = rare.select(F.col("grp").alias(group))
-        candidates = candidates.join(F.broadcast(listed), group, "left_semi").select(*candidates.columns)
     order = Window.partitionBy(group).orderBy("draw", "draw_key")
     ranked = (
         candidates.withColumn("draw", digest(salted(TOPUP_SALT, seed), *key))

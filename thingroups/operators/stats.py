@@ -16,7 +16,7 @@ def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
     texts = [F.col(c).cast("string").alias(f"cell_{c}") for c in columns]
     wide = df.select(*keep, *texts)
     lines = wide.unpivot(list(keep), [f"cell_{c}" for c in columns], "column", "value")
-    return lines.withColumn("column", F.substring("column", len("cell_") + 1, 1000))
+    return lines.withColumn("column", F.substr("column", F.lit(len("cell_") + 1)))
 
 
 def domain_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -93,7 +93,7 @@ class StagedRun:
         spec = self.catalog.spec(query.table)
         rows = scan_stored(self.catalog, query.table)
         if self.model_folder is not None:
-            return load_or_fit(rows, spec, query.group, self.model_folder, query.predicates)
+            return load_or_fit(rows, spec, query.group, self.model_folder, query.predicates, dataset=self.catalog.name)
         used = {query.group, query.measure, *(p.column for p in query.predicates)}
         if query.join is not None:
             used.add(query.join.fact_key)
@@ -183,9 +183,7 @@ class StagedRun:
         if not cfg.allow_duplicates:
             # Membership of the sample is a function of the key: no anti-join.
             candidates = candidates.where(~in_sample(candidates, spec, cfg.sample_rate, cfg.seed))
-        drawn = topup_rows(
-            candidates, query.group, rare, cfg.topup_rows, key, cfg.seed, self.metrics["num_of_rare_groups"]
-        )
+        drawn = topup_rows(candidates, query.group, rare, cfg.topup_rows, key, cfg.seed)
         return union_rows(frames[query.table], drawn)
 
     def _run_repaired(self, query: AggQuery) -> None:

@@ -104,13 +104,22 @@ class Catalog:
 
 
 def key_parts(df: DataFrame, spec: TableSpec) -> list[Column]:
-    """The row key as text columns; doubles go through decimal to print alike everywhere."""
+    """The row key as text columns, different for different keys.
+
+    NULL has a mark of its own and the separator is escaped. A double with declared
+    decimals is printed with these, so that it reads alike everywhere; one that has
+    more, or is not declared, is printed in full.
+    """
     parts = []
     for name in spec.row_key:
-        column = F.col(name)
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            column = column.cast(f"decimal(18,{spec.scales.get(name, 6)})")
-        parts.append(column.cast("string"))
+        column, dtype = F.col(name), df.schema[name].dataType
+        text = column.cast("string")
+        if isinstance(dtype, (T.DoubleType, T.FloatType)) and name in spec.scales:
+            short = column.try_cast(f"decimal(18,{spec.scales[name]})")
+            text = F.when(short.cast("double") == column.cast("double"), short.cast("string")).otherwise(text)
+        elif isinstance(dtype, T.StringType):
+            text = F.replace(F.replace(column, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        parts.append(F.coalesce(text, F.lit("\\N")))
     return parts
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
+from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +41,48 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_written(spark: SparkSession, path: str) -> bool:
-    """Whether a finished Parquet write is there; an aborted one has no data files."""
+_path_locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+_locks_guard = threading.Lock()
+
+
+def _lock(path: str) -> threading.Lock:
+    with _locks_guard:
+        return _path_locks[path]
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The data a manifest names, or None if there is none or its rows are not all there.
+
+    Data go to a fresh folder first; the manifest, one line with that folder and its
+    row count, is written last. What an aborted or a lost write left is never read.
+    """
     try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+        line = spark.read.schema("folder string, n_rows long").parquet(f"{path}/manifest").first()
+        if line is None:
+            return None
+        data = spark.read.parquet(f"{path}/{line['folder']}")
+        return data if data.count() == line["n_rows"] else None
+    except (AnalysisException, SparkRuntimeException, PySparkException):
+        return None
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    return published(spark, path) is not None
 
 
 def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write unless already written, and read back."""
+    """Write unless already written, and read back; one thread at a time per path."""
     spark = df.sparkSession
-    if not is_written(spark, path):
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    with _lock(path):
+        there = published(spark, path)
+        if there is not None:
+            return there
+        folder = f"data-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{path}/{folder}")
+        data = spark.read.schema(df.schema).parquet(f"{path}/{folder}")
+        line = spark.createDataFrame([(folder, data.count())], "folder string, n_rows long")
+        line.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        return data
 
 
 # --- index -----------------------------------------------------------------
@@ -87,7 +118,10 @@ class BitmapIndex:
     def _open(self, path: str) -> DataFrame:
         """A stored table; its files are listed once, not at every use."""
         if path not in self._opened:
-            self._opened[path] = self.catalog.spark.read.parquet(path)
+            there = published(self.catalog.spark, path)
+            if there is None:
+                raise FileNotFoundError(f"no finished index at {path}")
+            self._opened[path] = there
         return self._opened[path]
 
     def write_rows(self) -> DataFrame:
@@ -110,8 +144,12 @@ class BitmapIndex:
         Within a file containers are sorted by value, so that a value lookup
         skips row groups; files are filled by bucket, so that a hot value is
         spread over all of them."""
-        if self.bitmaps_path in self._opened or is_written(self.catalog.spark, self.bitmaps_path):
+        if self.bitmaps_path in self._opened:
             return self.read()
+        there = published(self.catalog.spark, self.bitmaps_path)
+        if there is not None:
+            self._opened[self.bitmaps_path] = there
+            return there
         files = max(1, -(-self.write_rows().count() // self.rows_per_file))
         spread = F.pmod(F.xxhash64("bucket"), F.lit(files))
         arranged = (
@@ -119,7 +157,8 @@ class BitmapIndex:
             .repartition("column", spread)
             .sortWithinPartitions("column", "value", "bucket")
         )
-        return write_once(arranged, self.bitmaps_path, ["column"])
+        self._opened[self.bitmaps_path] = write_once(arranged, self.bitmaps_path, ["column"])
+        return self.read()
 
     def save_bucketed(self, name: str, buckets: int) -> DataFrame:
         """The same index as a catalog table bucketed by row-id bucket, so that
