@@ -212,3 +212,13 @@ def test_pipeline_stages_on_odd_rows(spark):
     left = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     assert left == [(4, "another text of its own"), (4, text), (5, f"{text} [SECRET] end"), (6, "only one word")]
     assert [r["n_chars"] for r in docs.where("doc_id = 5").collect()] == [len(f"{text} [SECRET] end")]
+
+
+def test_large_hosts_in_several_groups(spark, monkeypatch):
+    line = "<p>Follow our weekly letter for all news</p>"
+    rows = [(i, f"https://a.example/{i}", f"<body>{line}<p>Story {i}</p></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (10, 0):
+        monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
+        got = html_extract.extract(df, group_bytes=2_000).collect()
+        assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"Story {i}") for i in range(60)]

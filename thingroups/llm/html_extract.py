@@ -29,11 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thingroups.llm.common import map_batches, on_workers
+from thingroups.llm.common import map_batches, on_workers, stored
 from thingroups.llm.decontaminate import suffix_array
 
 #: Tokens of a run that counts as repeated, and bytes of a host's group of pages.
 RUN, GROUP_BYTES = 5, 8_000_000
+#: Hosts of more than one group that are sent to all executors (some 50 bytes each); with
+#: more of them, pages and hosts are joined by a shuffle.
+MOST_BROADCAST = 100_000
 
 #: Fixed values of HTML: elements by what they mean for the text.
 RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|button|title|canvas|audio|video"
@@ -196,8 +199,13 @@ def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     parsed = map_batches(pages.withColumn("page_id", F.col("page_id").cast("long")), ["page_id", "url", "html"], parse, schema)
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     sizes = pages.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.sum(F.length("html")).alias("host_bytes"))
-    parts = F.ceil(F.coalesce("host_bytes", F.lit(0)) / group_bytes)
-    dealt = parsed.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.greatest(parts, F.lit(1))))
+    large = sizes.where(F.col("host_bytes") > group_bytes).select("host", F.ceil(F.col("host_bytes") / group_bytes).alias("parts"))
+    large = stored(large, "large-hosts")
+    few = large.count() <= MOST_BROADCAST
+    part = F.coalesce(F.pmod(F.xxhash64("page_id"), "parts"), F.lit(0))
+    dealt = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", part)
+    if not few:  # the join has dealt the pages by host alone
+        dealt = dealt.repartition("host", "part")
     return on_workers(dealt).groupBy("host", "part").applyInPandas(groups, "page_id long, url string, text string, n_repeated long")
 
 
