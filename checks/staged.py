@@ -15,7 +15,7 @@ from checks.scoring import ALIGNED, RATIOS, TAIL_ALIGNED
 from thingroups.plans import workloads
 from thingroups.plans.staged import StagedRun, metric_frame
 from thingroups.sources.workload import profile, profile_summary, read_workload
-from thingroups.spec import RunConfig
+from thingroups.spec import AggQuery, Predicate, RunConfig
 
 # Wall-clock seconds differ from run to run and are left out here.
 def without_seconds(metrics):
@@ -147,6 +147,50 @@ def staged_count(spark, sf):
     return row.select(*[F.round(c, 6).alias(c) for c in ("re", "precision", "recall", "missing_rate", "out_rate")])
 
 
+AT_END = AggQuery("COUNT", "l_quantity", "lineitem", "l_suppkey", (Predicate("l_quantity", ">=", 50),))
+
+
+# Every group and every count is right at the end of the domain, whatever the bins say.
+@check(
+    "staged_count_at_max",
+    "SELECT 0.0 AS re, 1.0 AS precision, (COUNT(*) > 0)::INT::DOUBLE AS recall, 0.0 AS missing_rate, 0.0 AS out_rate"
+    " FROM lineitem WHERE l_quantity >= 50",
+)
+def staged_count_at_max(spark, sf):
+    row = one_run(spark, sf, AT_END)
+    return row.select(*[F.round(c, 6).alias(c) for c in ("re", "precision", "recall", "missing_rate", "out_rate")])
+
+
+STAR_WHERE = "l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AND l_discount >= 0.05"
+STAR_COUNTS = (
+    f"{bounds('lineitem', 'l_discount')}, counts AS (SELECT grp, est_count FROM (SELECT l_returnflag AS grp,"
+    f" SUM({weight('l_discount', '>=', 0.05)}) AS est_count FROM lineitem, b"
+    " WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) GROUP BY 1) WHERE est_count > 0)"
+)
+STAR_TRUTH = f"SELECT l_returnflag AS grp, {total('l_quantity')} AS value FROM lineitem WHERE {STAR_WHERE} GROUP BY 1"
+STAR_WHOLE = (
+    f"SELECT w.grp, w.v * est_count AS value FROM (SELECT l_returnflag AS grp, {mean('l_quantity')} AS v FROM whole"
+    " GROUP BY 1) w JOIN counts ON w.grp = counts.grp"
+)
+STAR_STAGES = {
+    "num_of_rare_groups": "(SELECT COUNT(*) FROM rare)",
+    "re_after_sampling_rare_groups": scored_sql(STAR_TRUTH, STAR_WHOLE, "relative_error"),
+    "precision": scored_sql(STAR_TRUTH, STAR_WHOLE, "precision"),
+    "recall": scored_sql(STAR_TRUTH, STAR_WHOLE, "recall"),
+}
+
+
+# Thin groups are those of the filtered fact sample, before it meets the dimension.
+STAR_TOPUP = topup_sql("lineitem", STAR_WHERE, ITEM_KEY, ITEM_IN_SAMPLE, "l_returnflag", 5).replace(
+    "COUNT(*) AS n FROM smp", f"COUNT(*) AS n FROM lineitem WHERE l_discount >= 0.05 AND {ITEM_IN_SAMPLE}"
+)
+
+
+@check("staged_sum_join", f"WITH {STAR_COUNTS}, {STAR_TOPUP} SELECT {stages_sql(STAR_STAGES)}")
+def staged_sum_join(spark, sf):
+    return rounded(one_run(spark, sf, STAR.with_func("SUM"), RunConfig(topup_rows=5)), list(STAR_STAGES))
+
+
 COUNT_TRUTH = f"SELECT l_suppkey AS grp, COUNT(l_quantity)::DOUBLE AS value FROM {STAR_COUNT_FROM} GROUP BY 1"
 COUNT_ESTIMATE = (
     f"SELECT * FROM (SELECT l_suppkey AS grp, SUM({weight('l_extendedprice', '<', 20000)}) AS value FROM lineitem, b"
@@ -211,23 +255,6 @@ def type_run(spark, sf, name):
     return run, statements, workloads.run_workload(run, statements, parallel=4)
 
 
-@check(
-    "workload_run",
-    "SELECT event_type, preds AS n_predicates, 0.0 AS precision_gap, CAST(failed AS BOOLEAN) AS failed FROM"
-    " (SELECT DISTINCT event_type FROM events), (VALUES (1, FALSE), (2, FALSE), (3, FALSE), (0, TRUE)) t(preds, failed)",
-)
-def workload_run(spark, sf):
-    _, _, metrics = type_run(spark, sf, "run")
-    kind = F.regexp_extract("sql", "event_type = '([^']*)'", 1)
-    return metrics.select(
-        kind.alias("event_type"),
-        "n_predicates",
-        # The index covers every row, so no predicted group can be wrong but for boundary bins.
-        F.when(F.col("recall") < 1, 1.0).otherwise(0.0).alias("precision_gap"),
-        F.col("error").isNotNull().alias("failed"),
-    )
-
-
 @check(
     "workload_profile",
     "SELECT 'SUM' AS func, 'event_type' AS grp_column, 1 AS n_predicates, COUNT(DISTINCT user_id) AS n_statements FROM events"
@@ -255,6 +282,18 @@ def workload_errors_sql():
     )
 
 
+@check(
+    "workload_run",
+    workload_errors_sql() + " SELECT event_type, n_predicates, round(err, 6) AS re, FALSE AS failed FROM errors"
+    " UNION ALL SELECT DISTINCT event_type, 0, NULL, TRUE FROM events",
+)
+def workload_run(spark, sf):
+    _, _, metrics = type_run(spark, sf, "run")
+    kind = F.regexp_extract("sql", "event_type = '([^']*)'", 1)
+    failed = F.col("error").isNotNull().alias("failed")
+    return metrics.select(kind.alias("event_type"), "n_predicates", F.round("re", 6).alias("re"), failed)
+
+
 @check(
     "workload_by_predicate_count",
     workload_errors_sql() + " SELECT n_predicates, COUNT(*) AS n_statements, round(avg(err), 6) AS mean_error FROM errors GROUP BY 1",

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from copy import copy
+from functools import partial, reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thingroups.operators.relational import matching_rows
-from thingroups.plans.staged import StagedRun, metric_frame
-from thingroups.sources.storage import write_truth
+from thingroups.operators.filters import conjunction, route
+from thingroups.operators.relational import join_fact_dim
+from thingroups.operators.sampling import cached_sample
+from thingroups.plans.staged import METRIC_TYPES, StagedRun, metric_frame
+from thingroups.sources.catalog import scan_stored
+from thingroups.sources.storage import read_truth, write_metrics_csv, write_truth
 from thingroups.sources.workload import profile, to_query
 from thingroups.spec import AggQuery
 
@@ -40,14 +45,25 @@ def run_workload(
     dataset: str = "",
     synthetic_only: bool = False,
     parallel: int = 1,
+    replay: bool = False,
+    metrics_path: str | None = None,
 ) -> DataFrame:
     """One metric row per statement; a failing statement is recorded and skipped over.
 
+    The answer sample is drawn once for all statements. Exact answers go to
+    ``truth_folder``, or with ``replay`` come from there instead of being computed
+    again. ``metrics_path`` is given the metric rows as one CSV.
+
     With ``parallel`` several statements are submitted at a time: their jobs are
     small, and Spark runs those of different threads side by side. Measured
     seconds then include waiting for the others.
     """
 
+    run, held = copy(run), []
+    if run.samples is None and not synthetic_only:
+        run.samples = cached_sample(run.catalog, run.config.sample_rate, run.config.seed)
+        held = [run.samples[t] for t in run.catalog.facts]
+
     def one(item) -> dict:
         idx, line, query = item
         record = {k: line[k] for k in ("workload", "sql", "n_predicates")}
@@ -55,10 +71,13 @@ def run_workload(
         try:
             if isinstance(query, Exception):
                 raise query
-            keep = None
-            if truth_folder is not None:
+            keep = truth = None
+            if replay:
+                grp_type = run.catalog.frame(query.table).schema[query.group].dataType.simpleString()
+                truth = read_truth(run.catalog.spark, truth_folder, dataset, line["workload"], idx, grp_type)
+            elif truth_folder is not None:
                 keep = partial(write_truth, folder=truth_folder, dataset=dataset, workload=line["workload"], idx=idx)
-            record.update(run.run(query, synthetic_only, keep_truth=keep))
+            record.update(run.run(query, synthetic_only, truth, keep))
         except Exception as problem:  # noqa: BLE001 - the workload goes on
             record["error"] = f"{type(problem).__name__}: {problem}".splitlines()[0]
         return record
@@ -69,7 +88,12 @@ def run_workload(
             rows = list(pool.map(one, items))
     else:
         rows = [one(item) for item in items]
-    return metric_frame(run.catalog.spark, rows, EXTRA)
+    for df in held:
+        df.unpersist()
+    metrics = metric_frame(run.catalog.spark, rows, EXTRA)
+    if metrics_path is not None:
+        write_metrics_csv(metrics, metrics_path, [*EXTRA, *METRIC_TYPES])
+    return metrics
 
 
 def numbered(lines: list[tuple[dict, AggQuery | Exception]]) -> list[tuple[int, dict, AggQuery | Exception]]:
@@ -99,15 +123,24 @@ def by_predicate_count(metrics: DataFrame) -> DataFrame:
 
 def selectivities(run: StagedRun, statements: DataFrame) -> DataFrame:
     """Share of fact rows each statement selects: ``(workload, idx, selectivity)``."""
-    totals: dict[str, int] = {}
-    rows = []
+    catalog, rows = run.catalog, []
+    by_source: dict[tuple, list] = {}
     for idx, line, query in numbered(queries_of(run, statements)):
-        if isinstance(query, Exception):
-            continue
-        if query.table not in totals:
-            totals[query.table] = run.catalog.frame(query.table).count()
-        share = matching_rows(run.catalog, query).count() / max(totals[query.table], 1)
-        rows.append((line["workload"], idx, share))
+        if not isinstance(query, Exception):
+            by_source.setdefault((query.table, query.join), []).append((line["workload"], idx, query))
+    totals = {table: catalog.frame(table).count() for table, _ in by_source}
+    for (table, join), asked in by_source.items():
+        # One scan for all statements over the same tables: a conditional count for each.
+        frames = {t: scan_stored(catalog, t) for t in catalog.tables_of(asked[0][2])}
+        source = frames[table] if join is None else join_fact_dim(asked[0][2], frames[table], frames[join.dimension])
+        counts = []
+        for i, (_, _, query) in enumerate(asked):
+            routed = route(query.predicates, catalog.specs, frames)
+            wanted = [conjunction(frames[t], found, catalog.spec(t)) for t, found in routed.items()]
+            counts.append(F.count_if(reduce(and_, wanted)).alias(f"n{i}"))
+        for i in range(0, len(counts), 100):
+            line = source.agg(*counts[i : i + 100]).first()
+            rows += [(*asked[i + k][:2], n / max(totals[table], 1)) for k, n in enumerate(line)]
     return run.catalog.spark.createDataFrame(rows, "workload string, idx int, selectivity double")
 
 
