@@ -354,6 +354,7 @@ def near_copies(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     members = classes.join(least, "component").select(F.col("node").alias("key"), "component_id")
     ids = named.join(members, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    ids = stored(ids, "ids")  # a plain table, so that the join can split the copies of a hot text
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(ids, "key", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
