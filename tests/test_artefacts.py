@@ -89,3 +89,34 @@ def test_closed_comparisons_at_the_ends(spark):
         if expected:
             assert spark.range(1).select((first <= last).alias("some")).first()["some"], (op, v)
     assert spark.range(1).select(binning.boundary_fraction("<=", 50.0, 0.0, 100.0, 100)).first()[0] > 0
+
+
+def test_hot_join_keys_are_added_up_before_the_join(spark):
+    from thingroups import AggQuery, Catalog, JoinSpec
+    from thingroups.operators.groups import group_counts
+    from thingroups.operators.relational import exact
+
+    fact = TableSpec("f", {"k": "int", "x": "num"}, ("k", "x"), is_fact=True, scales={"x": 2})
+    dim = TableSpec("d", {"dk": "int", "w": "num"}, ("dk", "w"))
+    rows = spark.range(3_000).selectExpr("cast(if(id % 3 = 0, id % 40, 7) as int) as k", "cast(if(id % 11 = 0, null, id % 13) as double) as x")
+    dims = spark.createDataFrame([(i, float(i % 5)) for i in range(30)] + [(7, 4.0)], "dk int, w double")
+    cat = Catalog(spark, {"f": fact, "d": dim}, {"f": rows, "d": dims}, name="hot")
+    rows.createOrReplaceTempView("f")
+    dims.createOrReplaceTempView("d")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for func in ("AVG", "SUM", "COUNT"):
+            for group in ("k", "dk"):
+                query = AggQuery(func, "x", "f", group, (Predicate("w", ">", 0), Predicate("x", ">=", 1)), JoinSpec("d", "k", "dk"))
+                sql = f"SELECT {group}, {func}(x) FROM f JOIN d ON k = dk WHERE w > 0 AND x >= 1 GROUP BY 1"
+                expected = {r[0]: pytest.approx(float(r[1])) for r in spark.sql(sql).collect()}
+                answered = exact(cat, query)
+                assert {r["grp"]: r["value"] for r in answered.collect()} == expected
+                assert "Exchange hashpartitioning(k" in answered._jdf.queryExecution().toString()
+                plan = answered._jdf.queryExecution().optimizedPlan().toString()
+                assert plan.index("Join") < plan.rindex("Aggregate")  # an aggregate stands below the join
+        counted = group_counts(cat, AggQuery("COUNT", "x", "f", "k", (Predicate("w", ">", 0),), JoinSpec("d", "k", "dk")))
+        sql = "SELECT k, COUNT(*) FROM f WHERE k IN (SELECT dk FROM d WHERE w > 0) GROUP BY 1"
+        assert {r["grp"]: r["est_count"] for r in counted.collect()} == {r[0]: r[1] for r in spark.sql(sql).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -26,10 +26,9 @@ def index_rows(catalog: Catalog, query: AggQuery, index: BitmapIndex | None = No
 def _joined(catalog: Catalog, query: AggQuery, rows: DataFrame) -> DataFrame:
     if query.join is None:
         return rows
-    parts = filtered_frames(
-        catalog, query, {query.table: rows, query.join.dimension: scan_stored(catalog, query.join.dimension)}
-    )
-    return semi_join_reduce(query, rows, parts[query.join.dimension])
+    dim = query.join.dimension
+    predicates = route(query.predicates, catalog.specs, catalog.tables_of(query))[dim]
+    return semi_join_reduce(query, rows, where_all(scan_stored(catalog, dim), predicates, catalog.spec(dim)))
 
 
 def _fact_predicates(catalog: Catalog, query: AggQuery):
@@ -81,7 +80,12 @@ def group_counts(
         else:
             raise ValueError(f"unknown count mode '{mode}'")
     total = F.sum(weight + extra) / F.lit(float(rate))
-    counted = _joined(catalog, query, rows).groupBy(F.col(query.group).alias("grp")).agg(total.alias("est_count"))
+    if query.join is not None and query.group == query.join.fact_key:
+        # Groups are join keys: count first, then drop the keys without a dimension row.
+        by_key = rows.groupBy(query.group).agg(total.alias("est_count"))
+        counted = _joined(catalog, query, by_key).withColumnRenamed(query.group, "grp")
+    else:
+        counted = _joined(catalog, query, rows).groupBy(F.col(query.group).alias("grp")).agg(total.alias("est_count"))
     return counted.where(F.col("grp").isNotNull() & (F.col("est_count") > 0))
 
 
