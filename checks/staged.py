@@ -213,7 +213,7 @@ SYNTHETIC = (
     f" ({generated_sql('SELECT DISTINCT user_id AS grp FROM events')}) WHERE value > 20 GROUP BY 1"
 )
 SYNTHETIC_STAGES = {
-    "re_after_dynamic_supply": scored_sql(TRUTH, SYNTHETIC, "relative_error"),
+    "re_after_supply_missing_groups": scored_sql(TRUTH, SYNTHETIC, "relative_error"),
     "precision": scored_sql(TRUTH, SYNTHETIC, "precision"),
     "recall": scored_sql(TRUTH, SYNTHETIC, "recall"),
 }

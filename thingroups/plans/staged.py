@@ -222,19 +222,20 @@ class StagedRun:
         self._score("re_after_dynamic_supply", lambda: self._estimate(query, frames, counts, supplied))
 
     def _run_synthetic(self, query: AggQuery) -> None:
-        """Answer from generated rows only: the sample is empty."""
+        """Answer from generated rows only: the sample is empty, so all groups are missing ones
+        and get a fixed number of rows. Nothing is accepted or allocated."""
         cfg, catalog = self.config, self.catalog
         base = scan_stored(catalog, query.table)
         domain = base.select(F.col(query.group).alias("grp")).where(F.col("grp").isNotNull()).distinct()
         fitted, types, bounds = self._fit(query), self._types(query), catalog.bounds(query.table)
         made = self._timed(
-            "dynamic_supply_latency",
+            "supply_missing_groups_latency",
             lambda: generate_for(domain, query.predicates, fitted, types, bounds, cfg.batch_rows, cfg.seed),
         )
         frames = {t: scan_stored(catalog, t) for t in catalog.tables_of(query)}
         frames[query.table] = base.limit(0)
         self._score(
-            "re_after_dynamic_supply",
+            "re_after_supply_missing_groups",
             lambda: approx_avg(catalog, query, frames, made.select(*fitted.columns)),
         )
 

@@ -109,7 +109,7 @@ def numbered(lines: list[tuple[dict, AggQuery | Exception]]) -> list[tuple[int,
 
 def final_error() -> Column:
     """The error of the last stage a query went through."""
-    return F.coalesce("re_after_dynamic_supply", "re")
+    return F.coalesce("re_after_dynamic_supply", "re_after_supply_missing_groups", "re")
 
 
 def by_predicate_count(metrics: DataFrame) -> DataFrame:
