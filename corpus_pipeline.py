@@ -53,15 +53,16 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keys=["doc_id", "lang", "source", "text"])
-    decoded = bpe.decode(encoded.withColumn("tokens", F.col("ids")), path)
-    return decoded.select(
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    keys = ["doc_id", "lang", "source", "digest"]
+    encoded = bpe.encode(docs.withColumn("digest", digest), path, public_tokenizers.PATTERN, keys=keys)
+    return bpe.decode(encoded, path, keep_ids=True).select(
         "doc_id",
         "lang",
         "source",
-        F.size("tokens").cast("long").alias("n_tokens"),
-        F.col("tokens").alias("ids"),
-        (F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"),
     )
 
 

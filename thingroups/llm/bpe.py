@@ -213,8 +213,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keys: Ite
     return map_batches(df, [*keys, text], work, schema, arrow_in=True)
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
-    """Replace ``ids`` by the bytes of its tokens. NULL ids give no bytes."""
+def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded", keep_ids: bool = False) -> DataFrame:
+    """Replace ``ids`` by the bytes of its tokens, or add them. NULL ids give no bytes."""
     keys = [c for c in df.columns if c != ids]
     vocabulary = load_vocabulary(df, path)
 
@@ -224,14 +224,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded")
         for token, i in ranks.items():
             tokens[i] = token
         for *key_columns, lists in batches:
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()  # both know where a slice begins
             decoded = [
                 b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)
             ]
-            yield dict(zip(keys, key_columns, strict=True)) | {output: decoded}
+            yield dict(zip(keys, key_columns, strict=True)) | {output: decoded} | ({ids: lists} if keep_ids else {})
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{output}` binary"])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{output}` binary"] + [f"`{ids}` array<int>"] * keep_ids)
     return map_batches(df, [*keys, ids], work, schema, arrow_in=True)
 
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from thingroups.sources.storage import scratch_folder
 
 
+#: Rows that a Python worker holds as Python objects at a time.
+ROWS_AT_ONCE = 2_500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,8 @@ def map_batches(
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ([c if arrow_in else c.to_pylist() for c in b.columns] for b in batches if b.num_rows)
+        parts = (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
+        lists = ([c if arrow_in else c.to_pylist() for c in part.columns] for part in parts)
         for out in work(lists):
             columns = [out[f.name] for f in arrow]
             columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]

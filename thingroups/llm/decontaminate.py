@@ -236,7 +236,7 @@ def find_overlaps(
 ) -> DataFrame:
     """Per document: the columns ``keep``, n_words, n_hit, items (sorted ids with an
     occurring phrase) and spans (characters to remove: start, end exclusive)."""
-    blocks = _blocks(benchmark, block_bytes)
+    blocks, columns = _blocks(benchmark, block_bytes), list(dict.fromkeys([*keep, "text"]))
     kinds = dict(documents.dtypes)
     schema = ", ".join(
         [f"`{k}` {kinds[k]}" for k in keep]
@@ -245,8 +245,8 @@ def find_overlaps(
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         phrases = [Phrases(b.value, width) for b in blocks]
-        for *columns, texts in batches:
-            first = 0
+        for arrays in batches:
+            texts, first = arrays[columns.index("text")].to_pylist(), 0
             while first < len(texts):
                 lists, total, end = [], 0, first
                 while end < len(texts) and (end == first or total < shard_words):
@@ -254,7 +254,8 @@ def find_overlaps(
                     total += len(lists[-1])
                     end += 1
                 marked, hits = _shard(phrases, lists)
-                yield {k: c[first:end] for k, c in zip(keep, columns, strict=True)} | {
+                kept = {k: a.slice(first, end - first) for k, a in zip(columns, arrays, strict=True)}
+                yield kept | {
                     "n_words": [len(x) for x in lists],
                     "n_hit": [int(m.sum()) for m in marked],
                     "items": [sorted(h) for h in hits],
@@ -265,7 +266,7 @@ def find_overlaps(
                 }
                 first = end
 
-    return map_batches(documents, [*keep, "text"], work, schema)
+    return map_batches(documents, columns, work, schema, arrow_in=True)
 
 
 def contaminated(share: int = 20) -> Column:

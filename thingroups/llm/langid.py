@@ -146,10 +146,12 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], keep: list[
     names = sorted(prototypes)
     matrix = _units(np.stack([prototypes[n] for n in names])).astype(np.float32) if names else None
     model = documents.sparkSession.sparkContext.broadcast((names, matrix))
+    columns = list(dict.fromkeys([*keep, "text"]))
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         profiles, (names, matrix) = Profiles(dimensions), model.value
-        for *columns, texts in batches:
+        for arrays in batches:
+            texts = arrays[columns.index("text")].to_pylist()
             language, score, cosine = [], [], []
             for i in range(0, len(texts), TOGETHER):
                 vectors, found = profiles.vectors(texts[i : i + TOGETHER])
@@ -162,11 +164,11 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], keep: list[
                 language += [names[b] if f else "und" for b, f in zip(best, found, strict=True)]
                 score += np.where(found, share, 0.0).tolist()
                 cosine += np.where(found, top, 0.0).tolist()
-            yield dict(zip(keep, columns, strict=True)) | {"lang_pred": language, "score": score, "cosine": cosine}
+            yield dict(zip(columns, arrays, strict=True)) | {"lang_pred": language, "score": score, "cosine": cosine}
 
     kinds = dict(documents.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double", "cosine double"])
-    return map_batches(documents, [*keep, "text"], work, schema)
+    return map_batches(documents, columns, work, schema, arrow_in=True)
 
 
 def held_out() -> Column:
