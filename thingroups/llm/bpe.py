@@ -168,18 +168,6 @@ class PieceEncoder(dict):
         return known
 
 
-_encoders: dict[tuple[str, int], PieceEncoder] = {}
-
-
-def encoder(vocabulary) -> PieceEncoder:
-    """The encoder of a broadcast vocabulary; one for each worker process."""
-    key = (getattr(vocabulary, "_path", None) or "", hash(vocabulary.value))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(read_ranks(vocabulary.value))
-    return _encoders[key]
-
-
 def load_vocabulary(df: DataFrame, path: str):
     """Vocabulary files hold a few 10,000 tokens; the driver reads the file once."""
     with open(path, "rb") as f:
@@ -197,7 +185,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keys: Ite
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         pieces = regex.compile(pattern)
-        known = encoder(vocabulary)
+        known = PieceEncoder(read_ranks(vocabulary.value))  # goes with the task: workers outlive it
         for *key_columns, texts in batches:
             ids, ends = array("i"), [0]
             for text in texts.to_pylist():

@@ -53,6 +53,7 @@ def map_batches(
             columns = [out[f.name] for f in arrow]
             columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return on_workers(df).select(*columns).mapInArrow(run, schema)
 

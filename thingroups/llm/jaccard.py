@@ -48,7 +48,7 @@ NGRAM, PERCENT = 4, 85
 #: Rows of a block in the products, and hashes of a range.
 BLOCK_ROWS, RANGE_HASHES = 512, 3_000_000
 #: Words that a worker remembers the hash of.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 
 class _Words(dict):
@@ -109,6 +109,7 @@ def sets_of(documents: DataFrame, ngram: int, hashes: bool) -> DataFrame:
                     "key": [_set_key(s) if len(s) else None for s in sets],
                 }
                 yield out | ({"hashes": [s.tobytes() for s in sets]} if hashes else {})
+        _words.clear()  # workers outlive their tasks
 
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n long, key binary" + ", hashes binary" * hashes
@@ -180,6 +181,7 @@ def possible(documents: DataFrame, ngram: int, percent: int, total_hashes: int)
                     if len(whole):
                         heads[_set_key(whole)] = whole[: head_length(len(whole), percent)]
                 yield from _cells(list(heads), list(heads.values()), parts, 8, np.uint32)
+        _words.clear()
 
     def overlaps(block: pd.DataFrame) -> pd.DataFrame:
         keys, owner, hashes = _joined(block, 8, np.uint32)
