@@ -33,7 +33,7 @@ from thingroups.llm.common import map_batches, on_workers, stored
 from thingroups.llm.decontaminate import suffix_array
 
 #: Tokens of a run that counts as repeated, and bytes of a host's group of pages.
-RUN, GROUP_BYTES = 5, 8_000_000
+RUN, GROUP_BYTES = 5, 2_000_000
 #: Hosts of more than one group that are sent to all executors (some 50 bytes each); with
 #: more of them, pages and hosts are joined by a shuffle.
 MOST_BROADCAST = 100_000
