@@ -222,3 +222,22 @@ def test_large_hosts_in_several_groups(spark, monkeypatch):
         monkeypatch.setattr(html_extract, "MOST_BROADCAST", most)
         got = html_extract.extract(df, group_bytes=2_000).collect()
         assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"Story {i}") for i in range(60)]
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def test_copies_of_a_page_and_phrases_stay(spark):
+    copy = "<p>A whole story of more than five words</p><p>and its second part which is long too</p>"
+    quote = " ".join(f"q{i}" for i in range(20))
+    phrase = "he said in the end that nothing was lost"
+    rows = [(1, copy), (2, f"<nav>print this page now and here</nav>{copy}"), (3, copy)]
+    rows += [(i, f"<p>Writer {i} tells that {phrase} on day {i}</p>") for i in (4, 5, 6)]
+    rows += [(i, f"<p>Report {i} quotes {quote} on day {i}</p>") for i in (7, 8)]
+    df = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], PAGES)
+    for group_bytes in (2_000_000,):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, group_bytes).collect()}
+        story = "A whole story of more than five words and its second part which is long too"
+        assert [got[i] for i in (1, 2, 3)] == [story] * 3
+        assert [got[i] for i in (4, 5, 6)] == [f"Writer {i} tells that {phrase} on day {i}" for i in (4, 5, 6)]
+        assert [got[i] for i in (7, 8)] == [f"Report {i} quotes {quote} on day {i}" for i in (7, 8)]

@@ -3,16 +3,18 @@
 A page is cut into blocks at block-level tags. Markup decides where it can: blocks
 in menus, headers, footers, sidebars, notices, adverts, forms and comments go, and
 blocks of an article or main part stay. All blocks outside articles also go into
-the host's token stream: a suffix array of the concatenated streams of a host's
-pages finds runs of ``RUN`` or more tokens that stand on several pages. Tokens that
-such runs cover are boilerplate and are removed; unique runs stay. If a page has
-an article, blocks outside it that are left over are not part of it and go too.
+the host's token stream. Boilerplate are whole blocks of ``RUN`` or more tokens that
+another page has too, and runs of ``LONG`` or more tokens inside blocks that stand on
+``LONG_PAGES`` pages or more, found by a suffix array of the concatenated streams of
+a host's pages. Shorter runs inside a block are phrases, and stay. Pages with equal
+blocks are one page here, as are rows of one page id. If a page has an article,
+blocks outside it that are left over are not part of it and go too.
 
 The pages of a host are dealt into groups of bounded bytes by a hash of the page id,
-so that a large host is many groups; boilerplate of a host stands in each of them.
+so that a large host is many groups; boilerplate is found within each of them.
 
 Edge cases: NULL or empty html has an empty text; a page without an article keeps
-all its unique blocks; a host with one page has nothing to compare with; repeated
+all that is not boilerplate; a host with one page has nothing to compare with; repeated
 rows of one page id are one page, however often they come, and are answered each; a
 NULL url is a host of its own; unclosed elements end with what encloses them; pages
 are read whole; an empty table gives an empty table; further columns are not looked at.
@@ -22,18 +24,22 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thingroups.llm.common import map_batches, on_workers, stored
 from thingroups.llm.decontaminate import suffix_array
 
-#: Tokens of a run that counts as repeated, and bytes of a host's group of pages.
+#: Tokens of a whole block that counts as repeated, and bytes of a host's group of pages.
 RUN, GROUP_BYTES = 5, 2_000_000
+#: Tokens of a run that counts inside a block, and pages that it stands on.
+LONG, LONG_PAGES = 15, 3
 #: Hosts of more than one group that are sent to all executors (some 50 bytes each); with
 #: more of them, pages and hosts are joined by a shuffle.
 MOST_BROADCAST = 100_000
@@ -109,18 +115,45 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[list[list[str]]], pages: list, run: int = RUN) -> list[list[np.ndarray]]:
-    """For each stream's blocks, which tokens lie in a run that another page has as well."""
+def window_keys(hashes: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """A 64-bit key of each window of ``width`` token hashes."""
+    out = np.full(max(0, len(hashes) - width + 1), seed, np.uint64)
+    for i in range(width if len(out) else 0):
+        out = (out ^ hashes[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _distinct(group: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many different values each group has."""
+    pairs = np.unique(group * (of.max() + 1) + of)
+    return np.bincount(pairs // (of.max() + 1), minlength=group[-1] + 1)
+
+
+def repeated(
+    streams: list[list[list[str]]],
+    pages: list,
+    run: int = RUN,
+    least: int = 2,
+    contents: list | None = None,
+    known: np.ndarray | None = None,
+    seed: int = 0,
+) -> list[list[np.ndarray]]:
+    """For each stream's blocks, which tokens lie in a run that stands on ``least`` pages,
+    different in id and in content, or whose window's key is ``known`` to do so."""
+    contents = contents or [tuple(map(tuple, stream)) for stream in streams]
     numbers: dict[str, int] = {}
     blocks = [b for stream in streams for b in stream]
     total = sum(len(b) + 1 for b in blocks)
-    text, page = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    text, page, content = (np.zeros(total, np.int64) for _ in range(3))
     page_number = {p: i for i, p in enumerate(dict.fromkeys(pages))}
+    content_number = {c: i for i, c in enumerate(dict.fromkeys(contents))}
     at = 0
-    for stream, p in zip(streams, pages, strict=True):
+    for stream, p, c in zip(streams, pages, contents, strict=True):
         for b in stream:
             text[at : at + len(b)] = [numbers.setdefault(t, len(numbers)) for t in b]
             page[at : at + len(b) + 1] = page_number[p]
+            content[at : at + len(b) + 1] = content_number[c]
             at += len(b) + 1
     ends = np.cumsum([len(b) + 1 for b in blocks]) - 1
     text[ends] = len(numbers) + np.arange(len(ends))  # a separator occurs once: no run goes across
@@ -132,10 +165,14 @@ def repeated(streams: list[list[list[str]]], pages: list, run: int = RUN) -> lis
         for k in range(run):
             same &= text[np.minimum(order[1:] + k, total - 1)] == text[np.minimum(order[:-1] + k, total - 1)]
         group = np.cumsum(np.concatenate([[True], ~same])) - 1
-        low, high = np.full(group[-1] + 1, total), np.full(group[-1] + 1, -1)
-        np.minimum.at(low, group, page[order])
-        np.maximum.at(high, group, page[order])
-        starts = order[(low < high)[group]]
+        often = (_distinct(group, page[order]) >= least) & (_distinct(group, content[order]) >= least)
+        starts = order[often[group]]
+        if known is not None and len(known):
+            hashes = np.concatenate([token_hashes(list(numbers)), np.arange(len(ends), dtype=np.uint64)])
+            elsewhere = np.flatnonzero(np.isin(window_keys(hashes[text], run, seed), known))
+            inside = np.searchsorted(ends, elsewhere) == np.searchsorted(ends, elsewhere + run - 1)
+            inside &= ~np.isin(elsewhere + run - 1, ends)
+            starts = np.union1d(starts, elsewhere[inside])
         np.add.at(covered, starts, 1)
         np.add.at(covered, np.minimum(starts + run, total), -1)
     marks = np.cumsum(covered[:total]) > 0
@@ -149,21 +186,60 @@ def repeated(streams: list[list[list[str]]], pages: list, run: int = RUN) -> lis
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]], ids: list) -> list[tuple[str, int]]:
-    """Text and number of repeated tokens of each page of a host's group."""
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(t) for t in tokens), np.uint64, len(tokens))
+
+
+def content_key(page: list[tuple[int, str]]) -> int:
+    """Equal for pages with the same blocks, menus and the like left aside."""
+    said = [text for kind, text in page if kind == OPEN] or [text for kind, text in page if kind != KEEP]
+    return xxhash.xxh64_intdigest("\n".join(said))
+
+
+def keys_of(page: list[tuple[int, str]], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a page's whole blocks, and of its windows of LONG tokens."""
+    texts = [text for kind, text in page if kind != KEEP]
+    streams = [text.split() for text in texts]
+    whole = [xxhash.xxh64_intdigest(t, seed) for t, s in zip(texts, streams, strict=True) if len(s) >= RUN]
+    windows = [window_keys(token_hashes(s), LONG, seed) for s in streams if len(s) >= LONG]
+    return np.array(sorted(set(whole)), np.uint64), np.unique(np.concatenate([*windows, np.zeros(0, np.uint64)]))
+
+
+def host_seed(host: str) -> int:
+    return xxhash.xxh64_intdigest(host)
+
+
+def main_texts(
+    pages: list[list[tuple[int, str]]], ids: list, host: str = "", known: np.ndarray | None = None
+) -> list[tuple[str, int]]:
+    """Text and number of repeated tokens of each page of a host's group. ``known``: keys
+    of blocks and windows that other groups make boilerplate."""
     streams = [[text.split() for kind, text in page if kind != KEEP] for page in pages]
+    contents, seed = [content_key(page) for page in pages], host_seed(host)
+    on: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+    for page, i, c in zip(pages, ids, contents, strict=True):
+        for kind, text in page:
+            if kind != KEEP:
+                on[text][0].add(i)
+                on[text][1].add(c)
+    elsewhere = set() if known is None else set(known.tolist())
+    whole = {t for t, (i, c) in on.items() if (min(len(i), len(c)) > 1 or xxhash.xxh64_intdigest(t, seed) in elsewhere) and len(t.split()) >= RUN}
     out = []
-    for page, stream, marks in zip(pages, streams, repeated(streams, ids), strict=True):
+    runs = repeated(streams, ids, LONG, LONG_PAGES, contents, known, seed)
+    for page, stream, marks in zip(pages, streams, runs, strict=True):
         has_article = any(kind == KEEP for kind, _ in page)
-        kept, outside = [], iter(zip(stream, marks, strict=True))
+        kept, n_repeated, outside = [], 0, iter(zip(stream, marks, strict=True))
         for kind, text in page:
             if kind == KEEP:
                 kept.append(text)
                 continue
             tokens, mark = next(outside)
+            if text in whole:
+                mark = np.ones(len(tokens), bool)
+            n_repeated += int(mark.sum())
             if kind == OPEN and not has_article:
                 kept.append(" ".join(t for t, m in zip(tokens, mark, strict=True) if not m))
-        out.append((" ".join(filter(None, kept)), int(sum(m.sum() for m in marks))))
+        out.append((" ".join(filter(None, kept)), n_repeated))
     return out
 
 
