@@ -227,6 +227,21 @@ def test_large_hosts_in_several_groups(spark, monkeypatch):
 PAGES = "page_id long, url string, html string"
 
 
+def test_repeats_across_groups_of_a_host(spark):
+    quote = " ".join(f"q{i}" for i in range(20))
+    rows = [(i, f"https://a.example/{i}", f"<p>Story {i} has words {'x' * 300}{i}</p>") for i in range(80)]
+    for i, j in [(1, 2), (11, 12), (21, 22), (31, 32), (41, 42), (51, 52)]:
+        for k in (i, j):
+            rows[k] = (*rows[k][:2], rows[k][2] + f"<p>Only pages {i} and {j} say this</p>")
+    for k in (3, 13, 23):
+        rows[k] = (*rows[k][:2], rows[k][2] + f"<p>Start {k} {quote} end{k}</p>")
+    df = spark.createDataFrame(rows, PAGES)
+    whole = sorted(tuple(r) for r in html_extract.extract(df).collect())
+    assert whole[1][2] == f"Story 1 has words {'x' * 300}1" and whole[3][2].endswith("Start 3 end3")
+    for group_bytes in (400, 2_000, 9_000):
+        assert sorted(tuple(r) for r in html_extract.extract(df, group_bytes).collect()) == whole
+
+
 def test_copies_of_a_page_and_phrases_stay(spark):
     copy = "<p>A whole story of more than five words</p><p>and its second part which is long too</p>"
     quote = " ".join(f"q{i}" for i in range(20))
@@ -235,7 +250,7 @@ def test_copies_of_a_page_and_phrases_stay(spark):
     rows += [(i, f"<p>Writer {i} tells that {phrase} on day {i}</p>") for i in (4, 5, 6)]
     rows += [(i, f"<p>Report {i} quotes {quote} on day {i}</p>") for i in (7, 8)]
     df = spark.createDataFrame([(i, "https://a.example/", h) for i, h in rows], PAGES)
-    for group_bytes in (2_000_000,):
+    for group_bytes in (2_000_000, 100):
         got = {r["page_id"]: r["text"] for r in html_extract.extract(df, group_bytes).collect()}
         story = "A whole story of more than five words and its second part which is long too"
         assert [got[i] for i in (1, 2, 3)] == [story] * 3

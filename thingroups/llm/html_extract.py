@@ -11,7 +11,9 @@ blocks are one page here, as are rows of one page id. If a page has an article,
 blocks outside it that are left over are not part of it and go too.
 
 The pages of a host are dealt into groups of bounded bytes by a hash of the page id,
-so that a large host is many groups; boilerplate is found within each of them.
+so that a large host is many groups. 64-bit keys of its blocks and windows of ``LONG``
+tokens are added up over all groups of a host, and those that make boilerplate only
+with other groups go to the groups that hold them: the text does not depend on the dealing.
 
 Edge cases: NULL or empty html has an empty text; a page without an article keeps
 all that is not boilerplate; a host with one page has nothing to compare with; repeated
@@ -258,10 +260,24 @@ def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
                 "bytes": [len(s) if s else 0 for s in sources],
             }
 
-    def groups(rows: pd.DataFrame) -> pd.DataFrame:
+    def windows(batches: Iterator[list[list]]) -> Iterator[dict]:
+        for hosts, parts, ids, sources in batches:
+            for i in range(0, len(ids), 250):
+                out: dict[str, list] = {"host": [], "key": [], "least": [], "part": [], "page": [], "content": []}
+                for host, part, page_id, source in zip(*(x[i : i + 250] for x in (hosts, parts, ids, sources)), strict=True):
+                    page = blocks_of(source)
+                    content = np.uint64(content_key(page)).view(np.int64).item()
+                    for keys, least in zip(keys_of(page, host_seed(host)), (2, LONG_PAGES), strict=True):
+                        out["key"] += keys.view(np.int64).tolist()
+                        for name, value in (("host", host), ("least", least), ("part", part), ("page", page_id), ("content", content)):
+                            out[name] += [value] * len(keys)
+                yield out
+
+    def groups(key: tuple, rows: pd.DataFrame, elsewhere: pd.DataFrame) -> pd.DataFrame:
         blocks = [list(zip(k, t, strict=True)) for k, t in zip(rows["kinds"], rows["texts"], strict=True)]
         ids = [None if pd.isna(i) else int(i) for i in rows["page_id"]]
-        texts = main_texts(blocks, ids)
+        known = elsewhere["key"].to_numpy(np.int64).view(np.uint64)
+        texts = main_texts(blocks, ids, key[0], known)
         return pd.DataFrame(
             {
                 "page_id": pd.array(ids, dtype="Int64"),
@@ -273,8 +289,8 @@ def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
 
     schema = "page_id long, url string, host string, kinds array<int>, texts array<string>, bytes long"
     parsed = map_batches(pages.withColumn("page_id", F.col("page_id").cast("long")), ["page_id", "url", "html"], parse, schema)
-    host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    sizes = pages.groupBy(F.coalesce(host, F.lit("")).alias("host")).agg(F.sum(F.length("html")).alias("host_bytes"))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    sizes = pages.groupBy(host.alias("host")).agg(F.sum(F.length("html")).alias("host_bytes"))
     large = sizes.where(F.col("host_bytes") > group_bytes).select("host", F.ceil(F.col("host_bytes") / group_bytes).alias("parts"))
     large = stored(large, "large-hosts")
     few = large.count() <= MOST_BROADCAST
@@ -282,7 +298,23 @@ def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     dealt = parsed.join(F.broadcast(large) if few else large, "host", "left").withColumn("part", part)
     if not few:  # the join has dealt the pages by host alone
         dealt = dealt.repartition("host", "part")
-    return on_workers(dealt).groupBy("host", "part").applyInPandas(groups, "page_id long, url string, text string, n_repeated long")
+    # what repeats in several groups of a host: first by group, so that no key is hot
+    source = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), "html")
+    source = source.join(F.broadcast(large) if few else large, "host").withColumn("part", part)
+    found = map_batches(source, ["host", "part", "page_id", "html"], windows, "host string, key long, least int, part long, page long, content long")
+    some = lambda c: F.slice(F.collect_set(c), 1, LONG_PAGES)
+    page = F.coalesce("page", F.lit(-(2**63)))
+    in_group = found.groupBy("host", "key", "part").agg(
+        F.max("least").alias("least"), some(page).alias("pages"), some("content").alias("contents")
+    )
+    count = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    on_host = in_group.groupBy("host", "key").agg(
+        F.max("least").alias("least"), count("pages").alias("pages"), count("contents").alias("contents"), F.collect_list("part").alias("in")
+    )
+    on_host = on_host.where((F.size("in") > 1) & (F.col("pages") >= F.col("least")) & (F.col("contents") >= F.col("least")))
+    elsewhere = on_host.select("host", F.explode("in").alias("part"), "key").groupBy("host", "part")
+    schema = "page_id long, url string, text string, n_repeated long"
+    return on_workers(dealt).groupBy("host", "part").cogroup(elsewhere).applyInPandas(groups, schema)
 
 
 def report(pages: DataFrame) -> DataFrame:
