@@ -256,3 +256,20 @@ def test_copies_of_a_page_and_phrases_stay(spark):
         assert [got[i] for i in (1, 2, 3)] == [story] * 3
         assert [got[i] for i in (4, 5, 6)] == [f"Writer {i} tells that {phrase} on day {i}" for i in (4, 5, 6)]
         assert [got[i] for i in (7, 8)] == [f"Report {i} quotes {quote} on day {i}" for i in (7, 8)]
+
+
+def test_names_do_not_drop_the_article():
+    text = lambda page: [t for kind, t in html_extract.blocks_of(page) if kind != html_extract.DROP]
+    story = "<article><p>Story</p></article>"
+    for page in (
+        f'<body class="has-sidebar"><div class="sidebar">Side</div>{story}</body>',
+        f'<html class="no-comments modal"><body id="menu">{story}</body></html>',
+        f'<div id="page" class="with-header">{story}</div>',
+        f'<div class="sidebar">{story}</div>',
+        '<article class="post related-story"><p>Story</p></article>',
+        '<main class="content share"><p>Story</p></main>',
+        '<div class="header-image"><p>Story</p></div><ul class="main-menu"><li>Go</li></ul><div class="menu-list">Go</div>',
+        f'{story}<section class="comments"><article class="comment">First!</article></section><div class="related-posts related">{story}</div>',
+        '<div class="post">Story</div><ol class="comment-list"><li><article>First!</article></li></ol>',
+    ):
+        assert text(page) == ["Story"], page

@@ -64,6 +64,14 @@ DROPPED_WORDS = set(
     " sponsored promo cookie cookies consent notice comment comments disqus share sharing social breadcrumb"
     " breadcrumbs related newsletter subscribe popup modal pagination pager toolbar contentinfo complementary".split()
 )
+#: Elements that are never dropped for a name, and names of what holds other texts.
+WHOLE, OTHERS = {"html", "body", "main", "article"}, {"comment", "comments", "disqus", "related"}
+#: Parts of a name that come after such a word, and parts that only tell of a state.
+NEUTRAL = set(
+    "area bar block body bottom box column container content fixed group holder inner item items left links list main"
+    " outer panel primary right row secondary section sticky top widget widgets wrap wrapper".split()
+)
+STATES = set("has have is no not with without hide hidden show".split())
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
@@ -74,22 +82,49 @@ _PURPOSE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 DROP, OPEN, KEEP = 0, 1, 2
 
 
-def _purpose(name: str, rest: str, around: int) -> int:
+def _said(rest: str) -> set[str]:
+    """The dropped words that a class, id or role names: ``menu``, ``main-menu``,
+    ``menu-list``, but not ``no-menu`` or ``menu-maker``."""
+    out = set()
+    for values in _PURPOSE.findall(rest):
+        for name in "".join(values).lower().split():
+            parts = [p for p in re.split(r"[^a-z]+", name) if p]
+            while len(parts) > 1 and parts[-1] in NEUTRAL:
+                parts.pop()
+            if parts and parts[-1] in DROPPED_WORDS and not STATES & set(parts):
+                out.add(parts[-1])
+    return out
+
+
+def _purpose(name: str, rest: str, around: int, named: bool = True) -> int:
     """What a container's blocks are, from its tag and attributes and what is around it."""
     if around == DROP or name in DROPPED or (name == "header" and around != KEEP):
         return DROP
-    for values in _PURPOSE.findall(rest):
-        said = set(re.split(r"[^a-z]+", "".join(values).lower()))
-        if said & DROPPED_WORDS and not (around == KEEP and said & DROPPED_WORDS <= {"header"}):
-            return DROP
+    said = _said(rest) if named and name not in WHOLE else set()
+    if said and not (around == KEEP and said <= {"header"}):
+        return DROP
     return KEEP if name in ARTICLES else around
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """(DROP, OPEN or KEEP, text) of each block that has text, in page order."""
+    """(DROP, OPEN or KEEP, text) of each block that has text, in page order.
+
+    If no article has text outside containers that are dropped for their names, such
+    containers around an article are not dropped; comments and related pages are."""
+    around: set[int] = set()
+    out = _blocks_of(page, frozenset(), around)
+    if around and not any(kind == KEEP for kind, _ in out):
+        out = _blocks_of(page, frozenset(around), set())
+    return out
+
+
+def _blocks_of(page: str | None, spared: frozenset[int], around: set[int]) -> list[tuple[int, str]]:
+    """``spared``: containers, by the place of their tag, whose names are not looked at;
+    ``around`` gets those that only their names drop, with an article inside."""
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
     stack: list[tuple[str, int]] = []
+    named: list[int | None] = []  # for each open container: its place, if names alone drop it
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
@@ -109,9 +144,18 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             if name in CONTAINERS and tag["end"]:
                 if any(open_ == name for open_, _ in stack):
                     while stack.pop()[0] != name:
-                        pass
+                        named.pop()
+                    named.pop()
             elif name in CONTAINERS and not tag["rest"].endswith("/"):
-                stack.append((name, _purpose(name, tag["rest"], stack[-1][1] if stack else OPEN)))
+                outer, place = stack[-1][1] if stack else OPEN, None
+                kind = _purpose(name, tag["rest"], outer, tag.start() not in spared)
+                if kind == DROP and name not in WHOLE:
+                    hard = name in DROPPED or name == "header" or _said(tag["rest"]) & OTHERS
+                    place = -1 if hard else tag.start() if _said(tag["rest"]) else None
+                stack.append((name, kind))
+                named.append(place)
+                if name in ARTICLES and kind == DROP and -1 not in named:
+                    around.update(n for n in named if n is not None)
     pieces.append(page[at:])
     close()
     return out
