@@ -7,7 +7,8 @@ are not passed on.
 
 * language: documents of no language, those without a letter, go. Short texts are
   near no prototype, so a low score is no reason to drop one.
-* near_copies: of each group of linked documents the one with the smallest id stays.
+* near_copies: of each group of linked documents the one with the smallest id stays, of
+  several texts of that id the one with the smallest digest; a NULL id comes last.
 * decontaminate: documents go of which benchmark phrases cover a twentieth or more.
 * secrets: secrets in a text are replaced by a mark; n_chars follows.
 * tokens: the token ids of each text, and whether they decode to it again.
@@ -35,9 +36,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard.near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("kept")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    found = stored(jaccard.near_copies(docs.withColumn("digest", digest), also=["digest"]), "pipeline-components")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("first")).select("first.*")
+    apart = found.where(F.col("component").isNull()).select(order.alias("first")).select("first.*").distinct()
+    kept = first.unionByName(apart).select(F.col("doc_id").alias("kept"), F.col("digest").alias("kept_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept")) & digest.eqNullSafe(F.col("kept_digest"))
+    return docs.select(*COLUMNS).join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

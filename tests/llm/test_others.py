@@ -273,3 +273,13 @@ def test_names_do_not_drop_the_article():
         '<div class="post">Story</div><ol class="comment-list"><li><article>First!</article></li></ol>',
     ):
         assert text(page) == ["Story"], page
+
+
+def test_pipeline_near_copies_under_one_id_and_under_null_ids(spark):
+    text = lambda name: " ".join([f"{name[0]}{k}" for k in range(60)] + [name])
+    rows = [(7, text(f"a-{i}"), "en") for i in "xyz"] + [(None, text(f"b-{i}"), "en") for i in "xyz"]
+    rows += [(7, text("c-x"), "en"), (8, text("c-y"), "en"), (8, text("d"), "en"), (None, text("d"), "en"), (None, text("e"), "en")]
+    rows += [rows[0], rows[3]]
+    kept = corpus_pipeline.near_copies(spark, frame(spark, rows), DATA).collect()
+    got = sorted((str(r["doc_id"]), r["text"][0]) for r in kept)
+    assert got == [("7", "a"), ("7", "c"), ("8", "d"), ("None", "b"), ("None", "e")]

@@ -33,7 +33,7 @@ further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -96,15 +96,17 @@ def _set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def sets_of(documents: DataFrame, ngram: int, hashes: bool) -> DataFrame:
-    """doc_id, n, key and, if asked for, the hashes of each text's set."""
+def sets_of(documents: DataFrame, ngram: int, hashes: bool, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, the columns ``also``, n, key and, if asked for, the hashes of each text's set."""
+    kinds = dict(documents.dtypes)
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
-        for doc_ids, texts in batches:
+        for doc_ids, texts, *others in batches:
             for i in range(0, len(texts), 1_000):
                 sets = shingle_sets(texts[i : i + 1_000], ngram)
                 out = {
                     "doc_id": doc_ids[i : i + 1_000],
+                    **{c: values[i : i + 1_000] for c, values in zip(also, others, strict=True)},
                     "n": [len(s) for s in sets],
                     "key": [_set_key(s) if len(s) else None for s in sets],
                 }
@@ -112,8 +114,8 @@ def sets_of(documents: DataFrame, ngram: int, hashes: bool) -> DataFrame:
         _words.clear()  # workers outlive their tasks
 
     rows = documents.withColumn("doc_id", F.col("doc_id").cast("long"))
-    schema = "doc_id long, n long, key binary" + ", hashes binary" * hashes
-    return map_batches(rows, ["doc_id", "text"], work, schema)
+    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in also), "n long, key binary"]) + ", hashes binary" * hashes
+    return map_batches(rows, ["doc_id", "text", *also], work, schema)
 
 
 def _cells(keys: list[bytes], lists: list[np.ndarray], ranges: int, key_bytes: int, kind: type) -> Iterator[dict]:
@@ -332,10 +334,12 @@ def links_of(sets: DataFrame, clusters: DataFrame, percent: int, block_rows: int
     return edges.unionByName(more)
 
 
-def near_copies(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
-    documents = documents.select("doc_id", "text")
-    rows = stored(sets_of(documents, ngram, False), "set-keys")
+def near_copies(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row.
+    With columns in ``also`` these follow, and ``component``, which tells components of one
+    id apart and is NULL for an empty set."""
+    documents = documents.select("doc_id", "text", *also)
+    rows = stored(sets_of(documents, ngram, False, also), "set-keys")
     total = rows.agg(F.sum("n")).first()[0] or 0
     named = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))
     share = head_length(1_000, percent) / 1_000
@@ -354,9 +358,10 @@ def near_copies(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT
     links = links_of(whole, components(shared), percent)
     classes = components(links).join(named.select(F.col("key").alias("node"), "least"), "node")
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    members = classes.join(least, "component").select(F.col("node").alias("key"), "component_id")
-    ids = named.join(members, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"))
+    members = classes.join(least, "component").select(F.col("node").alias("key"), "component_id", "component")
+    component = [F.coalesce("component", "key").alias("component")] if also else []
+    ids = named.join(members, "key", "left").select("key", F.coalesce("component_id", "least").alias("component_id"), *component)
     ids = stored(ids, "ids")  # a plain table, so that the join can split the copies of a hot text
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "key").join(ids, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "key", *also).join(ids, "key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *also, *(["component"] if also else [])
     )
