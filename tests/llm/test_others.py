@@ -283,3 +283,17 @@ def test_pipeline_near_copies_under_one_id_and_under_null_ids(spark):
     kept = corpus_pipeline.near_copies(spark, frame(spark, rows), DATA).collect()
     got = sorted((str(r["doc_id"]), r["text"][0]) for r in kept)
     assert got == [("7", "a"), ("7", "c"), ("8", "d"), ("None", "b"), ("None", "e")]
+
+
+def test_toxicity_with_few_labels_and_with_rare_toxic_words(spark):
+    draw = random.Random(3)
+    plain = lambda: [draw.choice("abcdefghijklmnop") * draw.randint(1, 4) for _ in range(12)]
+    few = [(i, " ".join(plain() + ["zork", "blarg", "gnarf"][: 3 * (i % 6 == 0)]), "en") for i in range(60)]
+    docs = frame(spark, few + [(900, "zork blarg", "en"), (901, "abc", "en")])
+    model = toxicity.learn(docs, spark.createDataFrame([(i, int(i % 6 == 0)) for i, _, _ in few], "doc_id long, toxic int"))
+    assert {"zork", "blarg", "gnarf"} <= set(model.numbers)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert scores[900] > scores[901]
+    rare = [(i, " ".join(plain() + ["zork"] * (i in (7, 8, 9))), "en") for i in range(900)]
+    model = toxicity.learn(frame(spark, rare), spark.createDataFrame([(i, int(i in (7, 8, 9))) for i, _, _ in rare], "doc_id long, toxic int"))
+    assert "zork" in model.numbers

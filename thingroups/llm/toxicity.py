@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from thingroups.llm.common import fold, map_batches
 
 EXAMPLES = 20_000
-#: Words of the vectors: those with the highest chi-square of presence and label.
-WORDS, LEAST_CHI2, LEAST_ROWS = 4_096, 24.0, 5
+#: Words of the vectors: those with the highest chi-square of presence and label, which
+#: is at least that and, with few examples, at least that share of their number.
+WORDS, LEAST_CHI2, LEAST_SHARE = 4_096, 24.0, 0.05
 NEIGHBOURS, BLOCK = 15, 64
 #: Weight of a neighbour: its cosine to this power. The prior counts as much as one at cosine 1.
 POWER = 4
@@ -154,8 +155,8 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Mode
     n, t = float(size["n"]), float(size["toxic"])
     r, x = F.col("rows").cast("double"), F.col("toxic").cast("double")
     apart = n * (x * (n - t - r + x) - (r - x) * (t - x)) ** 2 / (r * (n - r) * t * (n - t))
-    telling = present.where(F.col("rows") >= LEAST_ROWS).where((r < n) & F.lit(0 < t < n)).withColumn("chi2", apart)
-    telling = telling.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(WORDS).collect() if 0 < t < n else []
+    telling = present.where((r < n) & F.lit(0 < t < n)).withColumn("chi2", apart)
+    telling = telling.where(F.col("chi2") >= min(LEAST_CHI2, LEAST_SHARE * n)).orderBy(F.desc("chi2"), "word").limit(WORDS).collect() if 0 < t < n else []
     idf = {w["word"]: math.log((n + 1) / (w["rows"] + 1)) + 1 for w in telling}
     telling_words = F.lit(sorted(idf)) if idf else F.array().cast("array<string>")
     pairs = F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("times"))
