@@ -189,7 +189,7 @@ def test_pipeline_against_plain_rules(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     spelled = [(d[0], d[1]) for d in docs if any(c.isalpha() for c in d[1] or "")]
-    kept = {int(i) for i, _, c in near_classes(spelled) if i == c}
+    kept = {int(i) for i, _, c in near_classes(spelled, 5, 80) if i == c}
     clean = set()
     for i, text in spelled:
         n, hit, _ = overlap(text, items)
@@ -204,14 +204,18 @@ def test_pipeline_stages_on_odd_rows(spark):
     text = "some words that stand in no benchmark and are long enough to be compared"
     rows = [(1, None, None), (2, "", "en"), (3, "123 456", "en"), (4, text, "en"), (4, text, "en"), (4, "another text of its own", "en")]
     rows += [(9, text, "en"), (5, f"{text} token=abcdefgh12 end", "en"), (6, "only one word", None)]
+    rows += [(7, "a sentence of another kind with token=abcdefgh12 in it", "en")]
     docs = frame(spark, rows).drop("score", "ids", "key").withColumn("found", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, DATA).columns == corpus_pipeline.COLUMNS, name
         assert stage(spark, docs.limit(0), DATA).collect() == []
         docs = stage(spark, docs, DATA).withColumn("found", F.lit(1)).checkpoint()
     left = sorted((r["doc_id"], r["text"]) for r in docs.collect())
-    assert left == [(4, "another text of its own"), (4, text), (5, f"{text} [SECRET] end"), (6, "only one word")]
-    assert [r["n_chars"] for r in docs.where("doc_id = 5").collect()] == [len(f"{text} [SECRET] end")]
+    # documents 4 and 5 share 10 of 12 five-word n-grams
+    clean = "a sentence of another kind with [SECRET] in it"
+    assert left == [(4, "another text of its own"), (4, text), (6, "only one word"), (7, clean)]
+    assert [r["n_chars"] for r in docs.where("doc_id = 7").collect()] == [len(clean)]
+    assert {r["lang"] for r in docs.collect()} == {"en"}  # found by the model, also where the input has none
 
 
 def test_large_hosts_in_several_groups(spark, monkeypatch):

@@ -174,18 +174,34 @@ def load_vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return tokens
+
+
+def _joined_tokens(lists: pa.ListArray, tokens: list[bytes]) -> list[bytes]:
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()  # both know where a slice begins
+    return [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def encode(
+    df: DataFrame, path: str, pattern: str, text: str = "text", keys: Iterable[str] = ("doc_id",), decoded: str | None = None
+) -> DataFrame:
     """``keys`` and ``ids array<int>``: the tokens of each whole text.
 
     ``path`` is a rank file, ``pattern`` splits a text into the pieces that are
-    encoded one by one.
+    encoded one by one. With ``decoded``, the ids are decoded again in the same pass, by the
+    same worker, into a binary column of that name.
     """
     keys = list(keys)
     vocabulary = load_vocabulary(df, path)
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
-        pieces = regex.compile(pattern)
-        known = PieceEncoder(read_ranks(vocabulary.value))  # goes with the task: workers outlive it
+        pieces, ranks = regex.compile(pattern), read_ranks(vocabulary.value)
+        known = PieceEncoder(ranks)  # goes with the task: workers outlive it
+        tokens = _token_bytes(ranks) if decoded else []
         for *key_columns, texts in batches:
             ids, ends = array("i"), [0]
             for text in texts.to_pylist():
@@ -194,10 +210,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keys: Ite
                 ends.append(len(ids))
             flat = pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield dict(zip(keys, key_columns, strict=True)) | {"ids": lists}
+            again = {decoded: _joined_tokens(lists, tokens)} if decoded else {}
+            yield dict(zip(keys, key_columns, strict=True)) | {"ids": lists} | again
 
     kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["ids array<int>"])
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["ids array<int>"] + [f"`{decoded}` binary"] * bool(decoded))
     return map_batches(df, [*keys, text], work, schema, arrow_in=True)
 
 
@@ -207,16 +224,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", output: str = "decoded",
     vocabulary = load_vocabulary(df, path)
 
     def work(batches: Iterator[list]) -> Iterator[dict]:
-        ranks = read_ranks(vocabulary.value)
-        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, i in ranks.items():
-            tokens[i] = token
+        tokens = _token_bytes(read_ranks(vocabulary.value))
         for *key_columns, lists in batches:
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()  # both know where a slice begins
-            decoded = [
-                b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)
-            ]
-            yield dict(zip(keys, key_columns, strict=True)) | {output: decoded} | ({ids: lists} if keep_ids else {})
+            known = dict(zip(keys, key_columns, strict=True)) | {output: _joined_tokens(lists, tokens)}
+            yield known | ({ids: lists} if keep_ids else {})
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{output}` binary"] + [f"`{ids}` array<int>"] * keep_ids)
@@ -230,5 +241,9 @@ def id_digest(ids: Column) -> Column:
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text, decode the ids again, and give the digests of both."""
-    encoded = encode(df, path, pattern).withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": id_digest(F.col("ids"))})
-    return decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encode(df, path, pattern, decoded="decoded").select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        id_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

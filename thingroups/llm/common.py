@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from thingroups.sources.storage import scratch_folder
 
 
-#: Rows that a Python worker holds as Python objects at a time.
-ROWS_AT_ONCE = 2_500
+#: Rows, and bytes of more than one row, that a Python worker holds as Python objects at a time.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2_500, 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,18 @@ def on_workers(df: DataFrame) -> DataFrame:
     return df
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows that are few and small; one row is never cut."""
+    pending = [batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)][::-1]
+    while pending:
+        part = pending.pop()
+        if part.num_rows > 1 and part.nbytes > BYTES_AT_ONCE:
+            half = part.num_rows // 2
+            pending += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def map_batches(
     df: DataFrame, columns: Sequence[str], work: Callable[[Iterator[list]], Iterator[dict]], schema: str, arrow_in: bool = False
 ) -> DataFrame:
@@ -47,8 +59,7 @@ def map_batches(
     arrow = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
-        lists = ([c if arrow_in else c.to_pylist() for c in part.columns] for part in parts)
+        lists = ([c if arrow_in else c.to_pylist() for c in part.columns] for b in batches for part in slices(b))
         for out in work(lists):
             columns = [out[f.name] for f in arrow]
             columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
