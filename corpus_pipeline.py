@@ -5,10 +5,12 @@ a stage gives to a fresh shared folder and hands the next one what it reads back
 All but the last return the columns of ``documents``; further columns of the input
 are not passed on.
 
-* language: documents of no language, those without a letter, go. Short texts are
-  near no prototype, so a low score is no reason to drop one.
-* near_copies: of each group of linked documents the one with the smallest id stays, of
-  several texts of that id the one with the smallest digest; a NULL id comes last.
+* language: documents of no language, those without a letter, go; ``lang`` of all others is
+  the language that the model finds. Short texts are near no prototype, so a low score is no
+  reason to drop one.
+* near_copies: documents link when they share 80 percent or more of their five-word n-grams.
+  Of each group of linked documents the one with the smallest id stays, of several texts of
+  that id the one with the smallest digest; a NULL id comes last.
 * decontaminate: documents go of which benchmark phrases cover a twentieth or more.
 * secrets: secrets in a text are replaced by a mark; n_chars follows.
 * tokens: the token ids of each text, and whether they decode to it again.
@@ -28,16 +30,19 @@ from thingroups.llm import bpe, decontaminate, jaccard, langid, secrets
 from thingroups.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of an n-gram, and the percentage that near copies share.
+NGRAM, PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, COLUMNS)
-    return found.where(F.col("lang_pred") != "und").select(*COLUMNS)
+    return found.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.col("text").cast("binary"), 256)
-    found = stored(jaccard.near_copies(docs.withColumn("digest", digest), also=["digest"]), "pipeline-components")
+    classes = jaccard.near_copies(docs.withColumn("digest", digest), NGRAM, PERCENT, also=["digest"])
+    found = stored(classes, "pipeline-components")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
     first = found.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(order).alias("first")).select("first.*")
     apart = found.where(F.col("component").isNull()).select(order.alias("first")).select("first.*").distinct()
@@ -61,8 +66,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     keys = ["doc_id", "lang", "source", "digest"]
-    encoded = bpe.encode(docs.withColumn("digest", digest), path, public_tokenizers.PATTERN, keys=keys)
-    return bpe.decode(encoded, path, keep_ids=True).select(
+    encoded = bpe.encode(docs.withColumn("digest", digest), path, public_tokenizers.PATTERN, keys=keys, decoded="decoded")
+    return encoded.select(
         "doc_id",
         "lang",
         "source",
