@@ -6,6 +6,8 @@ constants before they reach the scan.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,26 @@ def range_weight(x: Column, op: str, v, lo, hi, bins: int) -> Column:
         .when(home == at, boundary_fraction(op, v, lo, hi, bins))
         .otherwise(F.lit(0.0))
     )
+
+
+def weights_of_bins(op: str, v: float, lo: float, hi: float, bins: int, boundary: bool) -> list[float]:
+    """Weight of each bin under one comparison: 1 in a full bin, in the boundary bin its share (or,
+    without ``boundary``, 0). The same numbers as the columns above, for plans made on the driver."""
+    if lo == hi:  # one bin, and nothing to interpolate
+        satisfied = {"=": lo == v, ">": lo > v, ">=": lo >= v, "<": lo < v, "<=": lo <= v}[op]
+        return [float(satisfied)] * bins
+    step = (hi - lo) / bins
+    at = -1 if v < lo else bins if v >= hi else math.floor((v - lo) / step)
+    if op == "=":
+        home = min(math.floor((v - lo) / step), bins - 1) if lo <= v <= hi else -1
+        return [float(b == home) for b in range(bins)]
+    upwards = op in (">", ">=")
+    if upwards:
+        first, last = (bins - 1 if op == ">=" and v == hi else at + 1), bins - 1
+    else:
+        first, last = 0, (0 if op == "<=" and v == lo else at - 1)
+    left = lo + step * at
+    share = min(max(((left + step - v) if upwards else (v - left)) / step, 0.0), 1.0)
+    if op in (">=", "<=") and share == 0:
+        share = EDGE_SHARE
+    return [1.0 if first <= b <= last else share if boundary and b == at else 0.0 for b in range(bins)]

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thingroups.functions import binning
-from thingroups.operators import bitmaps
-from thingroups.operators.filters import condition, route, where_all
+from thingroups.operators import bitmaps, factors
+from thingroups.operators.factors import Factor
+from thingroups.operators.filters import compare, compare_whole, condition, route, where_all
 from thingroups.operators.relational import filtered_frames, left_groups, semi_join_reduce
 from thingroups.sources.catalog import Catalog, scan_bernoulli, scan_stored
 from thingroups.sources.storage import BitmapIndex
-from thingroups.spec import AggQuery
+from thingroups.spec import AggQuery, Predicate
 
 missing_groups = left_groups
 
@@ -104,15 +106,77 @@ def candidate_rows(catalog: Catalog, query: AggQuery, rows: DataFrame) -> DataFr
 # --- from bitmaps ----------------------------------------------------------
 
 
+def _dimension_rows(catalog: Catalog, query: AggQuery) -> DataFrame:
+    """The rows of the dimension that satisfy its predicates."""
+    dim = query.join.dimension
+    predicates = route(query.predicates, catalog.specs, catalog.tables_of(query))[dim]
+    return where_all(scan_stored(catalog, dim), predicates, catalog.spec(dim))
+
+
+def _by_column(predicates) -> dict[str, list[Predicate]]:
+    out: dict[str, list[Predicate]] = {}
+    for p in predicates:
+        out.setdefault(p.column, []).append(p)
+    return out
+
+
+def _matching(containers: DataFrame, predicates: list[Predicate], kind: str) -> DataFrame:
+    """Containers of a column whose value satisfies all predicates, in a form that the scan understands."""
+    for p in predicates:
+        if kind == "str":
+            if p.is_range:
+                raise ValueError(f"range predicate on text column '{p.column}'")
+            containers = containers.where(F.col("value") == str(p.value))
+        elif kind == "num":
+            containers = containers.where(compare(F.col("real"), p.op, F.lit(float(p.value))))
+        else:
+            number = F.coalesce("number", F.expr("try_cast(value AS bigint)"))
+            containers = containers.where(compare_whole(number, p.op, p.value))
+            exact = Decimal(str(p.value))
+            if p.op == "=" and exact == int(exact):
+                containers = containers.where(F.col("value") == str(int(exact)))
+            else:  # pushed to the scan: a bound on the stored numbers
+                containers = containers.where(F.col("number").isNull() | compare_whole(F.col("number"), p.op, p.value))
+    return containers
+
+
+def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundary: bool) -> list[Factor]:
+    """The WHERE (and the join) as one factor a column. Dimension predicates are read from the
+    join index if it is there, and then neither the dimension nor the foreign key is."""
+    spec, bounds = index.spec, catalog.bounds(query.table)
+    out = []
+    for column, predicates in _by_column(_fact_predicates(catalog, query)).items():
+        if spec.kinds[column] != "num":
+            out.append(factors.values_factor(_matching(index.read(column), predicates, spec.kinds[column])))
+        elif column in bounds:
+            weights = factors.bin_weights(predicates, *bounds[column], index.bins, boundary)
+            out.append(factors.steps_factor(index.slices(column), weights))
+        else:  # all NULL
+            out.append(factors.values_factor(index.read(column)))
+    if query.join is not None:
+        present = index.joined(query.join)
+        if present is None:
+            keys = _dimension_rows(catalog, query).select(F.col(query.join.dim_key).cast("string").alias("value"))
+            out.append(factors.values_factor(index.read(query.join.fact_key).join(keys, "value", "left_semi")))
+        else:
+            dim = query.join.dimension
+            routed = _by_column(route(query.predicates, catalog.specs, catalog.tables_of(query))[dim])
+            kinds = catalog.spec(dim).kinds
+            for column, predicates in routed.items():
+                out.append(factors.values_factor(_matching(index.joined(query.join, column), predicates, kinds[column])))
+            if not routed:
+                out.append(factors.values_factor(present))
+    return out
+
+
 def query_set(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame | None:
     """Row set of the WHERE (and of the join) out of the index; ``None`` means all rows."""
+    if index.packed:
+        found = query_factors(catalog, query, index, False)
+        return factors.row_set(found) if found else None
     keys = None
     if query.join is not None:
-        dim = query.join.dimension
-        parts = filtered_frames(
-            catalog, query, {query.table: scan_stored(catalog, query.table), dim: scan_stored(catalog, dim)}
-        )
-        keys = (query.join.fact_key, parts[dim].select(query.join.dim_key))
+        keys = (query.join.fact_key, _dimension_rows(catalog, query).select(query.join.dim_key))
     return bitmaps.conjunction_set(
         index.read(), _fact_predicates(catalog, query), index.spec, catalog.bounds(query.table), index.bins, keys
     )
@@ -125,6 +189,14 @@ def _typed(catalog: Catalog, query: AggQuery, counted: DataFrame) -> DataFrame:
 
 def predict_groups(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
     """Groups whose bitmap meets the row set of the query, with the size of the overlap."""
+    if index.packed:
+        found = query_factors(catalog, query, index, False)
+        groups = index.read(query.group)
+        if found:
+            counted = factors.count_groups(groups, found).select("value", "n")
+        else:
+            counted = groups.groupBy("value").agg(F.sum("n").alias("n"))
+        return _typed(catalog, query, counted)
     inside = query_set(catalog, query, index)
     return _typed(catalog, query, bitmaps.counts_within(index.read(query.group), inside))
 
@@ -132,9 +204,19 @@ def predict_groups(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> Dat
 def bitmap_group_counts(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
     """``(grp, est_count)`` by bitmap algebra alone.
 
-    The boundary bin of each range predicate is intersected with rows that are
-    already inside the full bins, so on a closed index it adds the edge rows.
+    A packed index interpolates: a row counts with the product of its bins' weights, all
+    in one pass over the containers. On a closed index the boundary bin of each range predicate is
+    intersected with rows that are already inside the full bins, so it adds the edge rows.
     """
+    if index.packed:
+        found = query_factors(catalog, query, index, True)
+        groups = index.read(query.group)
+        if found:
+            counted = factors.count_groups(groups, found).select("value", "weight")
+        else:
+            counted = groups.groupBy("value").agg(F.sum("n").cast("double").alias("weight"))
+        rated = counted.select("value", (F.col("weight") / index.spec.index_rate).alias("est_count"))
+        return _typed(catalog, query, rated)
     inside, bounds = query_set(catalog, query, index), catalog.bounds(query.table)
     groups = index.read(query.group)
     parts = [bitmaps.counts_within(groups, inside).select("value", F.col("n").cast("double").alias("n"))]

@@ -32,6 +32,8 @@ class Catalog:
         self.specs = dict(specs)
         self.frames = dict(frames)
         self._bounds: dict[str, dict[str, tuple[float, float]]] = {}
+        #: Tables read from Parquet files, whose rows can be named by file and place.
+        self.in_files: frozenset[str] = frozenset()
 
     @classmethod
     def from_files(
@@ -49,7 +51,9 @@ class Catalog:
         frames = {
             table: spark.read.format(fmt).options(**options).load(f"{folder}/{table}{suffix}") for table in specs
         }
-        return cls(spark, specs, frames, name)
+        catalog = cls(spark, specs, frames, name)
+        catalog.in_files = frozenset(specs if fmt == "parquet" else ())
+        return catalog
 
     @classmethod
     def from_jdbc(

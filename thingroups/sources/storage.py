@@ -8,12 +8,14 @@ import uuid
 from collections import defaultdict
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException, PySparkException, SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thingroups.operators import bitmaps
-from thingroups.sources.catalog import Catalog, scan_bernoulli
+from thingroups.functions.draws import keep, salted
+from thingroups.operators import bitmaps, packing
+from thingroups.sources.catalog import Catalog, key_parts, scan_bernoulli, scan_stored
+from thingroups.spec import JoinSpec
 
 
 _local_folders: dict[str, str] = {}
@@ -50,20 +52,34 @@ def _lock(path: str) -> threading.Lock:
         return _path_locks[path]
 
 
-def published(spark: SparkSession, path: str) -> DataFrame | None:
-    """The data a manifest names, or None if there is none or its rows are not all there.
+def _read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A folder's rows, or None if there is no such folder; any other error is raised."""
+    try:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def published_folder(spark: SparkSession, path: str) -> tuple[str, DataFrame] | None:
+    """The folder a manifest names and its rows, or None if there is none or not all rows are there.
 
     Data go to a fresh folder first; the manifest, one line with that folder and its
     row count, is written last. What an aborted or a lost write left is never read.
     """
-    try:
-        line = spark.read.schema("folder string, n_rows long").parquet(f"{path}/manifest").first()
-        if line is None:
-            return None
-        data = spark.read.parquet(f"{path}/{line['folder']}")
-        return data if data.count() == line["n_rows"] else None
-    except (AnalysisException, SparkRuntimeException, PySparkException):
+    lines = _read_if_there(spark, f"{path}/manifest", "folder string, n_rows long")
+    line = None if lines is None else lines.first()
+    if line is None:
         return None
+    data = _read_if_there(spark, f"{path}/{line['folder']}")
+    return (f"{path}/{line['folder']}", data) if data is not None and data.count() == line["n_rows"] else None
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    there = published_folder(spark, path)
+    return None if there is None else there[1]
 
 
 def is_written(spark: SparkSession, path: str) -> bool:
@@ -88,12 +104,20 @@ def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Da
 # --- index -----------------------------------------------------------------
 
 
+#: More files than this are not named one by one in a filter.
+MOST_NAMED_FILES = 10_000
+
+
 class BitmapIndex:
     """Row ids and bitmap containers of one fact table at its index rate.
 
-    Ids are given out once, when the row table is written (consecutive within a
-    task, so buckets fill up without a global sort); everything else reads that
-    table. The path names what the content depends on.
+    A table of Parquet files needs no copy for its row ids: files are put in order once, and
+    a row's id is its place in its file behind all files before. The ids of a file begin at a new bucket, so a
+    bucket lies in one file, and rows are fetched by id from the files that hold them. For any
+    other table, ids are given out once, when the row table is written.
+
+    Half-open adaptive indexes are packed bucket by bucket and have slices; closed or
+    dense ones are aggregated. The path names what the content depends on.
     """
 
     def __init__(
@@ -110,9 +134,11 @@ class BitmapIndex:
         self.catalog, self.table, self.bins, self.closed, self.layout = catalog, table, bins, closed, layout
         self.spec = catalog.spec(table)
         self.seed, self.rows_per_file = seed, rows_per_file
+        self.packed = not closed and layout == "adaptive"
         base = f"{folder}/index/{catalog.name}/{table}_{self.spec.index_rate}_{seed}"
-        self.rows_path = f"{base}/rows"
-        self.bitmaps_path = f"{base}/bitmaps_{bins}_{'closed' if closed else 'open'}_{layout}"
+        self.rows_path, self.files_path = f"{base}/rows", f"{base}/files"
+        form = "packed" if self.packed else f"{'closed' if closed else 'open'}_{layout}"
+        self.bitmaps_path = f"{base}/bitmaps_{bins}_{form}"
         self._opened: dict[str, DataFrame] = {}
 
     def _open(self, path: str) -> DataFrame:
@@ -124,13 +150,58 @@ class BitmapIndex:
             self._opened[path] = there
         return self._opened[path]
 
+    # --- rows ---
+
+    def files(self) -> DataFrame:
+        """file, rows and first: the id of each file's first row."""
+        if self.files_path not in self._opened:
+            places = self.catalog.frame(self.table).select(
+                F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")
+            )
+            sizes = places.groupBy("file").agg((F.max("at") + 1).alias("rows"))
+            taken = F.ceil(F.col("rows") / packing.BUCKET_ROWS) * packing.BUCKET_ROWS
+            # one line a file, so the window over all of them is short
+            first = F.sum(taken).over(Window.orderBy("file")) - taken + 1
+            numbered = sizes.select("file", "rows", first.cast("bigint").alias("first"))
+            self._opened[self.files_path] = write_once(numbered, self.files_path)
+        return self._opened[self.files_path]
+
+    def _numbered(self, frame: DataFrame) -> DataFrame:
+        """Rows of the table's files with their ids, at the index rate; a plan, not a copy."""
+        stored = self.spec.stored_columns
+        rows = frame.select(*stored, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+        rows = rows.where(keep(self.spec.index_rate, salted("index", self.seed), *key_parts(rows, self.spec)))
+        return rows.join(self.files().select("file", "first"), "file").select(*stored, (F.col("first") + F.col("at")).alias("rid"))
+
     def write_rows(self) -> DataFrame:
+        if self.table in self.catalog.in_files:
+            return self._numbered(self.catalog.frame(self.table))
         if self.rows_path not in self._opened:
             rows = scan_bernoulli(self.catalog, self.table, seed=self.seed)
             numbered = rows.withColumn("rid", F.monotonically_increasing_id())
             self._opened[self.rows_path] = write_once(numbered, self.rows_path)
         return self._opened[self.rows_path]
 
+    def rows(self) -> DataFrame:
+        return self.write_rows() if self.table in self.catalog.in_files else self._open(self.rows_path)
+
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """Rows of the given ids (column ``rid``), out of the files that hold some of them."""
+        ids = wanted.select("rid").distinct()
+        if self.table not in self.catalog.in_files:
+            return self.rows().join(ids, "rid", "left_semi")
+        bucket = lambda rid: F.bitmap_bucket_number(rid)
+        span = F.sequence(bucket(F.col("first")), bucket(F.col("first") + F.col("rows") - 1))
+        buckets = self.files().select("file", F.explode(span).alias("bucket"))
+        held = buckets.join(ids.select(bucket(F.col("rid")).alias("bucket")).distinct(), "bucket").select("file").distinct()
+        named = [r["file"] for r in held.limit(MOST_NAMED_FILES + 1).collect()]
+        frame = self.catalog.frame(self.table)
+        if len(named) <= MOST_NAMED_FILES:
+            frame = frame.where(F.col("_metadata.file_path").isin(*named))
+        return self._numbered(frame).join(ids, "rid", "left_semi")
+
+    # --- containers ---
+
     def containers(self) -> DataFrame:
         """The index as a plan over the row table, not yet written."""
         lines = bitmaps.entries(
@@ -138,23 +209,54 @@ class BitmapIndex:
         )
         return bitmaps.build(lines, self.layout)
 
+    def _row_count(self) -> int:
+        if self.table in self.catalog.in_files:
+            return int((self.files().agg(F.sum("rows")).first()[0] or 0) * self.spec.index_rate)
+        return self.write_rows().count()
+
+    def _spread(self):
+        files = max(1, -(-self._row_count() // self.rows_per_file))
+        return F.pmod(F.xxhash64("bucket"), F.lit(files))
+
+    def _layers(self, path: str) -> bool:
+        """Open what is written below a path, layer by layer; False if there is nothing."""
+        there = published_folder(self.catalog.spark, path)
+        if there is None:
+            return False
+        folder, data = there
+        kept = [f"{f.name} {f.dataType.simpleString()}" for f in data.schema if f.name != "layer"]
+        for layer in (packing.VALUES, packing.SLICES):
+            found = _read_if_there(self.catalog.spark, f"{folder}/layer={layer}", ", ".join(kept))
+            self._opened[f"{path}/{layer}"] = data.where("false").drop("layer") if found is None else found
+        return True
+
+    def _write_layers(self, containers: DataFrame, path: str) -> None:
+        arranged = containers.repartition("layer", "column", self._spread()).sortWithinPartitions(
+            "layer", "column", "value", "level", "first", "bucket"
+        )
+        write_once(arranged, path, ["layer", "column"])
+        self._layers(path)
+
     def write(self) -> DataFrame:
         """One folder per column, with as many files as the row count asks for.
 
         Within a file containers are sorted by value, so that a value lookup
         skips row groups; files are filled by bucket, so that a hot value is
         spread over all of them."""
+        if self.packed:
+            if f"{self.bitmaps_path}/{packing.VALUES}" not in self._opened and not self._layers(self.bitmaps_path):
+                made = packing.pack_rows(self.write_rows(), self.spec, self.catalog.bounds(self.table), self.bins)
+                self._write_layers(made, self.bitmaps_path)
+            return self.read()
         if self.bitmaps_path in self._opened:
             return self.read()
         there = published(self.catalog.spark, self.bitmaps_path)
         if there is not None:
             self._opened[self.bitmaps_path] = there
             return there
-        files = max(1, -(-self.write_rows().count() // self.rows_per_file))
-        spread = F.pmod(F.xxhash64("bucket"), F.lit(files))
         arranged = (
             self.containers()
-            .repartition("column", spread)
+            .repartition("column", self._spread())
             .sortWithinPartitions("column", "value", "bucket")
         )
         self._opened[self.bitmaps_path] = write_once(arranged, self.bitmaps_path, ["column"])
@@ -174,18 +276,62 @@ class BitmapIndex:
         )
         return self.catalog.spark.table(name)
 
-    def rows(self) -> DataFrame:
-        return self._open(self.rows_path)
+    def _layer(self, path: str, layer: str) -> DataFrame:
+        if f"{path}/{layer}" not in self._opened and not self._layers(path):
+            raise FileNotFoundError(f"no finished index at {path}")
+        return self._opened[f"{path}/{layer}"]
 
     def read(self, column: str | None = None, values: Sequence[str] | None = None) -> DataFrame:
         """Containers of one column (a folder) and of given values (a pushed filter)."""
-        index = self._open(self.bitmaps_path)
+        index = self._layer(self.bitmaps_path, packing.VALUES) if self.packed else self._open(self.bitmaps_path)
         if column is not None:
             index = index.where(F.col("column") == column)
         if values is not None:
             index = index.where(F.col("value").isin(*values))
         return index
 
+    def slices(self, column: str) -> DataFrame:
+        """Cumulative slices of a numeric column."""
+        return self._layer(self.bitmaps_path, packing.SLICES).where(F.col("column") == column)
+
+    # --- marks and joins ---
+
+    def _extra_path(self, name: str) -> str:
+        return f"{self.bitmaps_path}_{name}"
+
+    def write_join(self, join: JoinSpec) -> None:
+        """Containers of a dimension's values over this table's rows, built once, out of those of the
+        foreign key. Keys that occur twice in the dimension are an error: a row would have two values."""
+        path = self._extra_path(f"join_{join.dimension}_{join.fact_key}")
+        if f"{path}/{packing.VALUES}" in self._opened or self._layers(path):
+            return
+        dim, spec = scan_stored(self.catalog, join.dimension), self.catalog.spec(join.dimension)
+        n, keys = dim.where(F.col(join.dim_key).isNotNull()).agg(F.count(join.dim_key), F.count_distinct(join.dim_key)).first()
+        if n != keys:
+            raise ValueError(f"'{join.dim_key}' is no unique key of '{join.dimension}'")
+        self._write_layers(packing.pack_dimension(self.read(join.fact_key), dim, join.dim_key, spec.kinds), path)
+
+    def joined(self, join: JoinSpec, column: str = packing.PRESENT) -> DataFrame | None:
+        """Containers of a dimension column over this table's rows, or None if they were not built."""
+        path = self._extra_path(f"join_{join.dimension}_{join.fact_key}")
+        if f"{path}/{packing.VALUES}" not in self._opened and not (self.packed and self._layers(path)):
+            return None
+        mine = F.col("column").isNull() if column == packing.PRESENT else F.col("column") == column
+        return self._opened[f"{path}/{packing.VALUES}"].where(mine)
+
+    def write_mark(self, name: str, holds) -> None:
+        """Containers of the rows for which a condition holds, for example those of a sample."""
+        path = self._extra_path(f"mark_{name}")
+        if f"{path}/{packing.VALUES}" in self._opened or self._layers(path):
+            return
+        rows = self.rows()
+        marked = rows.where(holds(rows) if callable(holds) else holds).select("rid", F.lit(1).cast("bigint").alias(name))
+        kinds = type(self.spec)(name, {name: "int"})
+        self._write_layers(packing.pack_rows(marked, kinds, {}, self.bins), path)
+
+    def mark(self, name: str) -> DataFrame:
+        return self._layer(self._extra_path(f"mark_{name}"), packing.VALUES)
+
 
 # --- exact answers ---------------------------------------------------------
 
