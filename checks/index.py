@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.common import (
-    FLAG_COUNTS, FLAG_WHERE, FLAGSHIP, ITEM_COUNTS, ITEM_WHERE, ITEMS, STAR, STAR_COUNT, at, bin_of, bounds, catalog,
-    check, index_of, share,
+    FLAG_COUNTS, FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_WHERE, ITEMS, RATE, STAR,
+    STAR_COUNT, at, bin_of, bounds, catalog, check, index_of, predicted_and_sizes, share,
 )
 from thingroups.functions import binning
-from thingroups.operators import bitmaps, groups
+from thingroups.operators import bitmaps, factors, groups, sampling
 from thingroups.operators.filters import where_all
 from thingroups.operators.relational import exact
 from thingroups.sources.catalog import scan_stored
@@ -354,3 +354,129 @@ def filtered_index_rows(spark, sf):
 @check("exact_count_no_predicate", "SELECT event_type AS grp, COUNT(value)::DOUBLE AS value FROM events GROUP BY 1")
 def no_predicate(spark, sf):
     return exact(catalog(spark, sf), AggQuery("COUNT", "value", "events", "event_type"))
+
+
+# --- packed index: slices, one pass, join index, rows by id ---------------------------
+
+
+SPANS = [[(">", 20.0)], [("<=", 20.0)], [(">=", 5.0), ("<", 90.0)], [(">", 33.3), ("<=", 33.4)], [(">", 1e6)]]
+
+
+def span_sql(span):
+    sides = " AND ".join(f"{bin_of('value')} {'>' if op in ('>', '>=') else '<'} {at(v)}" for op, v in span)
+    return f" SELECT '{span_name(span)}' AS set_name, COUNT(*) AS n FROM events, b WHERE {sides}"
+
+
+def span_name(span):
+    return " ".join(f"{op} {v}" for op, v in span)
+
+
+@check("bitmap_range_slices", f"WITH {bounds('events', 'value')}" + " UNION ALL".join(map(span_sql, SPANS)))
+def range_slices(spark, sf):
+    index, domain = index_of(spark, sf, "events"), catalog(spark, sf).bounds("events")["value"]
+    sets = []
+    for span in SPANS:
+        predicates = [Predicate("value", op, v) for op, v in span]
+        weights = factors.bin_weights(predicates, *domain, index.bins, factors.FULL)
+        sets.append((span_name(span), factors.row_set([factors.steps_factor(index.slices("value"), weights)])))
+    return sized(sets)
+
+
+@check("group_count_estimate_bitmap_interpolate", f"WITH {FLAG_COUNTS} SELECT grp, round(est_count, 6) AS est_count FROM counts")
+def bitmap_interpolate(spark, sf):
+    return rounded(groups.bitmap_group_counts(catalog(spark, sf), FLAGSHIP, index_of(spark, sf, "events")))
+
+
+TWO_RANGES = AggQuery(
+    "COUNT", "l_quantity", "lineitem", "l_partkey",
+    (Predicate("l_returnflag", "=", "R"), Predicate("l_extendedprice", ">", 20000), Predicate("l_extendedprice", "<", 50000),
+     Predicate("l_discount", ">", 0.035)),
+)
+
+
+def bin_weight(column, op, v, b):
+    side = ">" if op in (">", ">=") else "<"
+    return (
+        f"(CASE WHEN {bin_of(column, b)} {side} {at(v, b)} THEN 1.0::DOUBLE WHEN {bin_of(column, b)} = {at(v, b)}"
+        f" THEN {share(op, v, b)} ELSE 0.0::DOUBLE END)"
+    )
+
+
+@check(
+    "group_count_estimate_bitmap_interpolate_many",
+    f"WITH {bounds('lineitem', 'l_extendedprice')}, {bounds('lineitem', 'l_discount', 'd')}"
+    " SELECT grp, round(est_count, 6) AS est_count FROM (SELECT l_partkey AS grp,"
+    f" SUM({bin_weight('l_extendedprice', '>', 20000.0, 'b')} * {bin_weight('l_extendedprice', '<', 50000.0, 'b')}"
+    f" * {bin_weight('l_discount', '>', 0.035, 'd')}) AS est_count"
+    " FROM lineitem, b, d WHERE l_returnflag = 'R' GROUP BY 1) WHERE est_count > 0",
+)
+def bitmap_interpolate_many(spark, sf):
+    return rounded(groups.bitmap_group_counts(catalog(spark, sf), TWO_RANGES, index_of(spark, sf, "lineitem")))
+
+
+@check(
+    "predict_groups_join_index",
+    f"WITH {bounds('lineitem', 'l_extendedprice')} SELECT l_suppkey AS grp, COUNT(*) AS n FROM lineitem, b"
+    f" WHERE {bin_of('l_extendedprice')} < {at(20000.0)}"
+    " AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1",
+)
+def predict_join_index(spark, sf):
+    index = index_of(spark, sf, "lineitem")
+    index.write_join(STAR_COUNT.join)
+    return groups.predict_groups(catalog(spark, sf), STAR_COUNT, index)
+
+
+@check(
+    "bitmap_join_index",
+    "SELECT 's_nationkey' AS col, CAST(s_nationkey AS VARCHAR) AS value, COUNT(*) AS n FROM lineitem"
+    " JOIN supplier ON l_suppkey = s_suppkey GROUP BY 2"
+    " UNION ALL SELECT 'any', 'present', COUNT(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
+)
+def join_index(spark, sf):
+    index = index_of(spark, sf, "lineitem")
+    index.write_join(STAR.join)
+    parts = [
+        index.joined(STAR.join, column).groupBy("value").agg(F.sum("n").alias("n")).select(F.lit(name).alias("col"), "value", "n")
+        for name, column in (("s_nationkey", "s_nationkey"), ("any", ""))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@check("group_row_ids_index", f"SELECT user_id AS grp, event_id FROM events WHERE {FLAG_WHERE}")
+def row_ids_index(spark, sf):
+    cat, index = catalog(spark, sf), index_of(spark, sf, "events")
+    ids = groups.index_row_ids(cat, FLAGSHIP, index)
+    return ids.join(index.fetch(ids).select("rid", "event_id"), "rid").select("grp", "event_id")
+
+
+def topped_up(spark, sf, query, wanted):
+    cat, index = catalog(spark, sf), index_of(spark, sf, query.table)
+    rare = sampling.rare_groups(*predicted_and_sizes(cat, query), wanted)
+    drawn = groups.topup_from_index(cat, query, index, rare, RATE)
+    return where_all(drawn, query.predicates, index.spec).where(~sampling.in_sample(drawn, index.spec, RATE, 42))
+
+
+def topup_sql(counts, query, where, in_sample, wanted, distinct):
+    return (
+        f"WITH {counts}, sizes AS (SELECT {query.group} AS grp, COUNT(*) AS n FROM {query.table} WHERE {where} AND {in_sample} GROUP BY 1),"
+        f" rare AS (SELECT c.grp, {wanted} - coalesce(s.n, 0) AS need FROM counts c LEFT JOIN sizes s ON c.grp = s.grp"
+        f" WHERE coalesce(s.n, 0) < {wanted})"
+        f" SELECT grp, least(need, COUNT(*)) AS n, least(need, COUNT({distinct})) AS n_distinct FROM {query.table} JOIN rare"
+        f" ON {query.group} = grp WHERE {where} AND NOT {in_sample} GROUP BY grp, need"
+    )
+
+
+@check("rare_group_topup_index", topup_sql(FLAG_COUNTS, FLAGSHIP, FLAG_WHERE, IN_SAMPLE, 3, "DISTINCT event_id"))
+def topup_index(spark, sf):
+    rows = topped_up(spark, sf, FLAGSHIP, 3)
+    return rows.groupBy(F.col("user_id").alias("grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_distinct")
+    )
+
+
+@check("rare_group_topup_index_many", topup_sql(ITEM_COUNTS, ITEMS, ITEM_WHERE, ITEM_IN_SAMPLE, 5, "*"))
+def topup_index_many(spark, sf):
+    rows = topped_up(spark, sf, ITEMS, 5)
+    return rows.groupBy(F.col("l_partkey").alias("grp")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n_distinct")
+    )

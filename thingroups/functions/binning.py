@@ -127,3 +127,16 @@ def weights_of_bins(op: str, v: float, lo: float, hi: float, bins: int, boundary
     if op in (">=", "<=") and share == 0:
         share = EDGE_SHARE
     return [1.0 if first <= b <= last else share if boundary and b == at else 0.0 for b in range(bins)]
+
+
+#: Weight of a bin of which only the raw values tell whether they satisfy a comparison.
+UNCERTAIN = 0.5
+
+
+def certainty_of_bins(op: str, v: float, lo: float, hi: float, bins: int) -> list[float]:
+    """1 for a bin all of whose values satisfy the comparison, UNCERTAIN where some may, else 0."""
+    if lo == hi:
+        return weights_of_bins(op, v, lo, hi, bins, False)
+    at = -1 if v < lo else bins if v > hi else min(math.floor((v - lo) / ((hi - lo) / bins)), bins - 1)
+    beyond = {">": 1, ">=": 1, "<": -1, "<=": -1, "=": 0}[op]
+    return [UNCERTAIN if b == at else 1.0 if (b - at) * beyond > 0 else 0.0 for b in range(bins)]

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from thingroups.functions import binning
 from thingroups.functions.arrow import apply_arrow
-from thingroups.operators.packing import BUCKET_ROWS, COARSE, FINE, as_bitmap, block_size, unpacked, whole_column
+from thingroups.operators.packing import (
+    BUCKET_ROWS, COARSE, FINE, as_bitmap, block_size, row_ids, unpacked, whole_column,
+)
 from thingroups.spec import Predicate
 
 GROUP = -1
@@ -45,11 +47,18 @@ def values_factor(containers: DataFrame, negated: bool = False) -> Factor:
     return Factor(lines, (1.0, 0.0) if negated else (0.0, 1.0))
 
 
-def bin_weights(predicates: Sequence[Predicate], lo: float, hi: float, bins: int, boundary: bool) -> list[float]:
-    """Weight of each bin under all predicates of a numeric column; ``boundary`` counts shares of bins."""
+#: What a boundary bin counts: nothing, the covered share, or a mark that its rows need a look.
+FULL, SHARE, UNCERTAIN = "full", "share", "uncertain"
+
+
+def bin_weights(predicates: Sequence[Predicate], lo: float, hi: float, bins: int, boundary: str) -> list[float]:
+    """Weight of each bin under all predicates of a numeric column."""
     weights = [1.0] * bins
     for p in predicates:
-        one = binning.weights_of_bins(p.op, float(p.value), lo, hi, bins, boundary)
+        if boundary == UNCERTAIN:
+            one = binning.certainty_of_bins(p.op, float(p.value), lo, hi, bins)
+        else:
+            one = binning.weights_of_bins(p.op, float(p.value), lo, hi, bins, boundary == SHARE)
         weights = [a * b for a, b in zip(weights, one, strict=True)]
     return weights
 
@@ -128,3 +137,52 @@ def row_set(factors: Sequence[Factor]) -> DataFrame:
 
     return apply_arrow(_tagged(factors, None), "bucket", work, "bucket long, bitmap binary")
 
+
+
+def draws(rids: np.ndarray, seed: int) -> np.ndarray:
+    """A random order of row ids: 63 bits that depend on the id and the seed alone."""
+    x = rids.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(1)).astype(np.int64)
+
+
+def pick_rows(groups: DataFrame, factors: Sequence[Factor], seed: int) -> DataFrame:
+    """(value, need, rid, draw, certain): for each container of a group, which comes with the number of
+    rows its group needs, the rows of lowest draw. ``certain`` rows have weight 1; of the others, which
+    may drop out when their values are seen, those before the last certain one are taken as well."""
+    tables = [np.array(f.weights) for f in factors]
+
+    def work(table: pa.Table) -> list:
+        weights, positions, owner = row_weights(table, tables)
+        mine = (table.column("role").to_numpy()[owner] == GROUP) & (weights[positions] > 0)
+        positions, owner = positions[mine], owner[mine]
+        rids = row_ids(table.column("bucket")[0].as_py(), positions)
+        draw, certain = draws(rids, seed), weights[positions] == 1
+        order = np.lexsort((draw, owner))
+        rids, draw, certain, owner = rids[order], draw[order], certain[order], owner[order]
+        before = np.cumsum(certain) - certain
+        before = before - before[np.searchsorted(owner, owner)]
+        need = table.column("need").fill_null(0).to_numpy()[owner]
+        keep = np.flatnonzero(before < need)
+        return [
+            whole_column(table, "value").take(pa.array(owner[keep])), pa.array(need[keep], pa.int32()),
+            pa.array(rids[keep]), pa.array(draw[keep]), pa.array(certain[keep]),
+        ]
+
+    lines = _tagged(factors, groups, "need")
+    return apply_arrow(lines, "bucket", work, "value string, need int, rid long, draw long, certain boolean")
+
+
+def row_ids_of(groups: DataFrame, factors: Sequence[Factor]) -> DataFrame:
+    """(value, rid, certain) of all rows of the groups that have any weight."""
+    tables = [np.array(f.weights) for f in factors]
+
+    def work(table: pa.Table) -> list:
+        weights, positions, owner = row_weights(table, tables)
+        mine = (table.column("role").to_numpy()[owner] == GROUP) & (weights[positions] > 0)
+        positions, owner = positions[mine], owner[mine]
+        rids = row_ids(table.column("bucket")[0].as_py(), positions)
+        return [whole_column(table, "value").take(pa.array(owner)), pa.array(rids), pa.array(weights[positions] == 1)]
+
+    return apply_arrow(_tagged(factors, groups), "bucket", work, "value string, rid long, certain boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thingroups.functions import binning
@@ -14,7 +14,8 @@ from thingroups.operators.factors import Factor
 from thingroups.operators.filters import compare, compare_whole, condition, route, where_all
 from thingroups.operators.relational import filtered_frames, left_groups, semi_join_reduce
 from thingroups.sources.catalog import Catalog, scan_bernoulli, scan_stored
-from thingroups.sources.storage import BitmapIndex
+from thingroups.operators.sampling import in_sample
+from thingroups.sources.storage import BitmapIndex, cut
 from thingroups.spec import AggQuery, Predicate
 
 missing_groups = left_groups
@@ -140,7 +141,7 @@ def _matching(containers: DataFrame, predicates: list[Predicate], kind: str) ->
     return containers
 
 
-def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundary: bool) -> list[Factor]:
+def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundary: str = factors.FULL) -> list[Factor]:
     """The WHERE (and the join) as one factor a column. Dimension predicates are read from the
     join index if it is there, and then neither the dimension nor the foreign key is."""
     spec, bounds = index.spec, catalog.bounds(query.table)
@@ -172,7 +173,7 @@ def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundar
 def query_set(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame | None:
     """Row set of the WHERE (and of the join) out of the index; ``None`` means all rows."""
     if index.packed:
-        found = query_factors(catalog, query, index, False)
+        found = query_factors(catalog, query, index)
         return factors.row_set(found) if found else None
     keys = None
     if query.join is not None:
@@ -190,7 +191,7 @@ def _typed(catalog: Catalog, query: AggQuery, counted: DataFrame) -> DataFrame:
 def predict_groups(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
     """Groups whose bitmap meets the row set of the query, with the size of the overlap."""
     if index.packed:
-        found = query_factors(catalog, query, index, False)
+        found = query_factors(catalog, query, index)
         groups = index.read(query.group)
         if found:
             counted = factors.count_groups(groups, found).select("value", "n")
@@ -209,7 +210,7 @@ def bitmap_group_counts(catalog: Catalog, query: AggQuery, index: BitmapIndex) -
     intersected with rows that are already inside the full bins, so it adds the edge rows.
     """
     if index.packed:
-        found = query_factors(catalog, query, index, True)
+        found = query_factors(catalog, query, index, factors.SHARE)
         groups = index.read(query.group)
         if found:
             counted = factors.count_groups(groups, found).select("value", "weight")
@@ -230,6 +231,47 @@ def bitmap_group_counts(catalog: Catalog, query: AggQuery, index: BitmapIndex) -
     return _typed(catalog, query, total.select("value", (F.col("n") / index.spec.index_rate).alias("est_count")))
 
 
+def index_row_ids(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
+    """``(grp, rid)`` of the rows that satisfy the query, out of a packed index. Only rows of
+    boundary bins are fetched, to see their values."""
+    found = query_factors(catalog, query, index, factors.UNCERTAIN)
+    ids = cut(factors.row_ids_of(index.read(query.group), found))
+    unsure = ids.where(~F.col("certain"))
+    seen = where_all(index.fetch(unsure), _fact_predicates(catalog, query), index.spec).select("rid")
+    kept = ids.where("certain").unionByName(unsure.join(seen, "rid", "left_semi").select(*ids.columns))
+    return _typed(catalog, query, kept.select("value", "rid"))
+
+
+def sample_mark(rate: float, seed: int) -> str:
+    return f"sample_{rate}_{seed}"
+
+
+def topup_from_index(
+    catalog: Catalog, query: AggQuery, index: BitmapIndex, rare: DataFrame, sample_rate: float, seed: int = 42
+) -> DataFrame:
+    """Up to ``need`` random rows outside the sample for every rare group ``(grp, need)``, chosen on
+    the index: in each bucket the rows of lowest draw among group AND where AND NOT sample, then
+    the lowest of all buckets. Only these rows are fetched; those of boundary bins that turn
+    out not to satisfy the query leave their place to the next.
+
+    A row's draw is a hash of its id. The mark of the sample is written on first use."""
+    index.write_mark(sample_mark(sample_rate, seed), lambda rows: in_sample(rows, index.spec, sample_rate, seed))
+    found = query_factors(catalog, query, index, factors.UNCERTAIN)
+    found.append(factors.values_factor(index.mark(sample_mark(sample_rate, seed)), negated=True))
+    needs = rare.where(F.col("grp").isNotNull()).select(F.col("grp").cast("string").alias("value"), F.col("need").cast("int").alias("need"))
+    groups = index.read(query.group).join(needs, "value")
+    picked = cut(factors.pick_rows(groups, found, seed))
+    by_draw = Window.partitionBy("value").orderBy("draw", "rid")
+    ranked = picked.where("certain").withColumn("at", F.row_number().over(by_draw)).where(F.col("at") <= F.col("need"))
+    last = ranked.where(F.col("at") == F.col("need")).select("value", F.col("draw").alias("last"))
+    chosen = picked.join(last, "value", "left").where(F.col("last").isNull() | (F.col("draw") <= F.col("last")))
+    chosen = cut(chosen.select("rid", "draw", "need"))
+    rows = where_all(index.fetch(chosen), _fact_predicates(catalog, query), index.spec).join(chosen, "rid")
+    lowest = Window.partitionBy(query.group).orderBy("draw", "rid")
+    drawn = rows.withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= F.col("need"))
+    return drawn.select(*index.spec.stored_columns)
+
+
 def bitmap_op_count(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
     """AND / OR operations a prediction takes: bins, predicates, keys, groups, boundaries."""
     spec, bounds = index.spec, catalog.bounds(query.table)

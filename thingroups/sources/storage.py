@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from thingroups.functions.draws import keep, salted
 from thingroups.operators import bitmaps, packing
 from thingroups.sources.catalog import Catalog, key_parts, scan_bernoulli, scan_stored
-from thingroups.spec import JoinSpec
+from thingroups.spec import JoinSpec, TableSpec
 
 
 _local_folders: dict[str, str] = {}
@@ -325,8 +325,8 @@ class BitmapIndex:
         if f"{path}/{packing.VALUES}" in self._opened or self._layers(path):
             return
         rows = self.rows()
-        marked = rows.where(holds(rows) if callable(holds) else holds).select("rid", F.lit(1).cast("bigint").alias(name))
-        kinds = type(self.spec)(name, {name: "int"})
+        marked = rows.where(holds(rows) if callable(holds) else holds).select("rid", F.lit(1).cast("bigint").alias("mark"))
+        kinds = TableSpec(name, {"mark": "int"})
         self._write_layers(packing.pack_rows(marked, kinds, {}, self.bins), path)
 
     def mark(self, name: str) -> DataFrame:
