@@ -63,7 +63,7 @@ def _read_if_there(spark: SparkSession, path: str, schema: str | None = None) ->
         raise
 
 
-def published_folder(spark: SparkSession, path: str) -> tuple[str, DataFrame] | None:
+def published_folder(spark: SparkSession, path: str, schema: str | None = None) -> tuple[str, DataFrame] | None:
     """The folder a manifest names and its rows, or None if there is none or not all rows are there.
 
     Data go to a fresh folder first; the manifest, one line with that folder and its
@@ -73,7 +73,7 @@ def published_folder(spark: SparkSession, path: str) -> tuple[str, DataFrame] |
     line = None if lines is None else lines.first()
     if line is None:
         return None
-    data = _read_if_there(spark, f"{path}/{line['folder']}")
+    data = _read_if_there(spark, f"{path}/{line['folder']}", schema)
     return (f"{path}/{line['folder']}", data) if data is not None and data.count() == line["n_rows"] else None
 
 
@@ -220,7 +220,7 @@ class BitmapIndex:
 
     def _layers(self, path: str) -> bool:
         """Open what is written below a path, layer by layer; False if there is nothing."""
-        there = published_folder(self.catalog.spark, path)
+        there = published_folder(self.catalog.spark, path, packing.CONTAINERS)
         if there is None:
             return False
         folder, data = there
