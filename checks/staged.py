@@ -72,6 +72,16 @@ def staged_avg(spark, sf):
     return rounded(one_run(spark, sf, FLAGSHIP, RunConfig(topup_rows=5), "events"), list(AVG_STAGES))
 
 
+# With more rows wanted than there are, all candidates are drawn, whatever the order of the draws.
+@check(
+    "staged_avg_from_index",
+    f"WITH {FLAG_COUNTS}, {topup_sql('events', FLAG_WHERE, 'event_id', IN_SAMPLE, 'user_id', 1_000_000)} SELECT {stages_sql(AVG_STAGES)}",
+)
+def staged_avg_from_index(spark, sf):
+    config = RunConfig(topup_rows=1_000_000, topup_source="index")
+    return rounded(one_run(spark, sf, FLAGSHIP, config, "events"), list(AVG_STAGES))
+
+
 ITEM_TRUTH = f"SELECT l_partkey AS grp, {total('l_extendedprice')} AS value FROM lineitem WHERE {ITEM_WHERE} GROUP BY 1"
 SUM_WHOLE = (
     f"SELECT w.grp, w.v * est_count AS value FROM (SELECT l_partkey AS grp, {mean('l_extendedprice')} AS v FROM whole"
@@ -294,6 +304,28 @@ def workload_run(spark, sf):
     return metrics.select(kind.alias("event_type"), "n_predicates", F.round("re", 6).alias("re"), failed)
 
 
+def truths_sql():
+    """Exact answers of the statements of the type workload, one table."""
+    tails = {1: "TRUE", 2: "value > 20", 3: "value > 20 AND user_id < 90"}
+    return " UNION ALL ".join(
+        f"SELECT event_type, {n} AS n_predicates, CAST(user_id AS VARCHAR) AS grp, COUNT(value)::DOUBLE AS value FROM events"
+        f" WHERE {tail} GROUP BY 1, 3"
+        for n, tail in tails.items()
+    )
+
+
+@check("workload_shared_truths", truths_sql())
+def shared_truths(spark, sf):
+    run, statements = StagedRun(catalog(spark, sf)), type_workload(spark, sf, "shared")
+    lines = [(line, idx, query) for idx, line, query in workloads.numbered(workloads.queries_of(run, statements))]
+    found = workloads.shared_truths(run.catalog, [(line["workload"], idx, q) for line, idx, q in lines if not isinstance(q, Exception)])
+    kinds = spark.createDataFrame(
+        [(idx, line["n_predicates"], q.predicates[0].value) for line, idx, q in lines if not isinstance(q, Exception)],
+        "idx int, n_predicates int, event_type string",
+    )
+    return found.join(kinds, "idx").select("event_type", "n_predicates", "grp", "value")
+
+
 @check(
     "workload_by_predicate_count",
     workload_errors_sql() + " SELECT n_predicates, COUNT(*) AS n_statements, round(avg(err), 6) AS mean_error FROM errors GROUP BY 1",

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from checks.common import FLAGSHIP, STAR, catalog
 from conftest import DATA
 from thingroups import AggQuery, Catalog, JoinSpec, Predicate, RunConfig
 from thingroups.operators import estimate, filters, relational, sampling
+from thingroups.operators.relational import exact
 from thingroups.operators.score import score
 from thingroups.plans import workloads
 from thingroups.plans.staged import StagedRun, metric_frame
@@ -169,6 +172,41 @@ def test_a_failing_statement_does_not_stop_the_run(spark):
     assert rows[2]["re"] == 0.0
 
 
+def test_shared_scan_answers_a_hundred_statements(spark, hot_cat, tmp_path):
+    draw = random.Random(4)
+    join = JoinSpec("d", "k", "dk")
+    queries = []
+    for n in range(100):
+        predicates = [Predicate("x", draw.choice([">", "<="]), draw.randrange(1009)), Predicate("g", "=", draw.choice([-1, 5, 300]))]
+        picked = predicates[: draw.randrange(3)]
+        if n % 4 == 3:
+            picked = [*picked, Predicate("n", "=", "even")]
+        func, group = draw.choice(["AVG", "SUM", "COUNT"]), draw.choice(["g", "k"])
+        queries.append(AggQuery(func, "x", "f", group, tuple(picked), join if n % 4 == 3 else None))
+    shared = workloads.shared_truths(hot_cat, [("w", i, q) for i, q in enumerate(queries)]).persist()
+    single = workloads.shared_truths(hot_cat, [("w", i, q) for i, q in enumerate(queries) if q.join is None])
+    assert single._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 1
+    for i in range(0, 100, 9):
+        expected = {str(r["grp"]): r["value"] for r in exact(hot_cat, queries[i]).collect()}
+        assert {r["grp"]: r["value"] for r in shared.where(F.col("idx") == i).collect()} == pytest.approx(expected, rel=1e-12)
+    workloads.write_truths(shared, str(tmp_path), "hot")
+    workloads.write_truths(shared.where("idx = 3"), str(tmp_path), "hot")
+    again = read_truth(spark, str(tmp_path), "hot", "w", 9, "bigint")
+    assert {r["grp"]: r["value"] for r in again.collect()} == pytest.approx({r["grp"]: r["value"] for r in exact(hot_cat, queries[9]).collect()})
+
+
+def test_shared_scan_in_a_workload(spark, tmp_path):
+    lines = ["SELECT user_id, AVG(value) FROM events WHERE value > 20 GROUP BY user_id", "SELECT event_type, COUNT(value) FROM events GROUP BY event_type"]
+    lines += ["SELECT user_id, COUNT(value) FROM events WHERE absent = 1 GROUP BY user_id"]
+    statements = spark.createDataFrame([("w", i, s) for i, s in enumerate(lines)], "workload string, line bigint, sql string")
+    run = StagedRun(catalog(spark, DATA))
+    rows = workloads.run_workload(run, statements, str(tmp_path), "e", parallel=3, shared_scan=True).orderBy("idx").collect()
+    plain = workloads.run_workload(run, statements, parallel=3).orderBy("idx").collect()
+    columns = [c for c in rows[0].asDict() if not c.endswith("_latency") and c != "error"]
+    assert [[r[c] for c in columns] for r in rows] == [[r[c] for c in columns] for r in plain]
+    assert [r["error"] is None for r in rows] == [True, True, False]
+
+
 def test_metric_text(spark):
     metrics = metric_frame(spark, [{"idx": 3, "re": 0.123456, "num_of_bitmap_ops": 7}])
     row = formatted(metrics, ["idx", "re", "num_of_bitmap_ops", "recall", "unknown"]).first()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from thingroups.operators.estimate import approx_avg, approx_count, approx_sum
 from thingroups.operators.generate import Fit, fit, load_or_fit
 from thingroups.operators.groups import (
-    bitmap_group_counts, bitmap_op_count, candidate_rows, group_counts, index_rows,
+    bitmap_group_counts, bitmap_op_count, candidate_rows, group_counts, index_rows, topup_from_index,
 )
 from thingroups.operators.relational import exact, filtered_frames, group_sizes
 from thingroups.operators.repair import dynamic_supply, generate_for, supply_missing_groups
@@ -56,9 +56,10 @@ METRIC_TYPES = {
 class StagedRun:
     """Runs one query through its stages.
 
-    ``samples`` are the cached frames of the workload; ``index`` is used for
-    operation counts and for the ``reference`` count mode; ``model_folder``
-    keeps fitted statistics between runs; ``truth`` replays a saved answer.
+    ``samples`` are the cached frames of the workload; with a packed ``index`` group
+    counts are interpolated from it and no fact row is read for them, with a closed one
+    the ``reference`` counts are; it also gives operation counts and, if asked for, the rows of the
+    top-up. ``model_folder`` keeps fitted statistics between runs; ``truth`` replays a saved answer.
     """
 
     def __init__(
@@ -141,7 +142,9 @@ class StagedRun:
 
     def _counts(self, query: AggQuery) -> DataFrame:
         cfg = self.config
-        if cfg.count_mode == "reference" and self.index is not None:
+        index = self.index
+        closed = index is not None and index.closed and cfg.count_mode == "reference"
+        if closed or index is not None and index.packed and index.bins == cfg.bins and cfg.count_mode == "interpolate":
             counts = self._timed(
                 "predict_groups_latency", lambda: bitmap_group_counts(self.catalog, query, self.index)
             )
@@ -178,6 +181,9 @@ class StagedRun:
         rare = rare.persist()
         self._held.append(rare)
         self.metrics["num_of_rare_groups"] = rare.count()
+        if cfg.topup_source == "index" and self.index is not None and not cfg.allow_duplicates:
+            drawn = topup_from_index(self.catalog, query, self.index, rare, cfg.sample_rate, cfg.seed)
+            return union_rows(frames[query.table], drawn)
         candidates = candidate_rows(self.catalog, query, index_rows(self.catalog, query, self.index, cfg.seed))
         key = key_parts(candidates, spec)
         if not cfg.allow_duplicates:

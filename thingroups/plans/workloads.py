@@ -14,7 +14,7 @@ from thingroups.operators.filters import conjunction, route
 from thingroups.operators.relational import join_fact_dim
 from thingroups.operators.sampling import cached_sample
 from thingroups.plans.staged import METRIC_TYPES, StagedRun, metric_frame
-from thingroups.sources.catalog import scan_stored
+from thingroups.sources.catalog import Catalog, scan_stored
 from thingroups.sources.storage import read_truth, write_metrics_csv, write_truth
 from thingroups.sources.workload import profile, to_query
 from thingroups.spec import AggQuery
@@ -38,6 +38,63 @@ def queries_of(run: StagedRun, statements: DataFrame) -> list[tuple[dict, AggQue
     return out
 
 
+def shared_truths(catalog: Catalog, items: list[tuple[str, int, AggQuery]]) -> DataFrame:
+    """(workload, idx, grp, value): exact answers of many statements, ``grp`` as text.
+
+    Statements of one source, a table or a join, share one scan: each row gives a line for every
+    statement whose predicates it satisfies, with that statement's group and measure, and
+    one aggregation adds all of them up, partially before the shuffle."""
+    by_source: dict[tuple, list[tuple[str, int, AggQuery]]] = {}
+    for item in items:
+        by_source.setdefault((item[2].table, item[2].join), []).append(item)
+    return reduce(DataFrame.unionByName, [_truths_of_source(catalog, some) for some in by_source.values()])
+
+
+def _truths_of_source(catalog: Catalog, items: list[tuple[str, int, AggQuery]]) -> DataFrame:
+    first = items[0][2]
+    tables = catalog.tables_of(first)
+    rows = scan_stored(catalog, first.table)
+    if first.join is not None:
+        rows = join_fact_dim(first, rows, scan_stored(catalog, first.join.dimension))
+    decimals = max([0, *(s for t in tables for s in catalog.spec(t).scales.values())])
+    exact_type = f"decimal({18 + decimals},{decimals})"
+    lines, scales = [], []
+    for n, (_, _, query) in enumerate(items):
+        routed = route(query.predicates, catalog.specs, tables)
+        holds = reduce(and_, [conjunction(rows, routed[t], catalog.spec(t)) for t in tables])
+        owner = next((t for t in tables if query.measure in catalog.spec(t).kinds), query.table)
+        scale, x = catalog.scale(query.measure, owner), F.col(query.measure)
+        none = F.lit(None)
+        line = F.struct(
+            F.lit(n).alias("n"),
+            F.col(query.group).cast("string").alias("grp"),
+            (none if scale is None else x.cast(f"decimal(18,{scale})")).cast(exact_type).alias("exact"),
+            (x.cast("double") if scale is None else none.cast("double")).alias("x"),
+            x.isNotNull().alias("there"),
+        )
+        lines.append(F.when(holds, line))
+        scales.append(scale)
+    each = rows.select(F.inline(F.array_compact(F.array(*lines))))
+    added = each.groupBy("n", "grp").agg(F.sum("exact").alias("exact"), F.sum("x").alias("x"), F.count_if("there").alias("rows"))
+    statements = rows.sparkSession.createDataFrame(
+        [(n, w, i, q.func, s is not None) for n, ((w, i, q), s) in enumerate(zip(items, scales, strict=True))],
+        "n int, workload string, idx int, func string, in_decimals boolean",
+    )
+    total = F.when(F.col("in_decimals"), F.col("exact").cast("double")).otherwise(F.col("x"))
+    value = (
+        F.when(F.col("func") == "COUNT", F.col("rows").cast("double"))
+        .when(F.col("func") == "SUM", total)
+        .otherwise(F.try_divide(total, F.col("rows")))
+    )
+    return added.join(statements, "n").select("workload", "idx", "grp", value.alias("value"))
+
+
+def write_truths(truths: DataFrame, folder: str, dataset: str) -> None:
+    """Keep many answers in the layout of single ones, to be replayed one by one."""
+    parts = truths.repartition("workload", "idx").write.partitionBy("workload", "idx").mode("overwrite")
+    parts.option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/truth/dataset={dataset}")
+
+
 def run_workload(
     run: StagedRun,
     statements: DataFrame,
@@ -47,12 +104,14 @@ def run_workload(
     parallel: int = 1,
     replay: bool = False,
     metrics_path: str | None = None,
+    shared_scan: bool = False,
 ) -> DataFrame:
     """One metric row per statement; a failing statement is recorded and skipped over.
 
     The answer sample is drawn once for all statements. Exact answers go to
     ``truth_folder``, or with ``replay`` come from there instead of being computed
-    again. ``metrics_path`` is given the metric rows as one CSV.
+    again; with ``shared_scan`` one scan for each source answers all statements first, and
+    every statement replays its own. ``metrics_path`` is given the metric rows as one CSV.
 
     With ``parallel`` several statements are submitted at a time: their jobs are
     small, and Spark runs those of different threads side by side. Measured
@@ -72,7 +131,7 @@ def run_workload(
             if isinstance(query, Exception):
                 raise query
             keep = truth = None
-            if replay:
+            if replay or (line["workload"], idx) in shared:
                 grp_type = run.catalog.frame(query.table).schema[query.group].dataType.simpleString()
                 truth = read_truth(run.catalog.spark, truth_folder, dataset, line["workload"], idx, grp_type)
             elif truth_folder is not None:
@@ -83,6 +142,15 @@ def run_workload(
         return record
 
     items = numbered(queries_of(run, statements))
+    if shared_scan and not replay:
+        if truth_folder is None:
+            raise ValueError("a shared scan writes its answers to truth_folder")
+        able = [(line["workload"], idx, q) for idx, line, q in items if _is_answerable(run.catalog, q)]
+        if able:
+            write_truths(shared_truths(run.catalog, able), truth_folder, dataset)
+        shared = {(w, i) for w, i, _ in able}
+    else:
+        shared = set()
     if parallel > 1:
         with ThreadPoolExecutor(parallel) as pool:
             rows = list(pool.map(one, items))
@@ -96,6 +164,15 @@ def run_workload(
     return metrics
 
 
+def _is_answerable(catalog: Catalog, query: AggQuery | Exception) -> bool:
+    """Whether all columns are there; what is not answered together fails on its own."""
+    if isinstance(query, Exception) or query.table not in catalog.specs:
+        return False
+    tables = catalog.tables_of(query)
+    known = {c for t in tables if t in catalog.specs for c in catalog.spec(t).stored_columns}
+    return all(t in catalog.specs for t in tables) and {query.group, query.measure, *(p.column for p in query.predicates)} <= known
+
+
 def numbered(lines: list[tuple[dict, AggQuery | Exception]]) -> list[tuple[int, dict, AggQuery | Exception]]:
     """Position of each statement within its workload, from 0."""
     counters: dict[str, int] = {}

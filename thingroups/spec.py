@@ -114,6 +114,7 @@ class RunConfig:
     bins: int = 100
     seed: int = 42
     repair: str = "topup"          # or "generate"
+    topup_source: str = "rows"     # or "index": rows are chosen on the bitmap index
     count_mode: str = "interpolate"  # or "reference" / "exact"
     allow_duplicates: bool = False
     null_share: bool = True
@@ -121,6 +122,8 @@ class RunConfig:
     def __post_init__(self):
         if self.repair not in ("topup", "generate"):
             raise ValueError(f"unknown repair '{self.repair}'")
+        if self.topup_source not in ("rows", "index"):
+            raise ValueError(f"unknown source of top-up rows '{self.topup_source}'")
         if self.count_mode not in ("interpolate", "reference", "exact"):
             raise ValueError(f"unknown count mode '{self.count_mode}'")
 
