@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -248,6 +249,38 @@ def test_secret_edges_and_random_strings(spark):
     assert secrets.report(docs.limit(0)).collect() == []
 
 
+def test_long_texts_with_secrets(spark):
+    draw = random.Random(6)
+    letters = secrets.ALPHABET[:62]
+    run = "".join(draw.choices(letters, k=1_000_000))
+    many = " ".join(f"token=abc{i:06d} é" if i % 3 else "".join(draw.choices(letters, k=30)) for i in range(20_000))
+    texts = {1: run, 2: many, 3: "f" * 400_000 + " 😀 " + "AKIA" + "Z" * 300_000, 4: "x" * 30 + "token=abcdefg" + "y" * 30}
+    docs = frame(spark, [(i, t, "en") for i, t in texts.items()])
+    ratios = secrets.learn(spark.read.parquet(f"{DATA}/documents.parquet"))
+    scanned = secrets.scan(docs, ratios)
+    begin = time.time()
+    got = {r["doc_id"]: r for r in scanned.select("doc_id", "base", "spans", secrets.redact(scanned).alias("clean")).repartition(4).collect()}
+    assert time.time() - begin < 40  # four texts of up to a million characters
+    for i, text in texts.items():
+        listed = ",".join(f"{secrets.KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in got[i]["base"])
+        assert listed == base_spans(text)
+        stretches, spans = [], sorted((s["start"], s["end"]) for s in got[i]["spans"])
+        for a, b in spans:
+            if stretches and stretches[-1][1] >= a:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
+        at, clean = 0, []
+        for a, b in stretches:
+            clean += [text[at:a], "[SECRET]"]
+            at = b
+        assert got[i]["clean"] == "".join([*clean, text[at:]])
+        base = [(s["start"], s["end"]) for s in got[i]["base"]]
+        random_spans = [(s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] == 3]
+        assert not any(a < y and x < b for a, b in random_spans[:200] for x, y in base)
+    assert sum(s["kind"] == 3 for s in got[2]["spans"]) > 5_000
+
+
 # --- sharding --------------------------------------------------------------
 
 

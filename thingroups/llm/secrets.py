@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thingroups.llm.arrays import add, cut_out, let, reversed_running, running
+
 #: Patterns, in the order of kinds. Group 1 of an assignment is its value.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 SHORTEST_VALUE = 6
@@ -46,19 +48,22 @@ SPAN = "struct<start: int, kind: int, end: int, value: string>"
 def _found(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
     """Spans of all matches, leftmost first, from the lengths of what lies between."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else matches
     gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("match"), values.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.char_length(part["gap"])
-        end = start + F.char_length(part["match"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def spans(parts: Column) -> Column:
+        ends = running(F.transform(parts, lambda p: F.char_length(p["gap"]) + F.char_length(p["match"])), add)
+        return F.zip_with(
+            parts,
+            ends,
+            lambda p, end: F.struct(
+                (end - F.char_length(p["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["value"].alias("value")
+            ),
+        )
 
-    spans = F.aggregate(parts, empty, step)["spans"]
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    parts = F.arrays_zip(matches.alias("match"), values.alias("value"), gaps.alias("gap"))
+    whole = F.filter(parts, lambda p: p["match"].isNotNull())  # one gap more than matches
+    return F.when(text.rlike(pattern), let(whole, spans)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
@@ -95,9 +100,7 @@ def learn(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> list[floa
         .where(F.char_length("value") > 1)
         .select(
             "random",
-            F.explode(
-                F.transform(F.sequence(F.lit(1), F.char_length("value") - 1), lambda i: F.col("value").substr(i, F.lit(2)))
-            ).alias("pair"),
+            F.explode(let(F.split("value", ""), lambda c: _neighbours(c, lambda a, b: F.concat(a, b)))).alias("pair"),
         )
         .groupBy("random", "pair")
         .agg(F.count(F.lit(1)).alias("times"))
@@ -117,17 +120,41 @@ def learn(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> list[floa
     return [round(log_share(True, i) - log_share(False, i), 6) for i in range(size**2)]
 
 
+def _neighbours(items: Column, join) -> Column:
+    """``join`` of each element and the next."""
+    n = F.size(items) - 1
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(2), n), join)
+
+
 def random_likelihood(value: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the pairs of neighbouring characters."""
     size = len(ALPHABET)
     table = F.lit(ratios)
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    of_pair = lambda a, b: F.element_at(table, (a * size + b + 1).cast("int"))
+    total = let(codes, lambda c: F.aggregate(_neighbours(c, of_pair), F.lit(0.0), lambda x, y: x + y))
+    return total / (F.char_length(value) - 1)
+
+
+def _apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no span of ``base``: by start, no span before reaches into one, and the
+    next one begins behind it."""
+    item = lambda s, run: F.struct(s["start"].alias("start"), F.lit(run).alias("run"), s["end"].alias("end"), s["value"].alias("value"))
+    both = F.array_sort(F.concat(F.transform(base, lambda s: item(s, 0)), F.transform(runs, lambda r: item(r, 1))))
+
+    def free(items: Column) -> Column:
+        reach = running(F.transform(items, lambda x: F.when(x["run"] == 0, x["end"]).otherwise(F.lit(-1))), F.greatest)
+        follows = reversed_running(F.transform(items, lambda x: F.when(x["run"] == 0, x["start"]).otherwise(F.lit(2**31 - 1))), F.least)
+        lines = F.arrays_zip(items.alias("item"), reach.alias("reach"), follows.alias("follows"))
+        good = F.filter(lines, lambda x: (x["item"]["run"] == 1) & (x["reach"] <= x["item"]["start"]) & (x["follows"] >= x["item"]["end"]))
+        return F.transform(
+            good,
+            lambda x: F.struct(
+                x["item"]["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), x["item"]["end"].alias("end"), x["item"]["value"].alias("value")
+            ),
+        )
 
-    def pair(i: Column) -> Column:
-        a, b = (F.instr(F.lit(ALPHABET), value.substr(i + d, F.lit(1))) - 1 for d in (0, 1))
-        return F.element_at(table, (a * size + b + 1).cast("int"))
-
-    pairs = F.transform(F.sequence(F.lit(1), F.char_length(value) - 1), pair)
-    return F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y) / (F.char_length(value) - 1)
+    return F.when(F.size(runs) > 0, let(both, free)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(documents: DataFrame, ratios: list[float] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,11 +165,10 @@ def scan(documents: DataFrame, ratios: list[float] | None = None, threshold: flo
     with_base = base_spans(documents).withColumn("runs", _found(text, RUN, 3)).withColumn(
         "base", F.array_sort(F.concat("assign", "access", "hex"))
     )
-    apart = lambda run: ~F.exists("base", lambda s: (s["start"] < run["end"]) & (run["start"] < s["end"]))
     return (
         with_base.withColumn(
             "random",
-            F.filter("runs", lambda r: apart(r) & (random_likelihood(r["value"], ratios) > threshold)),
+            F.filter(_apart(F.col("runs"), F.col("base")), lambda r: random_likelihood(r["value"], ratios) > threshold),
         )
         .withColumn("spans", F.array_sort(F.concat("base", "random")))
         .drop("runs")
@@ -158,28 +184,26 @@ def listed(spans: Column) -> Column:
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> Column:
-    """The text with each stretch of spans replaced by a mark."""
+    """The text with each stretch of spans that overlap or touch replaced by a mark."""
     text = scanned["text"]
-    stretch = "array<struct<start: int, end: int>>"
-
-    def join(done: Column, span: Column) -> Column:
-        last = F.element_at(done, -1)
-        own = F.struct(span["start"].alias("start"), span["end"].alias("end"))
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        before = F.slice(done, F.lit(1), F.size(done) - 1)
-        touches = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"])
-        return F.when(touches, F.concat(before, F.array(longer))).otherwise(F.concat(done, F.array(own)))
-
-    merged = F.aggregate(scanned["spans"], F.array().cast(stretch), join)
-
-    def cut(done: Column, span: Column) -> Column:
-        kept = F.substring(text, done["at"] + 1, span["start"] - done["at"])
-        return F.struct(F.concat(done["text"], kept, F.lit(mark)).alias("text"), span["end"].alias("at"))
-
-    begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    done = F.aggregate(merged, begin, cut)
-    rest = F.substring(text, done["at"] + 1, F.char_length(text))
-    return F.when(F.size(scanned["spans"]) > 0, F.concat(done["text"], rest)).otherwise(text)
+
+    def cut(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        return let(reach, lambda r: cut_at(spans, r))
+
+    def cut_at(spans: Column, reach: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        lines = F.zip_with(spans, before, lambda s, b: F.struct(s["start"].alias("start"), b.alias("before")))
+        first = F.filter(lines, lambda x: x["before"] < x["start"])  # nothing before reaches this one
+        return let(first, lambda f: pieces(f, F.element_at(reach, -1)))
+
+    def pieces(first: Column, last: Column) -> Column:
+        ends = F.concat(F.slice(F.transform(first, lambda x: x["before"]), F.lit(2), F.size(first) - 1), F.array(last))
+        begins = F.concat(F.array(F.lit(0)), ends)
+        stops = F.concat(F.transform(first, lambda x: x["start"]), F.array(F.char_length(text)))
+        return F.array_join(cut_out(text, begins, stops), mark)
+
+    return F.when(F.size(scanned["spans"]) > 0, let(scanned["spans"], cut)).otherwise(text)
 
 
 def report(documents: DataFrame, ratios: list[float] | None = None) -> DataFrame:
