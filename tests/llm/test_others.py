@@ -1,9 +1,12 @@
 """Vectors, pages, toxicity and the pipeline against brute force, and their edge cases."""
 
 import random
+import re
+import time
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -171,7 +174,6 @@ def test_host_boilerplate_and_edges(spark):
 
 def test_page_query(spark):
     import html
-    import re
 
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
     got = load()["op10_html_text"][0](spark, DATA).collect()
@@ -182,6 +184,34 @@ def test_page_query(spark):
         assert r["text"] == " ".join(filter(None, parts)) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
 
 
+#: The same markup as one pattern, for short texts.
+PLAIN_TAG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{html_extract.RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    re.DOTALL | re.IGNORECASE,
+)
+
+
+def test_markup_is_found_as_by_a_pattern():
+    draw = random.Random(8)
+    bits = ["<a ", "</p>", "<p", ">", "'", '"', "x", " ", "<!--", "-->", "<script", "</script >", "</SCRIPT>", "<title>", "<!", "<?", "=", "<b>", "/", "<titles>"]
+    for _ in range(20_000):
+        page = "".join(draw.choices(bits, k=draw.randrange(1, 16)))
+        mine = [(t.start, t.end, t.name, t.closes, t.rest) for t in html_extract.Tags(page)]
+        plain = [(m.start(), m.end(), (m["name"] or "").lower(), bool(m["end"]), m["rest"] or "") for m in PLAIN_TAG.finditer(page)]
+        assert mine == plain, page
+
+
+@pytest.mark.parametrize(
+    "bit", ["<a ", '<a "', "<a '", "<a '<a \"", "<script ", "<script>", "</p", "<!--", "<![", "<div>", "<div></p>", "<a \"'", "</script", "<article><nav>", '<div class="menu"><article>']
+)
+def test_long_broken_markup_is_linear(bit):
+    page = bit * (1_000_000 // len(bit))
+    begin = time.time()
+    blocks = html_extract.blocks_of(page + "end")
+    assert time.time() - begin < 10 and len(blocks) <= 1 + 500_000
+
+
 # --- pipeline --------------------------------------------------------------
 
 

@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,11 +73,78 @@ NEUTRAL = set(
     " outer panel primary right row secondary section sticky top widget widgets wrap wrapper".split()
 )
 STATES = set("has have is no not with without hide hidden show".split())
-_TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_NAME = re.compile(rf"(?:(?P<raw>{RAW})\b|(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9-]*))", re.IGNORECASE)
+_UNQUOTED = re.compile(r"[^'\">]*")
+_RAW_ENDS: dict[str, re.Pattern] = {}
+
+
+@dataclass(frozen=True)
+class Tag:
+    """A stretch of markup; raw elements with all inside, comments and declarations have no name."""
+
+    start: int
+    end: int
+    name: str = ""
+    closes: bool = False
+    rest: str = ""
+
+
+class Tags:
+    """The markup of a page, from left to right, in linear time.
+
+    A tag ends at the first ``>`` outside quotes. One that never ends is text, and every
+    place outside quotes that the search for its end went through is marked: a later
+    search that gets to such a place would go on the same way, and is given up."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self._last = {c: page.rfind(c) for c in "'\">"}
+        self._hopeless = bytearray(len(page) + 1)
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` of a tag whose attributes begin here, or -1."""
+        page, seen = self.page, []
+        while at <= self._last[">"] and not self._hopeless[at]:
+            stop = _UNQUOTED.match(page, at).end()
+            seen.append((at, stop + 1))
+            if stop == len(page):
+                break
+            if page[stop] == ">":
+                return stop
+            if stop == self._last[page[stop]]:
+                break  # the quote is never closed
+            at = page.index(page[stop], stop + 1) + 1
+        for a, b in seen:
+            self._hopeless[a:b] = b"\x01" * (min(b, len(self._hopeless)) - a)
+        return -1
+
+    def __iter__(self) -> Iterator[Tag]:
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            tag = self._at(start)
+            if tag is not None:
+                yield tag
+            at = start + 1 if tag is None else tag.end
+
+    def _at(self, start: int) -> Tag | None:
+        page = self.page
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return Tag(start, len(page) if end < 0 else end + 3)
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) if start < self._last[">"] else -1
+            return None if end < 0 else Tag(start, end + 1)
+        name = _NAME.match(page, start + 1)
+        end = -1 if name is None else self._tag_end(name.end())
+        if end < 0:
+            return None
+        if name["raw"]:
+            closing = _RAW_ENDS.setdefault(name["raw"].lower(), re.compile(rf"</{name['raw']}\s*>", re.IGNORECASE))
+            found = closing.search(page, end + 1)
+            return Tag(start, found.end() if found else len(page))
+        return Tag(start, end + 1, name["name"].lower(), bool(name["end"]), page[name.end() : end])
+
+
 _PURPOSE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 DROP, OPEN, KEEP = 0, 1, 2
@@ -125,6 +193,8 @@ def _blocks_of(page: str | None, spared: frozenset[int], around: set[int]) -> li
     pieces: list[str] = []
     stack: list[tuple[str, int]] = []
     named: list[int | None] = []  # for each open container: its place, if names alone drop it
+    opened: Counter[str] = Counter()
+    hard, told = 0, 0  # containers in ``named`` that are dropped anyway, and those that ``around`` has
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(pieces)).split())
@@ -133,29 +203,34 @@ def _blocks_of(page: str | None, spared: frozenset[int], around: set[int]) -> li
             out.append((stack[-1][1] if stack else OPEN, text))
 
     at, page = 0, page or ""
-    for tag in _TAG.finditer(page):
-        pieces.append(page[at : tag.start()])
-        at = tag.end()
-        name = (tag["name"] or "").lower()
+    for tag in Tags(page):
+        pieces.append(page[at : tag.start])
+        at, name = tag.end, tag.name
         if name == "br":
             pieces.append(" ")
         elif name and name not in INLINE:
             close()
-            if name in CONTAINERS and tag["end"]:
-                if any(open_ == name for open_, _ in stack):
-                    while stack.pop()[0] != name:
-                        named.pop()
-                    named.pop()
-            elif name in CONTAINERS and not tag["rest"].endswith("/"):
+            if name in CONTAINERS and tag.closes:
+                while opened[name]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    hard -= named.pop() == -1
+                    if last == name:
+                        break
+                told = min(told, len(named))
+            elif name in CONTAINERS and not tag.rest.endswith("/"):
                 outer, place = stack[-1][1] if stack else OPEN, None
-                kind = _purpose(name, tag["rest"], outer, tag.start() not in spared)
+                kind = _purpose(name, tag.rest, outer, tag.start not in spared)
                 if kind == DROP and name not in WHOLE:
-                    hard = name in DROPPED or name == "header" or _said(tag["rest"]) & OTHERS
-                    place = -1 if hard else tag.start() if _said(tag["rest"]) else None
+                    anyway = name in DROPPED or name == "header" or _said(tag.rest) & OTHERS
+                    place = -1 if anyway else tag.start if _said(tag.rest) else None
                 stack.append((name, kind))
+                opened[name] += 1
                 named.append(place)
-                if name in ARTICLES and kind == DROP and -1 not in named:
-                    around.update(n for n in named if n is not None)
+                hard += place == -1
+                if name in ARTICLES and kind == DROP and not hard:
+                    around.update(n for n in named[told:] if n is not None)
+                    told = len(named)
     pieces.append(page[at:])
     close()
     return out
