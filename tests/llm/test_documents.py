@@ -43,7 +43,7 @@ def overlap(text, items, width=13):
             for at in range(len(words) - len(phrase) + 1):
                 if words[at : at + len(phrase)] == phrase:
                     hit |= set(range(at, at + len(phrase)))
-                    found.add(str(item))
+                    found |= set() if item is None else {str(item)}
     return len(words), len(hit), sorted(found)
 
 
@@ -65,7 +65,7 @@ def test_decontaminate_edges(spark):
     texts += [None, "", "a" * 5000, "a " * 3000, "b b", "b b"]
     docs = frame(spark, list(zip([*range(64), None, None], texts, ["en"] * 66, strict=True)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    known = [i for i in items if i[0] is not None and i[1]]
+    known = [i for i in items if i[1]]  # an item without id hits words, and is not listed
     for options in ({}, {"block_bytes": 3}, {"shard_words": 5}):
         rows = decontaminate.find_overlaps(docs, bench, ["doc_id", "score"], width=4, **options).collect()
         assert len(rows) == 66
@@ -150,6 +150,20 @@ def test_jaccard_large_group_in_small_blocks(spark, monkeypatch):
     assert jaccard.near_copies(docs.limit(0)).collect() == []
 
 
+def test_shortened_hashes_never_hide_a_shared_one():
+    draw = np.random.default_rng(5)
+    pool = draw.integers(0, 2**63, 60).astype(np.uint64)
+    pool = (pool & ~np.uint64(0xFFFFFFFF)) | draw.integers(0, 12, 60).astype(np.uint64)  # nearly all collide
+    sets = [np.unique(draw.choice(pool, draw.integers(1, 40))) for _ in range(80)]
+    owner = np.repeat(np.arange(80), [len(x) for x in sets])
+    short = jaccard.shortened(np.concatenate(sets), owner)
+    lines = [set(short[owner == i].tolist()) for i in range(80)]
+    assert [len(x) for x in lines] == [len(x) for x in sets]
+    for i in range(80):
+        for j in range(i):
+            assert len(lines[i] & lines[j]) >= len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
@@ -187,6 +201,24 @@ def test_language_edges(spark):
     assert unlabelled[0]["lang_pred"] == "und"
 
 
+def test_many_languages_take_several_passes(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = []
+    for n in range(7):
+        letters = draw.sample("abcdefghijklmnopqrstuvwxyz", 9)
+        rows += [(100 * n + i, " ".join("".join(draw.choices(letters, k=5)) for _ in range(12)), f"l{n}") for i in range(20)]
+    rows += [(9_000, "", "l1"), (9_001, None, None)]
+    docs = frame(spark, rows)
+    whole = {r["doc_id"]: r for r in langid.report(docs).collect()}
+    assert len({r["lang_pred"] for r in whole.values()}) == 8
+    for most in (1, 3):
+        monkeypatch.setattr(langid, "MOST_LANGUAGES", most)
+        got = langid.report(docs).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r["lang_pred"] == whole[r["doc_id"]]["lang_pred"] and r["score"] == pytest.approx(whole[r["doc_id"]]["score"], abs=1e-6)
+
+
 def test_group_vectors_are_bound_and_bundled():
     profiles = langid.Profiles(64, 3)
     vectors, found = profiles.vectors(["Ab", "1", None])

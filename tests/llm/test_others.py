@@ -331,3 +331,23 @@ def test_toxicity_with_few_labels_and_with_rare_toxic_words(spark):
     rare = [(i, " ".join(plain() + ["zork"] * (i in (7, 8, 9))), "en") for i in range(900)]
     model = toxicity.learn(frame(spark, rare), spark.createDataFrame([(i, int(i in (7, 8, 9))) for i, _, _ in rare], "doc_id long, toxic int"))
     assert "zork" in model.numbers
+
+
+def test_toxicity_examples_are_bounded_by_ids(spark):
+    rows = [(i % 30, f"text {i} of {'bad words' if i % 2 else 'good words'}", "en") for i in range(300)] + [(7, f"hot {i}", "en") for i in range(2_000)]
+    rows += [(3, None, "en"), (None, "x", "en")]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1)], "doc_id long, toxic int")
+    for most in (1, 11, 25):
+        model = toxicity.learn(docs, labels, most)
+        assert len(model.ids) <= most
+    again = toxicity.learn(docs.repartition(7), labels, 25)
+    assert (again.ids, again.labels) == (model.ids, model.labels)
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (100, [1e308, 1.0]), (1, [1e300, 1e300]), (2, [-1e300, 0.0]), (3, [2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()]
+    top = 2**63 - 1
+    assert sorted(got) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 2, -top)]

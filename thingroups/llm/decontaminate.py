@@ -128,7 +128,7 @@ class FMIndex:
 class Phrases:
     """The windows of a block of items, by length, over the block's own numbering of words."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         self.numbers: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[str]] = {}
         pairs: set[tuple[int, int]] = set()
@@ -136,7 +136,9 @@ class Phrases:
             ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
             pairs.update(zip(ids, ids[1:]))
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + width]), set()).add(item)
+                known = windows.setdefault(tuple(ids[i : i + width]), set())
+                if item is not None:  # words are hit, but there is no item to name
+                    known.add(item)
         self.by_length: dict[int, tuple[np.ndarray, list[set[str]]]] = {}
         for n in sorted({len(w) for w in windows}):
             chosen = sorted(w for w in windows if len(w) == n)
@@ -215,7 +217,7 @@ def _spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
     """The items, streamed through the driver in bounded blocks and broadcast."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna()
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.col("text").isNotNull())
     sc, out, block, size = benchmark.sparkSession.sparkContext, [], [], 0
     for row in rows.toLocalIterator():
         block.append((row["item"], row["text"]))

@@ -118,6 +118,21 @@ def sets_of(documents: DataFrame, ngram: int, hashes: bool, also: Sequence[str]
     return map_batches(rows, ["doc_id", "text", *also], work, schema)
 
 
+def shortened(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """32-bit values for the hashes of each owner (ascending), different ones for different hashes.
+
+    A value that its owner already has moves on to the next free one. What two owners share
+    then fills places that both have, in whatever else they hold: their common values are
+    never fewer than their common hashes, and only look more."""
+    low = (hashes & np.uint64(2**32 - 2**20 - 1)).astype(np.int64) + (owner.astype(np.int64) << 33)
+    order = np.argsort(low, kind="stable")
+    place = np.arange(len(low))
+    moved = np.maximum.accumulate(low[order] - place) + place
+    out = np.empty(len(low), np.uint32)
+    out[order] = (moved & (2**33 - 1)).astype(np.uint32)
+    return out
+
+
 def _cells(keys: list[bytes], lists: list[np.ndarray], ranges: int, key_bytes: int, kind: type) -> Iterator[dict]:
     """The incidence of a run of sets in blocks: for each range of hashes the keys that
     have some there, how many, and these. Keys and hashes may be shortened: what falls
@@ -135,7 +150,7 @@ def _cells(keys: list[bytes], lists: list[np.ndarray], ranges: int, key_bytes: i
                 "range": [p],
                 "keys": [b"".join([keys[i][:key_bytes] for i in own.tolist()])],
                 "counts": [counts.astype(np.uint32).tobytes()],
-                "hashes": [hashes[here].astype(kind).tobytes()],
+                "hashes": [(shortened(hashes[here], owner[here]) if kind is np.uint32 else hashes[here]).tobytes()],
             }
 
 
@@ -270,7 +285,7 @@ def linked(keys: list[bytes], blobs: list[bytes], percent: int, own: np.ndarray
     keep = common[column]
     owner, column = owner[keep], number[column[keep]]
     width = int(common.sum())
-    overlap = np.zeros((len(lists), len(lists)), np.float32)
+    overlap = np.zeros((len(lists), len(lists)))  # counts, exact up to 2**53
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     for start in range(0, width, 4_096):

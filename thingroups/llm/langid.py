@@ -13,7 +13,7 @@ lower-cased. All labelled rows of the training folds are learned from.
 Edge cases: a NULL text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing was learned. Rows without a language are not learned from.
 Equal cosines go to the first language in alphabetical order. Texts are taken
-whole; repeated rows are each predicted and each learned from; an empty table
+whole, with any number of languages; repeated rows are each predicted and each learned from; an empty table
 gives an empty table.
 """
 
@@ -22,16 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thingroups.llm.common import fold, map_batches
+from thingroups.llm.common import fold, map_batches, stored
 
 DIMENSIONS = 1_024
 SEED = 20_240
 #: Texts whose vectors are computed together.
 TOGETHER = 256
-#: Prototypes are broadcast: a label column with more values is no language column.
+#: Languages whose prototypes are compared in one pass over the texts; more take more passes.
 MOST_LANGUAGES = 1_000
 #: Whole numbers per unit of a text's vector in a prototype.
 SCALE = 10_000
@@ -111,8 +111,8 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
-def learn(documents: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
-    """Prototypes by language, from the columns text and lang of all given rows."""
+def learn(documents: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """lang, number (0, 1, ... in alphabetical order) and prototype, from the columns text and lang of all given rows."""
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         profiles, sums = Profiles(dimensions), {}
@@ -128,31 +128,41 @@ def learn(documents: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.nd
 
     rows = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sums = map_batches(rows, ["text", "lang"], work, "lang string, place int, total long")
-    most = MOST_LANGUAGES * dimensions
-    collected = sums.groupBy("lang", "place").agg(F.sum("total").alias("total")).limit(most + 1).collect()
-    if len(collected) > most:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
-    out: dict[str, np.ndarray] = {}
-    for row in collected:
-        out.setdefault(row["lang"], np.zeros(dimensions))[row["place"]] = row["total"]
-    return out
-
-
-def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], dimensions: int = DIMENSIONS) -> DataFrame:
+    added = sums.groupBy("lang", "place").agg(F.sum("total").alias("total"))
+    entries = F.array_sort(F.collect_list(F.struct("place", "total")))  # ``dimensions`` of them
+    prototypes = stored(added.groupBy("lang").agg(F.transform(entries, lambda e: e["total"]).alias("prototype")), "prototypes")
+    # one row a language: the numbers need no more than the names
+    numbers = prototypes.select("lang", (F.row_number().over(Window.orderBy("lang")) - 1).alias("number"))
+    return prototypes.join(numbers, "lang")
+
+
+def predict(
+    documents: DataFrame,
+    prototypes: dict[str, np.ndarray],
+    keep: list[str],
+    dimensions: int = DIMENSIONS,
+    earlier: bool = False,
+    last: bool = True,
+) -> DataFrame:
     """The columns ``keep``, the language and a score from 0 to 1 for each row.
 
     The score is the share of the best language when shares fall off exponentially
-    with the cosine. ``cosine`` is the best cosine itself."""
+    with the cosine. ``cosine`` is the best cosine itself. A pass over some of the
+    languages takes what an ``earlier`` one found among languages before these, and unless it is the
+    ``last`` keeps the text and, in place of the score, the sum that the share is taken of."""
     names = sorted(prototypes)
     matrix = _units(np.stack([prototypes[n] for n in names])).astype(np.float32) if names else None
     model = documents.sparkSession.sparkContext.broadcast((names, matrix))
-    columns = list(dict.fromkeys([*keep, "text"]))
+    kept = list(keep) if last else list(dict.fromkeys([*keep, "text"]))
+    before = ["lang_pred", "cosine", "total"] if earlier else []
+    columns = list(dict.fromkeys([*kept, "text", *before]))
 
     def work(batches: Iterator[list[list]]) -> Iterator[dict]:
         profiles, (names, matrix) = Profiles(dimensions), model.value
         for arrays in batches:
-            texts = arrays[columns.index("text")].to_pylist()
-            language, score, cosine = [], [], []
+            given = dict(zip(columns, arrays, strict=True))
+            texts = given["text"].to_pylist()
+            language, total, cosine, letter = [], [], [], []
             for i in range(0, len(texts), TOGETHER):
                 vectors, found = profiles.vectors(texts[i : i + TOGETHER])
                 if not names:
@@ -160,14 +170,23 @@ def predict(documents: DataFrame, prototypes: dict[str, np.ndarray], keep: list[
                 alike = _units(vectors) @ matrix.T if names else np.zeros((len(found), 1))
                 best = alike.argmax(axis=1)
                 top = alike.max(axis=1)
-                share = 1 / np.exp(SHARPNESS * (alike - top[:, None])).sum(axis=1)
                 language += [names[b] if f else "und" for b, f in zip(best, found, strict=True)]
-                score += np.where(found, share, 0.0).tolist()
-                cosine += np.where(found, top, 0.0).tolist()
-            yield dict(zip(columns, arrays, strict=True)) | {"lang_pred": language, "score": score, "cosine": cosine}
+                total.append(np.exp(SHARPNESS * (alike - top[:, None])).sum(axis=1))
+                cosine.append(np.where(found, top, 0.0))
+                letter.append(found)
+            total, cosine, letter = (np.concatenate([*x, np.zeros(0)]) for x in (total, cosine, letter))
+            if earlier:
+                was, sums = given["cosine"].to_numpy(), given["total"].to_numpy()
+                top = np.maximum(was, cosine)
+                total = sums * np.exp(SHARPNESS * (was - top)) + total * np.exp(SHARPNESS * (cosine - top))
+                language = [a if w >= c else b for a, b, w, c in zip(given["lang_pred"].to_pylist(), language, was, cosine, strict=True)]
+                cosine = top
+            out = {c: given[c] for c in kept} | {"lang_pred": language, "cosine": cosine.tolist()}
+            yield out | ({"score": np.where(letter > 0, 1 / total, 0.0).tolist()} if last else {"total": total.tolist()})
 
     kinds = dict(documents.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double", "cosine double"])
+    found = ["lang_pred string", "score double", "cosine double"] if last else ["lang_pred string", "cosine double", "total double"]
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in kept] + found)
     return map_batches(documents, columns, work, schema, arrow_in=True)
 
 
@@ -177,8 +196,14 @@ def held_out() -> Column:
 
 def identify(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Learn from the training folds and predict every row."""
-    prototypes = learn(documents.where(~held_out()).select("text", "lang"))
-    return predict(documents, prototypes, keep or ["doc_id"])
+    keep = keep or ["doc_id"]
+    learned = stored(learn(documents.where(~held_out()).select("text", "lang")), "languages")
+    passes = max(1, -(-learned.count() // MOST_LANGUAGES))
+    for i in range(passes):
+        here = learned.where((F.col("number") >= i * MOST_LANGUAGES) & (F.col("number") < (i + 1) * MOST_LANGUAGES))
+        prototypes = {row["lang"]: np.array(row["prototype"], np.float64) for row in here.collect()}
+        documents = predict(documents, prototypes, keep, earlier=i > 0, last=i == passes - 1)
+    return documents
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -12,12 +12,12 @@ shards, where it prunes from the start.
 Scores are inner products of whole numbers, exact: in double precision while the
 sums stay below 2**53, beyond that in Python's integers. A bound is rounded up.
 
-Edge cases: vectors that are NULL or hold a NULL or a value that is not finite,
-and rows without id, take no part; vectors of different lengths are filled with
+Edge cases: vectors that are NULL or hold a NULL or a value that is not finite, also
+when scaled, and rows without id, take no part; vectors of different lengths are filled with
 zeros; equal scores go to the smaller id; rows of one id are never candidates of
 queries with that id; repeated rows count once, and if an id has several vectors,
 each is a candidate and each a query, and the best k of all its pairs count; fewer candidates than k give all
-of them; a score beyond the range of long raises an error; an empty table gives
+of them; a score beyond the range of long counts as its end; an empty table gives
 an empty table; further columns are not looked at.
 """
 
@@ -41,7 +41,7 @@ EXACT = 2.0**53
 def whole_numbers(vector: Column, scale: int = 1_024) -> Column:
     """floor(scale * x) for each component as a double; NULL where one cannot take part."""
     usable = vector.isNotNull() & ~F.exists(
-        vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+        vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * float(scale)) == float("inf"))
     )
     # the difference to a whole double is exact, so that large values stay whole too
     return F.when(usable, F.transform(vector, lambda x: _floor(x.cast("double") * float(scale))))
@@ -85,9 +85,7 @@ def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     exact = np.array([[int(x) for x in row] for row in queries], dtype=object) @ np.array(
         [[int(x) for x in row] for row in vectors], dtype=object
     ).T
-    if any(abs(x) >= 2**63 for x in exact.ravel()):
-        raise OverflowError("a score is beyond the range of long")
-    return exact.astype(np.int64)
+    return np.array([[max(-(2**63) + 1, min(2**63 - 1, x)) for x in row] for row in exact.tolist()], np.int64).reshape(exact.shape)
 
 
 def search_shard(

@@ -15,7 +15,8 @@ by that number or by ``WORDS``.
 
 Edge cases: a NULL or empty text, or one without such a word, has no neighbours and
 gets the curve's value for the share of toxic rows among such examples; labels that
-are NULL are not learned from, and of different labels of one id the largest counts;
+are NULL are not learned from, and of different labels of one id the largest counts, of
+different texts the one with the least digest;
 equal cosines go to the example that comes first; texts are taken whole; repeated
 rows are scored each; with nothing to learn from every score is 0; an empty table
 gives an empty table; further columns are not looked at.
@@ -146,6 +147,9 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = EXAMPLES) -> Mode
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # one text of each id, so that the bound on ids is one on examples
+    first = F.min(F.struct(F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("~")).alias("digest"), "text"))
+    rows = rows.groupBy("doc_id", "toxic").agg(first.alias("first")).select("doc_id", "toxic", "first.text")
     rows = _word_counts(rows.withColumn("doc_id", F.col("doc_id").cast("long")))
     rows = rows.dropDuplicates(["words", "times", "toxic"]).persist()
     present = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
