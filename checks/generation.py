@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_WHERE, ITEMS, catalog, check, h, mean, predicted_and_sizes, u, u_fine,
+    ITEM_COUNTS, ITEM_IN_SAMPLE, ITEM_WHERE, ITEMS, catalog, check, folder, h, mean, predicted_and_sizes, u, u_fine,
 )
 from thingroups.operators import generate
 from thingroups.operators.groups import missing_groups
+from thingroups.operators.partial_fit import StoredModel
 from thingroups.operators.sampling import train_validation_split
 from thingroups.sources.catalog import scan_stored
 from thingroups.spec import Between, Predicate
@@ -156,6 +157,25 @@ def generator_fit(spark, sf):
     return out
 
 
+@check(
+    "generator_fit_merged",
+    f"WITH {LEVELS} "
+    + " UNION ALL ".join(f"SELECT '{name}' AS level, {', '.join(FIT_COLUMNS)} FROM {name}" for name in ("gr", "al")),
+)
+def generator_fit_merged(spark, sf):
+    cat = catalog(spark, sf)
+    model = StoredModel(spark, cat.spec("lineitem"), "l_partkey", folder(spark, sf, "model_parts"), cat.name, COLUMNS)
+    rows = scan_stored(cat, "lineitem")
+    for part in range(3):
+        model.add(f"line-{part}", rows.where(F.col("l_linenumber") % 3 == part))
+    by_group, overall = model.levels()
+    lines = [
+        frame.select(F.lit(name).alias("level"), *FIT_COLUMNS).withColumn("l_suppkey", F.col("l_suppkey").cast("bigint"))
+        for name, frame in (("gr", by_group), ("al", overall.withColumn("grp", F.lit(0).cast("bigint"))))
+    ]
+    return lines[0].unionByName(lines[1])
+
+
 def item_fit(cat):
     return generate.fit(scan_stored(cat, "lineitem"), cat.spec("lineitem"), "l_partkey", ITEMS.predicates, COLUMNS)
 

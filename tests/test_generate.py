@@ -1,9 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from thingroups import Predicate, TableSpec
-from thingroups.operators import generate, repair
+from thingroups import AggQuery, Catalog, Predicate, RunConfig, TableSpec
+from thingroups.operators import generate, relational, repair, sampling
+from thingroups.operators.partial_fit import StoredModel
+from thingroups.plans.staged import StagedRun
 from thingroups.sources.datasets import flights, store_sales
+from thingroups.sources.storage import BitmapIndex
 
 SPEC = TableSpec("t", {"g": "str", "c": "str", "x": "num"}, ("id",), True)
 
@@ -133,3 +136,62 @@ def test_store_sales_declares_a_star():
     specs = store_sales()
     assert specs["store_sales"].is_fact and not specs["store"].is_fact
     assert flights("flights_100m")["flights"].index_rate == 0.2
+
+
+MODEL_SPEC = TableSpec("t", {"g": "int", "c": "str", "k": "int", "x": "num", "y": "num"}, ("id",), True, scales={"x": 2})
+
+
+def model_rows(spark, n=3_000):
+    i = F.col("id")
+    return spark.range(n).select(
+        "id",
+        F.when(i % 3 == 0, 0).when(i % 50 == 1, None).otherwise(i % 17).cast("bigint").alias("g"),
+        F.when(i % 11 != 0, F.concat(F.lit("c"), (i * 7 % 5).cast("string"))).alias("c"),
+        (i % 4).alias("k"),
+        F.round((i * 37 % 1001) / 100, 2).alias("x"),
+        F.when(i % 13 != 0, (i % 29) / 3).alias("y"),
+    )
+
+
+def test_parts_merge_into_the_fit_of_the_whole(spark, tmp_path):
+    rows = model_rows(spark).persist()
+    whole = generate.fit(rows, MODEL_SPEC, "g")
+    model = StoredModel(spark, MODEL_SPEC, "g", str(tmp_path))
+    with pytest.raises(ValueError):
+        model.levels()
+    for n, (a, b) in enumerate([(0, 10), (10, 1_500), (1_500, 1_501), (1_501, 3_000)]):
+        model.add(f"p{n}", rows.where((F.col("id") >= a) & (F.col("id") < b)))
+        if n == 1:
+            early = model.levels()[1].first()["fit_rows"]
+    by_group, overall = model.levels()
+    assert early < overall.first()["fit_rows"]
+    columns = ["fit_rows", "c", "k", "x"]
+    for mine, theirs, key in ((by_group, whole.by_group, ["grp"]), (overall, whole.overall, [])):
+        got, expected = ({tuple(r[c] for c in key): r for r in df.collect()} for df in (mine, theirs))
+        assert got.keys() == expected.keys()
+        for g in got:
+            assert [str(got[g][c]) for c in columns] == [str(expected[g][c]) for c in columns]
+            assert got[g]["y"] == pytest.approx(expected[g]["y"], rel=1e-12)
+    # a part that is there is not read again, and a new model over the folder finds all parts
+    again = StoredModel(spark, MODEL_SPEC, "g", str(tmp_path))
+    for n in range(4):
+        again.add(f"p{n}", rows.where(F.raise_error(F.lit("read again")).cast("boolean")))
+    assert again.levels()[1].first() == overall.first()
+
+
+def test_a_run_after_start_up_reads_no_fact_row(spark, tmp_path):
+    rows = model_rows(spark).where("g IS NOT NULL")
+    rows.write.parquet(f"{tmp_path}/t.parquet")
+    cat = Catalog.from_files(spark, {"t": MODEL_SPEC}, str(tmp_path), name="started")
+    query = AggQuery("AVG", "x", "t", "g", (Predicate("c", "=", "c1"), Predicate("y", ">", 3.5)))
+    samples = sampling.cached_sample(cat, 0.1, folder=str(tmp_path))
+    index = BitmapIndex(cat, "t", str(tmp_path))
+    index.write()
+    model = StoredModel(spark, MODEL_SPEC, "g", str(tmp_path))
+    model.add("all", cat.frame("t"))
+    truth = relational.exact(cat, query).persist()
+    truth.count()
+    run = StagedRun(cat, RunConfig(repair="generate"), samples, index, models={("t", "g"): model})
+    usual = run.run(query, truth=truth)
+    cat.frames["t"] = cat.frames["t"].where(F.raise_error(F.lit("a fact row was read")).cast("boolean"))
+    assert run.run(query, truth=truth).keys() == usual.keys()

@@ -7,7 +7,7 @@ with the data stays in DataFrames; the driver holds the scalars only.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +18,7 @@ from thingroups.operators.generate import Fit, fit, load_or_fit
 from thingroups.operators.groups import (
     bitmap_group_counts, bitmap_op_count, candidate_rows, group_counts, index_rows, topup_from_index,
 )
+from thingroups.operators.partial_fit import StoredModel
 from thingroups.operators.relational import exact, filtered_frames, group_sizes
 from thingroups.operators.repair import dynamic_supply, generate_for, supply_missing_groups
 from thingroups.operators.sampling import (
@@ -59,7 +60,8 @@ class StagedRun:
     ``samples`` are the cached frames of the workload; with a packed ``index`` group
     counts are interpolated from it and no fact row is read for them, with a closed one
     the ``reference`` counts are; it also gives operation counts and, if asked for, the rows of the
-    top-up. ``model_folder`` keeps fitted statistics between runs; ``truth`` replays a saved answer.
+    top-up. ``models`` has stored models by table and group, which need no fact row;
+    ``model_folder`` keeps fitted statistics between runs; ``truth`` replays a saved answer.
     """
 
     def __init__(
@@ -69,9 +71,10 @@ class StagedRun:
         samples: dict[str, DataFrame] | None = None,
         index: BitmapIndex | None = None,
         model_folder: str | None = None,
+        models: Mapping[tuple[str, str], StoredModel] | None = None,
     ):
         self.catalog, self.config, self.samples = catalog, config, samples
-        self.index, self.model_folder = index, model_folder
+        self.index, self.model_folder, self.models = index, model_folder, dict(models or {})
 
     # Each stage ends in an action on a persisted result, so that its seconds
     # are its own and later stages do not repeat it.
@@ -92,6 +95,10 @@ class StagedRun:
 
     def _fit(self, query: AggQuery) -> Fit:
         spec = self.catalog.spec(query.table)
+        stored = self.models.get((query.table, query.group))
+        if stored is not None:
+            sample = self.samples[query.table] if self.samples is not None else None
+            return stored.fit(query.predicates, sample)
         rows = scan_stored(self.catalog, query.table)
         if self.model_folder is not None:
             return load_or_fit(rows, spec, query.group, self.model_folder, query.predicates, dataset=self.catalog.name)
