@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from thingroups.functions import sums
 from thingroups.functions.draws import digest, fine_unit, salted, unit
+from thingroups.functions.numbers import from_number, number_of
 from thingroups.operators.filters import literal, where_all
 from thingroups.operators.sampling import at_most, rank_cuts
 from thingroups.operators.stats import long_form, norm_stats, value_counts
@@ -134,9 +135,10 @@ def condition_rows(
             if isinstance(p, Between):
                 lo, hi = p.lo, p.hi
             else:
-                lo, hi = (p.value, bounds[c][1]) if p.op in (">", ">=") else (bounds[c][0], p.value)
+                v = number_of(p.value, dtype)
+                lo, hi = (v, bounds[c][1]) if p.op in (">", ">=") else (bounds[c][0], v)
             u = unit(salted("condition", seed), F.lit(c), F.col("grp"), F.col("i"))
-            cell = F.lit(float(lo)) + u * F.lit(float(hi) - float(lo))
+            cell = from_number(F.lit(float(lo)) + u * F.lit(float(hi) - float(lo)), dtype)
         else:
             cell = literal(p.value, spec.kinds[c], dtype)
         cells.append(cell.cast(dtype).alias(c))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thingroups.functions import binning
+from thingroups.functions.numbers import as_number, number_of
 from thingroups.operators import bitmaps, factors
 from thingroups.operators.factors import Factor
 from thingroups.operators.filters import compare, compare_whole, condition, route, where_all
@@ -67,7 +68,8 @@ def group_counts(
         if mode == "exact" or not p.is_range or spec.kinds[p.column] != "num" or p.column not in bounds:
             rows = where_all(rows, [p], spec)
             continue
-        (lo, hi), v, x = bounds[p.column], float(p.value), F.col(p.column).cast("double")
+        dtype = catalog.frame(query.table).schema[p.column].dataType
+        (lo, hi), v, x = bounds[p.column], number_of(p.value, dtype), as_number(F.col(p.column), dtype)
         if mode == "interpolate":
             weight = weight * binning.range_weight(x, p.op, v, lo, hi, bins)
             # Weights are zero beyond the boundary bin: say so in a form the scan understands.
@@ -150,7 +152,9 @@ def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundar
         if spec.kinds[column] != "num":
             out.append(factors.values_factor(_matching(index.read(column), predicates, spec.kinds[column])))
         elif column in bounds:
-            weights = factors.bin_weights(predicates, *bounds[column], index.bins, boundary)
+            dtype = catalog.frame(query.table).schema[column].dataType
+            numbered = [Predicate(column, p.op, number_of(p.value, dtype)) for p in predicates]
+            weights = factors.bin_weights(numbered, *bounds[column], index.bins, boundary)
             out.append(factors.steps_factor(index.slices(column), weights))
         else:  # all NULL
             out.append(factors.values_factor(index.read(column)))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from thingroups.functions import binning
 from thingroups.functions.arrow import apply_arrow, map_arrow
+from thingroups.functions.numbers import as_number
 from thingroups.operators.bitmaps import DENSE_FROM
 from thingroups.spec import TableSpec
 
@@ -160,7 +161,8 @@ def pack_rows(rows: DataFrame, spec: TableSpec, bounds: Mapping[str, tuple[float
             cells.append(_plain(rows, name).alias(name))
         elif name in bounds:  # an all-NULL column has no bins
             names.append(name)
-            cells.append(binning.bin_of(F.col(name), *bounds[name], bins).cast("bigint").alias(name))
+            x = as_number(F.col(name), rows.schema[name].dataType)
+            cells.append(binning.bin_of(x, *bounds[name], bins).cast("bigint").alias(name))
     kinds = [spec.kinds[name] for name in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thingroups.functions import sums
+from thingroups.functions.numbers import as_number
 from thingroups.spec import TableSpec
 
 
@@ -41,12 +42,12 @@ def cardinality(df: DataFrame, columns: Sequence[str], approximate: bool = False
 
 
 def numeric_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column, lo, hi)`` of every numeric column from one aggregation."""
+    """``(column, lo, hi)`` of every numeric column from one aggregation; of dates and timestamps, days and seconds."""
     pairs = [
         F.struct(
             F.lit(c).alias("column"),
-            F.min(F.col(c).cast("double")).alias("lo"),
-            F.max(F.col(c).cast("double")).alias("hi"),
+            F.min(as_number(F.col(c), df.schema[c].dataType)).alias("lo"),
+            F.max(as_number(F.col(c), df.schema[c].dataType)).alias("hi"),
         )
         for c in columns
     ]

@@ -34,6 +34,8 @@ class Catalog:
         self._bounds: dict[str, dict[str, tuple[float, float]]] = {}
         #: Tables read from Parquet files, whose rows can be named by file and place.
         self.in_files: frozenset[str] = frozenset()
+        #: Stored statistics of tables (``domain.StoredDomains``), used in place of a scan.
+        self.domains: dict = {}
 
     @classmethod
     def from_files(
@@ -100,6 +102,9 @@ class Catalog:
     def bounds(self, table: str) -> dict[str, tuple[float, float]]:
         """Min and max of every orderable column (numeric and integer categorical)."""
         if table not in self._bounds:
+            if table in self.domains:
+                self._bounds[table] = self.domains[table].bounds()
+                return self._bounds[table]
             spec, df = self.spec(table), self.frame(table)
             columns = [c for c, kind in spec.kinds.items() if kind != "str"]
             rows = stats.numeric_bounds(df, columns).collect() if columns else []
