@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import (
-    FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEMS, RATE, catalog, check, mean, predicted_and_sizes, sampled, u,
+    FLAG_WHERE, FLAGSHIP, IN_SAMPLE, ITEMS, RATE, catalog, check, h, mean, predicted_and_sizes, sampled, u,
 )
 from checks.generation import COLUMNS, impute_sql, item_fit, types_of
 from thingroups.operators import repair
@@ -53,14 +53,14 @@ def judged(cat, query=SUPPLY):
     return repair.accept_by_cv(repair.batch_rows(made, SIZE), "value", repair.sample_moments(sample, "value"))
 
 
-def judged_sql(where, value):
+def judged_sql(where, value, batches=BATCHES):
     """Batches of the sample's groups and their ratios; ``value`` is the generated measure."""
     return f"""
 WITH s AS (SELECT user_id, value FROM events WHERE {where} AND {IN_SAMPLE}),
 base AS (SELECT COUNT(*) AS n0, avg(value) AS m, var_pop(value) * COUNT(*) AS ss0 FROM s),
 fitted AS (SELECT user_id AS grp, {mean('value')} AS v FROM events WHERE event_type = 'error' GROUP BY 1),
 made AS (SELECT grp, CAST(ceil(i / {SIZE}.0) AS INTEGER) AS batch, {value} AS value
-  FROM (SELECT DISTINCT user_id AS grp FROM s) JOIN fitted USING (grp), range(1, {BATCHES * SIZE + 1}) r(i),
+  FROM (SELECT DISTINCT user_id AS grp FROM s) JOIN fitted USING (grp), range(1, {batches * SIZE + 1}) r(i),
    (SELECT max(value) AS hi FROM events)),
 sums AS (SELECT grp, batch, COUNT(*) AS n, SUM(value - m) AS s1, SUM((value - m) * (value - m)) AS s2 FROM made, base GROUP BY 1, 2),
 upto AS (SELECT grp, batch, n, s1, s2, SUM(n) OVER w AS cn, SUM(s1) OVER w AS c1, SUM(s2) OVER w AS c2 FROM sums
@@ -106,7 +106,44 @@ def rewards(spark, sf):
     return best.select("grp", F.round("reward", 6).alias("reward"), "accepted_batches")
 
 
-@check("dynamic_supply")
+EXPLORES = f"((('0x' || substr({h('explore|42', 't + 1')}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE < 0.5)"
+PICKED = f"""(('0x' || substr({h('choice|42', 't + 1, g.grp')}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE"""
+ENTRY = "STRUCT(grp BIGINT, done INT, reward DOUBLE, retired BOOLEAN)"
+SUPPLIED = f"""
+{judged_sql("event_type = 'error'", "v", 10).replace("WITH s AS", "WITH RECURSIVE s AS", 1).rstrip()},
+world AS (
+  SELECT list(struct_pack(grp := z.grp, n := z.n, rewards := coalesce(a.rewards, []::DOUBLE[]))) AS groups
+  FROM (SELECT user_id AS grp, COUNT(*) AS n FROM s GROUP BY 1) z
+  LEFT JOIN (SELECT grp, list(reward ORDER BY batch) AS rewards FROM judged WHERE accepted GROUP BY 1) a ON z.grp = a.grp
+), run AS (
+  SELECT 0 AS t, []::{ENTRY}[] AS known
+  UNION ALL
+  SELECT t + 1, CASE WHEN pick IS NULL THEN known
+    ELSE list_concat(list_filter(known, lambda k: k.grp <> pick.grp), [
+      {{'grp': pick.grp, 'done': pick.done + (len(pick.rewards) > pick.done)::INT, 'reward': pick.rewards[pick.done + 1],
+        'retired': len(pick.rewards) <= pick.done}}]) END
+  FROM (
+    SELECT t, known, CASE WHEN {EXPLORES} OR len(live) = 0 THEN list_sort(raced)[1] ELSE list_reverse_sort(rewarded)[1] END AS pick
+    FROM (
+      SELECT t, known, list_filter(known, lambda k: NOT k.retired AND k.done > 0) AS live,
+        list_transform(list_filter(standing, lambda g: NOT g.retired), lambda g: {{
+          'score': -ln({PICKED}) * (1.0::DOUBLE + (g.n + g.done * 10) / 100.0::DOUBLE), 'grp': g.grp, 'done': g.done, 'rewards': g.rewards}}) AS raced,
+        list_transform(list_filter(standing, lambda g: NOT g.retired AND g.done > 0), lambda g: {{
+          'score': g.reward, 'grp': g.grp, 'done': g.done, 'rewards': g.rewards}}) AS rewarded
+      FROM (
+        SELECT t, known, list_transform(groups, lambda g: {{'grp': g.grp, 'n': g.n, 'rewards': g.rewards,
+          'done': coalesce(list_filter(known, lambda k: k.grp = g.grp)[1].done, 0),
+          'reward': list_filter(known, lambda k: k.grp = g.grp)[1].reward,
+          'retired': coalesce(list_filter(known, lambda k: k.grp = g.grp)[1].retired, FALSE)}}) AS standing
+        FROM run, world WHERE t < 10)))
+)
+SELECT user_id, event_type, value FROM (
+  SELECT k.grp AS user_id, 'error' AS event_type, v AS value, unnest(range(k.done * 10)) AS i
+  FROM (SELECT unnest(known) AS k FROM run WHERE t = 10) JOIN fitted ON k.grp = fitted.grp)
+"""
+
+
+@check("dynamic_supply", SUPPLIED)
 def dynamic_supply(spark, sf):
     cat = catalog(spark, sf)
     sample = sampled(cat, SUPPLY, RATE)["events"]

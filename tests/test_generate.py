@@ -1,5 +1,8 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thingroups import AggQuery, Catalog, Predicate, RunConfig, TableSpec
 from thingroups.operators import generate, relational, repair, sampling
@@ -195,3 +198,22 @@ def test_a_run_after_start_up_reads_no_fact_row(spark, tmp_path):
     usual = run.run(query, truth=truth)
     cat.frames["t"] = cat.frames["t"].where(F.raise_error(F.lit("a fact row was read")).cast("boolean"))
     assert run.run(query, truth=truth).keys() == usual.keys()
+
+
+@pytest.mark.parametrize("seed, epsilon", [(1, 0.0), (2, 0.5), (3, 1.0), (42, 0.5)])
+def test_the_fold_allocates_as_the_loop_does(spark, seed, epsilon):
+    draw = random.Random(seed)
+    sizes = spark.createDataFrame([(f"g{i}", draw.randrange(1, 400)) for i in range(12)], "grp string, n bigint")
+    race = repair._race(sizes, 9, seed)
+    lines, judged = [], {}
+    for i in range(12):
+        limit = draw.choice([0, 1, 2, 9])
+        for batch in range(1, 10):
+            judged[f"g{i}", batch] = (batch <= limit, draw.random())
+            lines.append((f"g{i}", batch, *judged[f"g{i}", batch]))
+    plan = repair.allocate(race.collect(), judged, 9, 10, epsilon, seed)
+    table = spark.createDataFrame(lines, "grp string, batch int, accepted boolean, reward double")
+    found = repair.allocation(race, table, 9, 10, epsilon, seed, T.StringType())
+    assert {r["grp"]: r["upto"] for r in found.collect()} == plan.accepted
+    none = repair.allocation(race.limit(0), table.limit(0), 9, 10, epsilon, seed, T.StringType())
+    assert none.collect() == []

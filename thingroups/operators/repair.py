@@ -7,19 +7,20 @@ from dataclasses import dataclass
 from hashlib import md5
 from math import log
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thingroups.functions.draws import SPAN, salted
+from thingroups.functions.draws import SPAN, salted, unit_open
 from thingroups.functions.sums import spread_ratio
 from thingroups.operators.generate import Fit, condition_rows, impute
 from thingroups.operators.relational import group_sizes, left_groups
 from thingroups.operators.sampling import choice_score, supply_weight
+from thingroups.sources.storage import cut
 from thingroups.spec import Predicate, TableSpec
 
 __all__ = [
-    "BatchPlan", "accept_by_cv", "batch_rows", "best_reward", "dynamic_supply", "generate_for",
+    "BatchPlan", "accept_by_cv", "allocation", "batch_rows", "best_reward", "dynamic_supply", "generate_for",
     "sample_moments", "supply_missing_groups", "supply_weight",
 ]
 
@@ -168,6 +169,65 @@ def allocate(race: list, judged: Mapping[tuple, tuple[bool, float]], rounds: int
     return BatchPlan(accepted, picks)
 
 
+def allocation(
+    race: DataFrame, judged: DataFrame, rounds: int, size: int, epsilon: float, seed: int, group_type: T.DataType
+) -> DataFrame:
+    """``(grp, upto)``: the batches that each group gets, as one expression over all rounds.
+
+    The same choices as :func:`allocate`, as a fold: its state has a line for each group picked so far, and
+    every round picks one more by the race or by the rewards. Both tables are bounded by the number
+    of rounds squared; they meet in one row, and nothing comes to the driver."""
+    kind = group_type.simpleString()
+    entry = f"struct<grp: {kind}, n: bigint, done: int, reward: double, retired: boolean>"
+    state_type = f"struct<known: array<{entry}>, stopped: boolean>"
+    option = F.struct("round", "score", "grp", F.col("n").cast("bigint").alias("n"))
+    batch = F.struct("grp", F.col("batch").cast("int").alias("batch"), "reward")
+    lines = race.select(option.alias("option")).unionByName(judged.where("accepted").select(batch.alias("batch")), allowMissingColumns=True)
+    world = lines.agg(F.collect_list("option").alias("options"), F.collect_list("batch").alias("batches"))
+
+    def step(state: Column, t: Column) -> Column:
+        known = state["known"]
+        live = F.filter(known, lambda k: ~k["retired"] & (k["done"] > 0))
+        new = F.filter("options", lambda o: (o["round"] == t) & ~F.exists(known, lambda k: k["grp"] == o["grp"]))
+        again = lambda k: choice_score(k["grp"], supply_weight(k["n"] + k["done"] * size), t, seed)
+        raced = F.array_min(
+            F.concat(
+                F.transform(new, lambda o: F.struct(o["score"].alias("score"), o["grp"].alias("grp"), o["n"].alias("n"))),
+                F.transform(live, lambda k: F.struct(again(k).alias("score"), k["grp"].alias("grp"), k["n"].alias("n"))),
+            )
+        )
+        rewarded = F.array_max(
+            F.transform(live, lambda k, i: F.struct(k["reward"].alias("reward"), (-i).alias("place"), k["grp"].alias("grp"), k["n"].alias("n")))
+        )
+        explores = (unit_open(salted("explore", seed), t) < epsilon) | (F.size(live) == 0)
+        pick = F.when(explores, F.struct(raced["grp"].alias("grp"), raced["n"].alias("n"))).otherwise(
+            F.struct(rewarded["grp"].alias("grp"), rewarded["n"].alias("n"))
+        )
+        return F.get(F.transform(F.array(pick), lambda p: after(state, p)), F.lit(0))
+
+    def after(state: Column, pick: Column) -> Column:
+        known = state["known"]
+        done = F.coalesce(F.get(F.filter(known, lambda k: k["grp"] == pick["grp"]), F.lit(0))["done"], F.lit(0))
+        found = F.get(F.filter("batches", lambda b: (b["grp"] == pick["grp"]) & (b["batch"] == done + 1)), F.lit(0))
+        line = F.struct(
+            pick["grp"].alias("grp"),
+            pick["n"].alias("n"),
+            (done + found["batch"].isNotNull().cast("int")).alias("done"),
+            found["reward"].alias("reward"),
+            found["batch"].isNull().alias("retired"),
+        ).cast(entry)
+        there = F.exists(known, lambda k: k["grp"] == pick["grp"])
+        changed = F.when(there, F.transform(known, lambda k: F.when(k["grp"] == pick["grp"], line).otherwise(k))).otherwise(
+            F.concat(known, F.array(line))
+        )
+        stops = state["stopped"] | pick["grp"].isNull()
+        return F.struct(F.when(stops, known).otherwise(changed).alias("known"), stops.alias("stopped")).cast(state_type)
+
+    begin = F.struct(F.array().cast(f"array<{entry}>").alias("known"), F.lit(False).alias("stopped")).cast(state_type)
+    ended = world.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, step)["known"].alias("known"))
+    return ended.select(F.inline("known")).where("done > 0").select("grp", F.col("done").alias("upto"))
+
+
 def dynamic_supply(
     sample: DataFrame,
     group: str,
@@ -180,29 +240,23 @@ def dynamic_supply(
     size: int = 10,
     epsilon: float = 0.5,
     seed: int = 42,
-) -> tuple[DataFrame, BatchPlan]:
+) -> tuple[DataFrame, DataFrame]:
     """Add generated batches to groups while they lower the coefficient of variation.
 
     Acceptance in one group does not depend on the others, so the batches of all
-    groups that can come up are judged in one job; what reaches the driver is
-    bounded by ``max_batches`` squared, not by groups or rows.
+    groups that can come up are judged in one job, and one fold allocates them: the rows, and
+    ``(grp, upto)`` of the groups that got some. The names of the groups that can come up, at
+    most ``max_batches`` squared, go to the scan of the fitted levels.
     """
-    spark = sample.sparkSession
     spec: TableSpec = fitted.spec
     sizes = group_sizes(sample, group).where(F.col("grp").isNotNull())
-    race = _race(sizes, max_batches, seed).collect()
-    names = sorted({r["grp"] for r in race})
-    listed = spark.createDataFrame([(g,) for g in names], T.StructType([T.StructField("grp", types[group])]))
+    race = cut(_race(sizes, max_batches, seed))
+    names = sorted({r["grp"] for r in race.select("grp").distinct().collect()})
+    listed = sample.sparkSession.createDataFrame([(g,) for g in names], T.StructType([T.StructField("grp", types[group])]))
     made = batch_rows(
         generate_for(listed, predicates, fitted.for_groups(names), types, bounds, max_batches * size, seed), size
     )
-    judged = {}
-    if names:
-        moments = sample_moments(sample, measure)
-        for r in accept_by_cv(made, measure, moments).collect():
-            judged[(r["grp"], r["batch"])] = (r["accepted"], r["reward"])
-    plan = allocate(race, judged, max_batches, size, epsilon, seed)
-    shape = T.StructType([T.StructField("grp", types[group]), T.StructField("upto", T.IntegerType())])
-    limits = spark.createDataFrame(list(plan.accepted.items()), shape)
+    judged = accept_by_cv(made, measure, sample_moments(sample, measure))
+    limits = allocation(race, judged, max_batches, size, epsilon, seed, types[group])
     rows = made.join(limits, "grp").where(F.col("batch") <= F.col("upto"))
-    return rows.select(*[c for c in fitted.columns if c in spec.kinds]), plan
+    return rows.select(*[c for c in fitted.columns if c in spec.kinds]), limits
