@@ -53,10 +53,10 @@ def judged(cat, query=SUPPLY):
     return repair.accept_by_cv(repair.batch_rows(made, SIZE), "value", repair.sample_moments(sample, "value"))
 
 
-def judged_sql(where, value, batches=BATCHES):
+def judged_sql(where, value, batches=BATCHES, sample=None):
     """Batches of the sample's groups and their ratios; ``value`` is the generated measure."""
     return f"""
-WITH s AS (SELECT user_id, value FROM events WHERE {where} AND {IN_SAMPLE}),
+WITH s AS ({sample or f"SELECT user_id, value FROM events WHERE {where} AND {IN_SAMPLE}"}),
 base AS (SELECT COUNT(*) AS n0, avg(value) AS m, var_pop(value) * COUNT(*) AS ss0 FROM s),
 fitted AS (SELECT user_id AS grp, {mean('value')} AS v FROM events WHERE event_type = 'error' GROUP BY 1),
 made AS (SELECT grp, CAST(ceil(i / {SIZE}.0) AS INTEGER) AS batch, {value} AS value
@@ -109,8 +109,10 @@ def rewards(spark, sf):
 EXPLORES = f"((('0x' || substr({h('explore|42', 't + 1')}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE < 0.5)"
 PICKED = f"""(('0x' || substr({h('choice|42', 't + 1, g.grp')}, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE"""
 ENTRY = "STRUCT(grp BIGINT, done INT, reward DOUBLE, retired BOOLEAN)"
-SUPPLIED = f"""
-{judged_sql("event_type = 'error'", "v", 10).replace("WITH s AS", "WITH RECURSIVE s AS", 1).rstrip()},
+def supplied_ctes(sample=None):
+    """CTEs up to ``supplied``: the rows that the bandit adds to a sample in ten rounds of ten rows."""
+    judged_ctes = judged_sql("event_type = 'error'", "v", 10, sample).replace("WITH ", "", 1).strip()
+    return f"""{judged_ctes},
 world AS (
   SELECT list(struct_pack(grp := z.grp, n := z.n, rewards := coalesce(a.rewards, []::DOUBLE[]))) AS groups
   FROM (SELECT user_id AS grp, COUNT(*) AS n FROM s GROUP BY 1) z
@@ -137,13 +139,12 @@ world AS (
           'retired': coalesce(list_filter(known, lambda k: k.grp = g.grp)[1].retired, FALSE)}}) AS standing
         FROM run, world WHERE t < 10)))
 )
-SELECT user_id, event_type, value FROM (
+, supplied AS (SELECT user_id, event_type, value FROM (
   SELECT k.grp AS user_id, 'error' AS event_type, v AS value, unnest(range(k.done * 10)) AS i
-  FROM (SELECT unnest(known) AS k FROM run WHERE t = 10) JOIN fitted ON k.grp = fitted.grp)
-"""
+  FROM (SELECT unnest(known) AS k FROM run WHERE t = 10) JOIN fitted ON k.grp = fitted.grp))"""
 
 
-@check("dynamic_supply", SUPPLIED)
+@check("dynamic_supply", f"WITH RECURSIVE {supplied_ctes()} SELECT user_id, event_type, value FROM supplied")
 def dynamic_supply(spark, sf):
     cat = catalog(spark, sf)
     sample = sampled(cat, SUPPLY, RATE)["events"]

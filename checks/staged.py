@@ -9,7 +9,7 @@ from checks.common import (
     STAR, STAR_COUNT, STAR_COUNT_FROM, TAIL, TAIL_COUNTS, TRUTH, bounds, catalog, check, folder, h, index_of, mean,
     total, u, weight,
 )
-from checks.repair import SUPPLY
+from checks.repair import SUPPLY, supplied_ctes
 from checks.scans import statement_lines
 from checks.scoring import ALIGNED, RATIOS, TAIL_ALIGNED
 from thingroups.plans import workloads
@@ -141,9 +141,37 @@ def staged_avg_join(spark, sf):
     return one_run(spark, sf, STAR, RunConfig(topup_rows=5))
 
 
-@check("staged_avg_supplied")
+SUPPLY_WHERE = "event_type = 'error'"
+SUPPLY_TRUTH = f"SELECT user_id AS grp, {mean('value')} AS value FROM events WHERE {SUPPLY_WHERE} GROUP BY 1"
+SUPPLY_ESTIMATE = f"SELECT user_id AS grp, {mean('value')} AS value FROM events WHERE {SUPPLY_WHERE} AND {IN_SAMPLE} GROUP BY 1"
+SUPPLY_LAST = (
+    f"SELECT user_id AS grp, {mean('value')} AS value FROM (SELECT user_id, value FROM whole"
+    " UNION ALL SELECT user_id, value FROM supplied) GROUP BY 1"
+)
+SUPPLY_STAGES = {
+    "idx": "0",
+    "re_with_samples": scored_sql(SUPPLY_TRUTH, SUPPLY_ESTIMATE, "relative_error"),
+    "num_of_bitmap_ops": "NULL::BIGINT",
+    "num_of_missing_groups": "NULL::BIGINT",
+    "re_after_supply_missing_groups": "NULL::DOUBLE",
+    "num_of_rare_groups": "(SELECT COUNT(*) FROM rare)",
+    "re_after_sampling_rare_groups": scored_sql(SUPPLY_TRUTH, AVG_WHOLE, "relative_error"),
+    "re_after_dynamic_supply": scored_sql(SUPPLY_TRUTH, SUPPLY_LAST, "relative_error"),
+    "re": "NULL::DOUBLE",
+    **{name: scored_sql(SUPPLY_TRUTH, SUPPLY_LAST, name) for name in ("precision", "recall", "missing_rate", "out_rate")},
+}
+
+
+# The whole metric row, but for the seconds: the last stage's supply by the recursive query.
+@check(
+    "staged_avg_supplied",
+    f"WITH RECURSIVE counts AS (SELECT user_id AS grp, COUNT(*)::DOUBLE AS est_count FROM events WHERE {SUPPLY_WHERE} GROUP BY 1),"
+    f" {topup_sql('events', SUPPLY_WHERE, 'event_id', IN_SAMPLE, 'user_id', 5)},"
+    f" {supplied_ctes('SELECT user_id, value FROM whole')} SELECT {stages_sql(SUPPLY_STAGES)}",
+)
 def staged_avg_supplied(spark, sf):
-    return one_run(spark, sf, SUPPLY, RunConfig(topup_rows=5))
+    row = one_run(spark, sf, SUPPLY, RunConfig(topup_rows=5))
+    return row.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in row.dtypes])
 
 
 @check(
