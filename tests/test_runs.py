@@ -143,17 +143,24 @@ def test_statement_shapes(spark):
         "select ss_quantity, avg(ss_list_price) from store_sales join store on ss_store_sk = s_store_sk where s_tax_percentage > 0.05 group by ss_quantity",
         "SELECT ss_quantity, COUNT(ss_list_price) FROM store_sales JOIN store ON s_store_sk = ss_store_sk GROUP BY ss_quantity",
         "SELECT g, AVG(x) FROM t WHERE a = 'O''Hare AND x > 3' GROUP BY g",
+        "SELECT s.ss_quantity, AVG(store_sales.ss_list_price) FROM store_sales GROUP BY ss_quantity",
+        "SELECT store_sales.ss_quantity, AVG(store_sales.ss_list_price) FROM store_sales JOIN store ON store.s_store_sk = store_sales.ss_store_sk"
+        " WHERE Store.s_tax_percentage > 0.05 AND store_sales.ss_quantity = 3 AND s_city = 'a.b' GROUP BY ss_quantity",
         "SELECT g, AVG(x) FROM t WHERE a = 1 OR b = 2 GROUP BY g",
         "SELECT g, MAX(x) FROM t GROUP BY g",
         "SELECT g, AVG(x) FROM t GROUP BY h",
     )
-    assert [r["supported"] for r in rows] == [True, True, True, True, False, False, False]
+    assert [r["supported"] for r in rows] == [True, True, True, True, False, True, False, False, False]
     specs = {**datasets.flights(), **datasets.store_sales(), "t": datasets.TableSpec("t", {"g": "str"})}
     queries = [to_query(r, lambda t: specs[t].kinds) for r in rows[:4]]
     assert queries[0].predicates[2] == Predicate("deststatename", "=", "U.S. Virgin Islands")
     assert queries[1].func == "AVG" and queries[1].join == JoinSpec("store", "ss_store_sk", "s_store_sk")
     assert queries[2].join == queries[1].join
     assert queries[3].predicates == (Predicate("a", "=", "O'Hare AND x > 3"),)
+    named = to_query(rows[5], lambda t: specs[t].kinds)
+    assert (named.group, named.measure, named.join) == ("ss_quantity", "ss_list_price", queries[1].join)
+    assert [p.column for p in named.predicates] == ["s_tax_percentage", "ss_quantity", "s_city"]
+    assert named.predicates[2].value == "a.b"
     with pytest.raises(ValueError):
         to_query(rows[4], lambda t: ())
 

@@ -197,10 +197,11 @@ def topup_rows(
 ) -> DataFrame:
     """Up to ``need`` random candidate rows for every rare group, all groups in one job.
 
-    Rows are ranked before they meet the needs: a need never exceeds ``wanted``,
-    so each task drops all but ``wanted`` rows of a group before the shuffle, and
-    a group with a third of all rows costs no more than any other.
+    Only rows of rare groups are ranked; Spark sends these groups' names around while they are
+    few. A need never exceeds ``wanted``, so each task drops all but ``wanted`` rows of a
+    group before the shuffle, and a group with a third of all rows costs no more than any other.
     """
+    candidates = candidates.join(rare.select(F.col("grp").alias(group)), group, "left_semi").select(*candidates.columns)
     order = Window.partitionBy(group).orderBy("draw", "draw_key")
     ranked = (
         candidates.withColumn("draw", digest(salted(TOPUP_SALT, seed), *key))

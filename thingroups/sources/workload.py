@@ -9,14 +9,15 @@ from thingroups.spec import AggQuery, JoinSpec, Predicate
 
 # The statement shape that can be answered approximately.
 NAME = r"[A-Za-z_]\w*"
+COLUMN = rf"(?:{NAME}\.)?({NAME})"
 LITERAL = r"(?:'(?:[^']|'')*'|[-+]?\d+(?:\.\d+)?)"
-TERM = rf"({NAME})\s*(>=|<=|=|>|<)\s*({LITERAL})"
-WHERE = rf"{NAME}\s*(?:>=|<=|=|>|<)\s*{LITERAL}"
+TERM = rf"{COLUMN}\s*(>=|<=|=|>|<)\s*({LITERAL})"
+WHERE = rf"(?:{NAME}\.)?{NAME}\s*(?:>=|<=|=|>|<)\s*{LITERAL}"
 STATEMENT = (
-    rf"(?i)^SELECT\s+({NAME})\s*,\s*(AVG|SUM|COUNT)\s*\(\s*({NAME})\s*\)\s+FROM\s+({NAME})"
-    rf"(?:\s+(?:INNER\s+)?JOIN\s+({NAME})\s+ON\s+({NAME})\s*=\s*({NAME}))?"
+    rf"(?i)^SELECT\s+{COLUMN}\s*,\s*(AVG|SUM|COUNT)\s*\(\s*{COLUMN}\s*\)\s+FROM\s+({NAME})"
+    rf"(?:\s+(?:INNER\s+)?JOIN\s+({NAME})\s+ON\s+{COLUMN}\s*=\s*{COLUMN})?"
     rf"(?:\s+WHERE\s+({WHERE}(?:\s+AND\s+{WHERE})*))?"
-    rf"\s+GROUP\s+BY\s+({NAME})$"
+    rf"\s+GROUP\s+BY\s+{COLUMN}$"
 )
 
 
@@ -40,7 +41,8 @@ def profile(statements: DataFrame) -> DataFrame:
     """Take statements apart: aggregate, group, tables, predicates.
 
     Works on any number of statements; a statement of another shape is marked
-    unsupported. Names are lower-cased, literals stay as written.
+    unsupported. Names are lower-cased, literals stay as written. A column may be named with
+    its table, if that is one of the statement's tables.
     """
     def part(i: int) -> Column:
         return F.regexp_extract("sql", STATEMENT, i)
@@ -48,13 +50,16 @@ def profile(statements: DataFrame) -> DataFrame:
     def name(i: int) -> Column:
         return F.lower(part(i))
 
+    bare = F.regexp_replace("sql", r"'(?:[^']|'')*'", "")  # without texts
+    qualifiers = F.transform(F.regexp_extract_all(bare, F.lit(rf"({NAME})\.{NAME}"), F.lit(1)), F.lower)
+    known = F.size(F.array_except(qualifiers, F.array(name(4), name(5)))) == 0
     where = part(8)
     columns = F.transform(F.regexp_extract_all(where, F.lit(TERM), F.lit(1)), F.lower)
     operators = F.regexp_extract_all(where, F.lit(TERM), F.lit(2))
     literals = F.regexp_extract_all(where, F.lit(TERM), F.lit(3))
     return statements.select(
         *statements.columns,
-        (F.col("sql").rlike(STATEMENT) & (name(1) == name(9))).alias("supported"),
+        (F.col("sql").rlike(STATEMENT) & (name(1) == name(9)) & known).alias("supported"),
         F.upper(part(2)).alias("func"),
         name(3).alias("measure"),
         name(1).alias("grp_column"),
