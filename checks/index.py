@@ -414,6 +414,41 @@ def bitmap_interpolate_many(spark, sf):
     return rounded(groups.bitmap_group_counts(catalog(spark, sf), TWO_RANGES, index_of(spark, sf, "lineitem")))
 
 
+def tight_weight(column, op, v):
+    """A bin counts by where the literal lies between its least and its largest value."""
+    none = {">": "hi <= {v}", ">=": "hi < {v}", "<": "lo >= {v}", "<=": "lo > {v}"}[op].format(v=v)
+    whole = {">": "lo > {v}", ">=": "lo >= {v}", "<": "hi < {v}", "<=": "hi <= {v}"}[op].format(v=v)
+    way = f"hi - {v}" if op in (">", ">=") else f"{v} - lo"
+    return f"(CASE WHEN {none} THEN 0.0::DOUBLE WHEN {whole} THEN 1.0::DOUBLE ELSE greatest(({way}) / (hi - lo), 0.01::DOUBLE) END)"
+
+
+TIGHT = AggQuery(
+    "COUNT", "l_quantity", "lineitem", "l_partkey",
+    (Predicate("l_returnflag", "=", "R"), Predicate("l_quantity", ">=", 40), Predicate("l_extendedprice", "<", 30000)),
+)
+
+
+@check(
+    "group_count_estimate_bitmap_tight",
+    f"WITH {bounds('lineitem', 'l_quantity', 'q')}, {bounds('lineitem', 'l_extendedprice', 'p')},"
+    f" binned AS (SELECT *, {bin_of('l_quantity', 'q')} AS qb, {bin_of('l_extendedprice', 'p')} AS pb FROM lineitem, q, p),"
+    f" qw AS (SELECT qb, {tight_weight('l_quantity', '>=', '40.0::DOUBLE')} AS w FROM"
+    " (SELECT qb, min(l_quantity)::DOUBLE AS lo, max(l_quantity)::DOUBLE AS hi FROM binned GROUP BY 1)),"
+    f" pw AS (SELECT pb, {tight_weight('l_extendedprice', '<', '30000.0::DOUBLE')} AS w FROM"
+    " (SELECT pb, min(l_extendedprice)::DOUBLE AS lo, max(l_extendedprice)::DOUBLE AS hi FROM binned GROUP BY 1))"
+    " SELECT grp, round(est_count, 6) AS est_count FROM (SELECT l_partkey AS grp, SUM(qw.w * pw.w) AS est_count FROM binned"
+    " JOIN qw ON binned.qb = qw.qb JOIN pw ON binned.pb = pw.pb WHERE l_returnflag = 'R' GROUP BY 1) WHERE est_count > 0",
+)
+def bitmap_tight(spark, sf):
+    return rounded(groups.bitmap_group_counts(catalog(spark, sf), TIGHT, index_of(spark, sf, "lineitem"), tight=True))
+
+
+@check("group_count_estimate_bitmap_tight_exact", f"SELECT l_partkey AS grp, COUNT(*)::DOUBLE AS est_count FROM lineitem WHERE {ITEM_WHERE} GROUP BY 1")
+def bitmap_tight_exact(spark, sf):
+    """Bins of a column of whole numbers hold one value each: the estimate is the count."""
+    return rounded(groups.bitmap_group_counts(catalog(spark, sf), ITEMS, index_of(spark, sf, "lineitem"), tight=True))
+
+
 @check(
     "predict_groups_join_index",
     f"WITH {bounds('lineitem', 'l_extendedprice')} SELECT l_suppkey AS grp, COUNT(*) AS n FROM lineitem, b"

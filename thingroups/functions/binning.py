@@ -129,6 +129,25 @@ def weights_of_bins(op: str, v: float, lo: float, hi: float, bins: int, boundary
     return [1.0 if first <= b <= last else share if boundary and b == at else 0.0 for b in range(bins)]
 
 
+def weights_of_extremes(op: str, v: float, extremes: dict[int, tuple[float, float]], bins: int) -> list[float]:
+    """Weight of each bin under one comparison, from the least and the largest value that it holds: 1 if
+    all its values satisfy the comparison, 0 if none does, else the share of the way between
+    them. Exact for a bin of one value; an equality counts bins that may hold the literal."""
+
+    def weight(least: float, largest: float) -> float:
+        if op == "=":
+            return float(least <= v <= largest)
+        none = {">": largest <= v, ">=": largest < v, "<": least >= v, "<=": least > v}[op]
+        if none:
+            return 0.0
+        if {">": least > v, ">=": least >= v, "<": largest < v, "<=": largest <= v}[op]:
+            return 1.0
+        share = (largest - v if op in (">", ">=") else v - least) / (largest - least)
+        return min(max(share, EDGE_SHARE), 1.0)
+
+    return [weight(*extremes[b]) if b in extremes else 0.0 for b in range(bins)]
+
+
 #: Weight of a bin of which only the raw values tell whether they satisfy a comparison.
 UNCERTAIN = 0.5
 

@@ -47,15 +47,20 @@ def values_factor(containers: DataFrame, negated: bool = False) -> Factor:
     return Factor(lines, (1.0, 0.0) if negated else (0.0, 1.0))
 
 
-#: What a boundary bin counts: nothing, the covered share, or a mark that its rows need a look.
-FULL, SHARE, UNCERTAIN = "full", "share", "uncertain"
+#: What a boundary bin counts: nothing, the covered share of its width, a mark that its rows need a
+#: look, or the covered share of the way between its least and its largest value.
+FULL, SHARE, UNCERTAIN, TIGHT = "full", "share", "uncertain", "tight"
 
 
-def bin_weights(predicates: Sequence[Predicate], lo: float, hi: float, bins: int, boundary: str) -> list[float]:
+def bin_weights(
+    predicates: Sequence[Predicate], lo: float, hi: float, bins: int, boundary: str, extremes: dict[int, tuple[float, float]] | None = None
+) -> list[float]:
     """Weight of each bin under all predicates of a numeric column."""
     weights = [1.0] * bins
     for p in predicates:
-        if boundary == UNCERTAIN:
+        if boundary == TIGHT:
+            one = binning.weights_of_extremes(p.op, float(p.value), extremes or {}, bins)
+        elif boundary == UNCERTAIN:
             one = binning.certainty_of_bins(p.op, float(p.value), lo, hi, bins)
         else:
             one = binning.weights_of_bins(p.op, float(p.value), lo, hi, bins, boundary == SHARE)

@@ -154,7 +154,8 @@ def query_factors(catalog: Catalog, query: AggQuery, index: BitmapIndex, boundar
         elif column in bounds:
             dtype = catalog.frame(query.table).schema[column].dataType
             numbered = [Predicate(column, p.op, number_of(p.value, dtype)) for p in predicates]
-            weights = factors.bin_weights(numbered, *bounds[column], index.bins, boundary)
+            extremes = index.bin_extremes(column) if boundary == factors.TIGHT else None
+            weights = factors.bin_weights(numbered, *bounds[column], index.bins, boundary, extremes)
             out.append(factors.steps_factor(index.slices(column), weights))
         else:  # all NULL
             out.append(factors.values_factor(index.read(column)))
@@ -206,15 +207,16 @@ def predict_groups(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> Dat
     return _typed(catalog, query, bitmaps.counts_within(index.read(query.group), inside))
 
 
-def bitmap_group_counts(catalog: Catalog, query: AggQuery, index: BitmapIndex) -> DataFrame:
+def bitmap_group_counts(catalog: Catalog, query: AggQuery, index: BitmapIndex, tight: bool = False) -> DataFrame:
     """``(grp, est_count)`` by bitmap algebra alone.
 
     A packed index interpolates: a row counts with the product of its bins' weights, all
-    in one pass over the containers. On a closed index the boundary bin of each range predicate is
+    in one pass over the containers; ``tight`` interpolates between the values that a
+    bin holds, which is exact where it holds one. On a closed index the boundary bin of each range predicate is
     intersected with rows that are already inside the full bins, so it adds the edge rows.
     """
     if index.packed:
-        found = query_factors(catalog, query, index, factors.SHARE)
+        found = query_factors(catalog, query, index, factors.TIGHT if tight else factors.SHARE)
         groups = index.read(query.group)
         if found:
             counted = factors.count_groups(groups, found).select("value", "weight")

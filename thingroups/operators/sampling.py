@@ -201,17 +201,15 @@ def topup_rows(
     few. A need never exceeds ``wanted``, so each task drops all but ``wanted`` rows of a
     group before the shuffle, and a group with a third of all rows costs no more than any other.
     """
-    candidates = candidates.join(rare.select(F.col("grp").alias(group)), group, "left_semi").select(*candidates.columns)
     order = Window.partitionBy(group).orderBy("draw", "draw_key")
+    needs = rare.select(F.col("grp").alias(group), "need")
     ranked = (
-        candidates.withColumn("draw", digest(salted(TOPUP_SALT, seed), *key))
+        candidates.join(needs, group).withColumn("draw", digest(salted(TOPUP_SALT, seed), *key))
         .withColumn("draw_key", F.concat_ws("|", *key))
         .withColumn("draw_rank", F.row_number().over(order))
-        .where(F.col("draw_rank") <= wanted)
+        .where((F.col("draw_rank") <= wanted) & (F.col("draw_rank") <= F.col("need")))
     )
-    needs = rare.select(F.col("grp").alias(group), "need")
-    taken = ranked.join(needs, group).where(F.col("draw_rank") <= F.col("need"))
-    return taken.select(*candidates.columns)
+    return ranked.select(*candidates.columns)
 
 
 def union_rows(sample: DataFrame, extra: DataFrame) -> DataFrame:

@@ -151,9 +151,12 @@ class StagedRun:
         cfg = self.config
         index = self.index
         closed = index is not None and index.closed and cfg.count_mode == "reference"
-        if closed or index is not None and index.packed and index.bins == cfg.bins and cfg.count_mode == "interpolate":
+        tight = cfg.count_mode == "tight"
+        if tight and (index is None or not index.packed):
+            raise ValueError("tight counts need a packed index")
+        if closed or tight or index is not None and index.packed and index.bins == cfg.bins and cfg.count_mode == "interpolate":
             counts = self._timed(
-                "predict_groups_latency", lambda: bitmap_group_counts(self.catalog, query, self.index)
+                "predict_groups_latency", lambda: bitmap_group_counts(self.catalog, query, self.index, tight)
             )
         else:
             rows = index_rows(self.catalog, query, self.index, cfg.seed)

@@ -12,7 +12,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thingroups.functions import binning
 from thingroups.functions.draws import keep, salted
+from thingroups.functions.numbers import as_number
 from thingroups.operators import bitmaps, packing
 from thingroups.sources.catalog import Catalog, key_parts, scan_bernoulli, scan_stored
 from thingroups.spec import JoinSpec, TableSpec
@@ -140,6 +142,7 @@ class BitmapIndex:
         form = "packed" if self.packed else f"{'closed' if closed else 'open'}_{layout}"
         self.bitmaps_path = f"{base}/bitmaps_{bins}_{form}"
         self._opened: dict[str, DataFrame] = {}
+        self._extremes: dict[str, dict[int, tuple[float, float]]] | None = None
 
     def _open(self, path: str) -> DataFrame:
         """A stored table; its files are listed once, not at every use."""
@@ -294,6 +297,24 @@ class BitmapIndex:
         """Cumulative slices of a numeric column."""
         return self._layer(self.bitmaps_path, packing.SLICES).where(F.col("column") == column)
 
+    def bin_extremes(self, column: str) -> dict[int, tuple[float, float]]:
+        """The least and the largest value of each bin of a numeric column, found once for all of them:
+        two numbers a bin."""
+        if self._extremes is None:
+            bounds, rows = self.catalog.bounds(self.table), self.rows()
+            cells = []
+            for c in self.spec.numeric:
+                if c in bounds:
+                    x = as_number(F.col(c), rows.schema[c].dataType)
+                    cells.append(F.struct(F.lit(c).alias("column"), binning.bin_of(x, *bounds[c], self.bins).alias("bin"), x.alias("x")))
+            each = rows.select(F.inline(F.array(*cells))).where("x IS NOT NULL")
+            found = each.groupBy("column", "bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+            extremes: dict[str, dict[int, tuple[float, float]]] = {}
+            for r in write_once(found, self._extra_path("extremes")).collect():
+                extremes.setdefault(r["column"], {})[r["bin"]] = (r["lo"], r["hi"])
+            self._extremes = extremes
+        return self._extremes.get(column, {})
+
     # --- marks and joins ---
 
     def _extra_path(self, name: str) -> str:

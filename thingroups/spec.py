@@ -115,7 +115,7 @@ class RunConfig:
     seed: int = 42
     repair: str = "topup"          # or "generate"
     topup_source: str = "rows"     # or "index": rows are chosen on the bitmap index
-    count_mode: str = "interpolate"  # or "reference" / "exact"
+    count_mode: str = "interpolate"  # or "reference" / "exact" / "tight" (with a packed index)
     allow_duplicates: bool = False
     null_share: bool = True
 
@@ -124,7 +124,7 @@ class RunConfig:
             raise ValueError(f"unknown repair '{self.repair}'")
         if self.topup_source not in ("rows", "index"):
             raise ValueError(f"unknown source of top-up rows '{self.topup_source}'")
-        if self.count_mode not in ("interpolate", "reference", "exact"):
+        if self.count_mode not in ("interpolate", "reference", "exact", "tight"):
             raise ValueError(f"unknown count mode '{self.count_mode}'")
 
 
