@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -351,3 +352,32 @@ def test_top_k_of_huge_components(spark):
     got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()]
     top = 2**63 - 1
     assert sorted(got) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 2, -top)]
+
+
+def test_toxicity_query_against_all_cosines(spark):
+    documents = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where(F.expr("pmod(crc32(cast(doc_id AS string)), 5) != 0"))
+    model = toxicity.learn(documents, labels)
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+
+    def vector(text):
+        counts = Counter(w for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if w in model.numbers)
+        raw = np.zeros(len(model.numbers))
+        for w, n in counts.items():
+            raw[model.numbers[w]] = (1 + np.log(n)) * model.idf[model.numbers[w]]
+        return raw / (np.linalg.norm(raw) or 1)
+
+    examples = np.array([vector(texts[i]) for i in model.ids])
+    place = {row: p for p, row in enumerate(model.index.order)}
+    got = {r["doc_id"]: r for r in load()["op1_toxicity"][0](spark, DATA).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        cosines = np.round(examples @ vector(text), 12)
+        near = sorted((row for row in np.flatnonzero(cosines > 0).tolist()), key=lambda r: (-cosines[r], place[r]))[:15]
+        weights = [cosines[r] ** 4 for r in near]
+        vote = (model.prior + sum(w * model.labels[r] for w, r in zip(weights, near, strict=True))) / (1 + sum(weights))
+        score = float(np.interp(round(vote, 9), model.steps, model.levels))
+        row = got[i]
+        assert row["score"] == pytest.approx(score, abs=1e-6) and row["predicted"] == int(row["score"] >= 0.5)
+        assert row["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert sorted(n["cosine"] for n in row["neighbours"]) == pytest.approx(sorted(cosines[near].tolist()), abs=1e-9)
