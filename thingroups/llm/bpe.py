@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from thingroups.llm.common import map_batches
 
 #: Pieces and neighbour pairs that a worker remembers; beyond that it starts anew.
-REMEMBERED_PIECES = 250_000
-REMEMBERED_PAIRS = 250_000
+REMEMBERED_PIECES = 120_000
+REMEMBERED_PAIRS = 120_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -32,6 +34,16 @@ def on_workers(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and several share a machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this system
+        pass
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows that are few and small; one row is never cut."""
     pending = [batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)][::-1]
@@ -64,7 +76,7 @@ def map_batches(
             columns = [out[f.name] for f in arrow]
             columns = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-        pa.default_memory_pool().release_unused()  # workers outlive their tasks
+        give_back()
 
     return on_workers(df).select(*columns).mapInArrow(run, schema)
 
