@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -88,11 +89,53 @@ def test_counts_equal_the_library():
     machine = token_counts.Transducer(merges)
     assert machine.count(texts).tolist() == expected
     assert machine.count(texts, chunk_bytes=7).tolist() == expected
+    assert machine.count(texts, chunk_bytes=5, warm_bytes=0).tolist() == expected
     small = token_counts.Transducer(merges, most_states=300)
     assert [int(small.count([t])[0]) for t in texts[:200]] == expected[:200]
     assert len(small.states) <= 600
 
 
+def long_texts():
+    draw = random.Random(5)
+    cyrillic = " ".join("".join(draw.choice("абвгдежзиклмнопрстуюя") for _ in range(draw.randint(2, 9))) for _ in range(12_000))
+    chinese = "".join(chr(draw.randint(0x4E00, 0x4FFF)) for _ in range(20_000)) + "。"
+    return [cyrillic, chinese, "z" * 9_000, " \u3000\u00a0" * 3_000, "a1" * 5_000, "<|endoftext|>é" * 2_000, "'" * 5_001 + "ll"]
+
+
+def test_chunks_of_texts_without_safe_places():
+    library = Tokenizer.from_file(SPEC)
+    texts = long_texts()
+    expected = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    with open(SPEC, encoding="utf-8") as f:
+        machine = token_counts.Transducer(token_counts.Merges(f.read()))
+    assert machine.count(texts).tolist() == expected
+    assert machine.count(texts[1:], chunk_bytes=130, warm_bytes=3).tolist() == expected[1:]
+    assert machine.count(texts[::-1]).tolist() == expected[::-1]
+
+
+def test_chunk_maps_compose():
+    """The scan against a walk through the chunks; every chunk has three runs at most."""
+    with open(SPEC, encoding="utf-8") as f:
+        machine = token_counts.Transducer(token_counts.Merges(f.read()))
+    runs, run = [], machine.run
+    machine.run = lambda data, starts, ends, enter: runs.append(ends - starts) or run(data, starts, ends, enter)
+    for text in ODD[1:] + [t[:4_000] for t in long_texts()]:
+        data = text.encode()
+        symbols = np.frombuffer(data, np.uint8)
+        cuts = np.unique([0, *token_counts._whole_characters(symbols, np.arange(0, len(data), 16)), len(data)])
+        opens = np.arange(len(cuts) - 1) == 0
+        runs.clear()
+        chunks = token_counts.Chunks(machine, data, symbols, cuts, opens, 4)
+        total = chunks.totals()
+        assert sum(int(r.sum()) for r in runs) <= 3 * len(data) + 4 * len(cuts)
+        place, walked = 0, 0
+        for i in range(len(opens)):
+            walked += int(chunks.change[i, place])
+            place = int(chunks.to[i, place])
+        whole, change = run(symbols, cuts[:1], cuts[-1:], [token_counts._BEGIN])
+        assert total.tolist() == [walked] == (change + machine.rest[whole]).tolist()
+
+
 def test_count_query(spark, documents):
     library = Tokenizer.from_file(SPEC)
     got = {r["doc_id"]: r for r in load()["op9_token_counts"][0](spark, DATA).collect()}

@@ -8,10 +8,13 @@ says by how much the count of the text so far changes. States are found and
 numbered as texts need them; then a transition is one look-up in a table, made
 for thousands of chunks at once.
 
-Texts are cut into chunks before a space that follows a visible ASCII character.
-There every state ends its piece of text, so a chunk's map from the state it starts in
-is constant up to what the state before it still had to emit. Maps of this form
-compose by addition, and the scan over the chunks of a text is a prefix sum.
+Texts are cut into chunks at any character, and all chunks run at once. A chunk has a map
+from the states that may be live at its start to the state at its end and the change of the
+count. Its first live state comes from a run over the few bytes before it, the second is where
+its predecessor ended. Maps compose, and a prefix scan over the chunks of a text gives its
+state and count at each chunk's end. Where the scan arrives in a state that is not among a
+chunk's live ones, which takes a piece of text longer than a chunk, the chunk is run from
+that state too and scanned again. So no chunk is run more than three times.
 
 Edge cases: NULL and empty texts have no tokens; texts of any length are counted
 whole; repeated rows are counted each; an empty table gives an empty table;
@@ -35,11 +38,14 @@ from thingroups.llm.common import map_batches
 #: that the machine keeps the states in use and finds the others again.
 MOST_STATES = 131_072
 CHUNK_BYTES = 2_048
+#: Bytes before a chunk that are run for its first live state.
+WARM_BYTES = 64
 #: A packed transition: the next state times SHIFT, plus the change of the count and BIAS.
 SHIFT, BIAS = 256, 128
 
 START, SPACE, APOSTROPHE, HALF = "start", "space", "apostrophe", "half"
 LETTER, NUMBER, OTHER = "letter", "number", "other"
+_BEGIN = (START, None, "", b"")
 _KINDS = ((LETTER, regex.compile(r"\p{L}")), (NUMBER, regex.compile(r"\p{N}")), (SPACE, regex.compile(r"\s")))
 #: After an apostrophe at the start of a piece: endings of one letter, and first letters of those of two.
 SHORT_ENDINGS, LONG_ENDINGS = "stmd", {"r": "e", "v": "e", "l": "l"}
@@ -119,7 +125,7 @@ class Transducer:
         self.numbers: dict = {}
         self.table = np.full((1024, 256), -1, np.int32)
         self.rest = np.zeros(1024, np.int64)
-        for state in [(START, None, "", b""), *keep]:
+        for state in [_BEGIN, *keep]:
             self.number(state)
 
     def number(self, state: tuple) -> int:
@@ -221,11 +227,12 @@ class Transducer:
 
     # --- running it -----------------------------------------------------------
 
-    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk ``data[start:end]``, what its end state holds back included."""
+    def run(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, enter: list) -> tuple[np.ndarray, np.ndarray]:
+        """The state in which each stretch ``data[start:end]`` ends, from the state it is
+        entered in, and the change of the count; ends are valid until the next run."""
         order = np.argsort(starts - ends, kind="stable")
         at, left = starts[order].astype(np.int64), (ends - starts)[order]
-        state = np.zeros(len(at), np.int64)
+        state = np.array([self.number(enter[i]) for i in order.tolist()], np.int64)
         counts = np.zeros(len(at), np.int64)
         lanes = len(at) - np.searchsorted(left[::-1], np.arange(int(left[0]) if len(left) else 0), side="right")
         for i, n in enumerate(lanes):
@@ -244,42 +251,119 @@ class Transducer:
                 packed = self.table[state[:n], symbols]
             state[:n] = packed // SHIFT
             counts[:n] += packed % SHIFT - BIAS
-        out = np.empty(len(at), np.int64)
-        out[order] = counts + self.rest[state]
-        return out
+        exits, changes = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+        exits[order], changes[order] = state, counts
+        return exits, changes
 
-    def count(self, texts: list[str | None], chunk_bytes: int = CHUNK_BYTES) -> np.ndarray:
+    def count(self, texts: list[str | None], chunk_bytes: int = CHUNK_BYTES, warm_bytes: int = WARM_BYTES) -> np.ndarray:
         """Tokens of each text; special tokens in it count as one each."""
         specials = regex.compile("|".join(map(regex.escape, self.merges.specials)) or r"(?!)")
         parts, owners, found = [], [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            pieces = specials.split(text) if text else []
+            pieces = [p.encode() for p in specials.split(text)] if text else []
             found[i] = max(0, len(pieces) - 1)
-            parts += [p.encode() for p in pieces]
+            pieces = [p for p in pieces if p]
+            parts += pieces
             owners += [i] * len(pieces)
-        data = np.frombuffer(b"".join(parts), np.uint8)
+        if not parts:
+            return found
+        data = b"".join(parts)
+        symbols = np.frombuffer(data, np.uint8)
         ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
-        starts = ends - [len(p) for p in parts]
-        cuts, chunk_owner = self._cuts(data, starts, ends, chunk_bytes)
-        counts = self.run(data, cuts[:, 0], cuts[:, 1])
-        return found + np.bincount(np.array(owners, np.int64)[chunk_owner], counts, len(texts)).astype(np.int64)
-
-    @staticmethod
-    def _cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks of about that size and the text each belongs to; a text without a
-        safe place stays whole."""
-        safe = np.flatnonzero((data[1:] == 0x20) & (data[:-1] > 0x20) & (data[:-1] < 0x7F)) + 1
-        spans, owner = [], []
-        for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            if end - start > chunk_bytes:
-                wanted = np.arange(start + chunk_bytes, end, chunk_bytes)
-                places = safe[np.minimum(np.searchsorted(safe, wanted), len(safe) - 1)] if len(safe) else wanted[:0]
-                edges = np.unique(np.concatenate([[start], places[(places > start) & (places < end)], [end]])).tolist()
-            else:
-                edges = [start, end]
-            spans += list(zip(edges[:-1], edges[1:], strict=True))
-            owner += [i] * (len(edges) - 1)
-        return np.array(spans, np.int64).reshape(-1, 2), np.array(owner, np.int64)
+        starts = np.concatenate([[0], ends[:-1]])
+        long = np.flatnonzero(ends - starts > chunk_bytes)
+        cuts = [np.arange(starts[i] + chunk_bytes, ends[i], chunk_bytes) for i in long]
+        cuts = _whole_characters(symbols, np.concatenate([starts, *cuts]))
+        cuts = np.unique(np.append(cuts, ends[-1]))
+        chunks = Chunks(self, data, symbols, cuts, np.isin(cuts[:-1], starts), warm_bytes)
+        return found + np.bincount(np.array(owners, np.int64), chunks.totals(), len(texts)).astype(np.int64)
+
+
+def _whole_characters(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places, moved back to where a character begins."""
+    for _ in range(3):
+        places = places - ((symbols[places] & 0xC0) == 0x80)
+    return places
+
+
+class Chunks:
+    """Chunks of texts with their maps. ``cuts`` are the edges of all chunks, one behind the other;
+    ``opens`` tells which chunks begin a text.
+
+    Chunk i has up to SLOTS live states. ``to[i, k]`` is the place, among the live states of chunk
+    i + 1, of the state that chunk i leads to from its k-th (-1: not among them), ``change[i, k]`` the
+    change of the count. The last chunk of a text adds what its end state held back, and leads to place 0.
+    """
+
+    #: The state of the run before the chunk, the predecessor's end, and the one that the scan arrives in.
+    SLOTS = 3
+
+    def __init__(self, machine: Transducer, data: bytes, symbols: np.ndarray, cuts: np.ndarray, opens: np.ndarray, warm: int):
+        self.machine, self.symbols = machine, symbols
+        self.starts, self.ends, self.opens = cuts[:-1], cuts[1:], opens
+        self.closes = np.append(opens[1:], True)
+        n = len(opens)
+        self.to = np.full((n, self.SLOTS), -1, np.int64)
+        self.change = np.zeros((n, self.SLOTS), np.int64)
+        self.live: list[list[tuple]] = [[] for _ in range(n)]
+        self.exits: list[list[tuple]] = [[] for _ in range(n)]
+        inner = np.flatnonzero(~opens)
+        first = self.starts[np.flatnonzero(opens)[np.cumsum(opens) - 1]][inner]
+        begin = _whole_characters(symbols, np.maximum(first, self.starts[inner] - warm))
+        for j, (a, z, least) in enumerate(zip(begin.tolist(), self.starts[inner].tolist(), first.tolist(), strict=True)):
+            if a > least:  # most likely every piece of text ends before a space
+                begin[j] = max(a, data.find(b" ", a, z))
+        guessed = [_BEGIN] * n
+        warmed, _ = machine.run(symbols, begin, self.starts[inner], [_BEGIN] * len(inner))
+        for i, state in zip(inner.tolist(), warmed.tolist(), strict=True):
+            guessed[i] = machine.states[state]
+        self._extend(np.arange(n), guessed)
+        onward = [i for i in inner.tolist() if self.to[i - 1, 0] < 0]
+        self._extend(np.array(onward, np.int64), [self.exits[i - 1][0] for i in onward])
+
+    def _extend(self, chunks: np.ndarray, states: list[tuple]) -> None:
+        """Extend the maps of the chunks by one live state each."""
+        ends, changes = self.machine.run(self.symbols, self.starts[chunks], self.ends[chunks], states)
+        held_back = self.machine.rest[ends]
+        for j, (i, end) in enumerate(zip(chunks.tolist(), ends.tolist(), strict=True)):
+            k = len(self.live[i])
+            self.live[i].append(states[j])
+            self.change[i, k] = changes[j] + (held_back[j] if self.closes[i] else 0)
+            self.exits[i].append(_BEGIN if self.closes[i] else self.machine.states[end])
+        for i in {j for i in chunks.tolist() for j in (i, i - 1) if j >= 0}:
+            for k, state in enumerate(self.exits[i]):
+                if self.closes[i]:
+                    self.to[i, k] = 0
+                elif state in self.live[i + 1]:
+                    self.to[i, k] = self.live[i + 1].index(state)
+
+    def _scan(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk the place its end state has in the next one and the count from the
+        beginning of its text; -1 from where the maps do not know the state."""
+        to, change, reached = self.to.copy(), self.change.copy(), self.opens.copy()
+        step = 1
+        while not reached.all():
+            # blocks that do not yet reach back to the beginning take in the block before them
+            late = np.flatnonzero(~reached)
+            middle = to[late - step]
+            known = middle >= 0
+            place = np.where(known, middle, 0)
+            after = np.where(known, np.take_along_axis(to[late], place, 1), -1)
+            total = change[late - step] + np.take_along_axis(change[late], place, 1)
+            to[late], change[late], reached[late] = after, total, reached[late - step]
+            step *= 2
+        return to[:, 0], change[:, 0]
+
+    def totals(self) -> np.ndarray:
+        """Tokens of each text."""
+        while True:
+            places, counts = self._scan()
+            lost = np.flatnonzero((places < 0) & np.append(True, self.opens[1:] | (places[:-1] >= 0)))
+            if not len(lost):
+                return counts[self.closes]
+            # the chunk after is entered in a state that it has no map for
+            entered = [0 if self.opens[i] else int(places[i - 1]) for i in lost.tolist()]
+            self._extend(lost + 1, [self.exits[i][k] for i, k in zip(lost.tolist(), entered, strict=True)])
 
 
 _machines: dict[int, Transducer] = {}
