@@ -7,6 +7,7 @@ from checks.common import FLAGSHIP, STAR, catalog
 from conftest import DATA
 from thingroups import AggQuery, Catalog, JoinSpec, Predicate, RunConfig
 from thingroups.operators import estimate, filters, relational, sampling
+from thingroups.operators.partial_fit import StoredModel
 from thingroups.operators.relational import exact
 from thingroups.operators.score import score
 from thingroups.plans import workloads
@@ -259,3 +260,18 @@ def test_statements_of_the_flights_shape(spark, flights_cat, repair):
     assert rows[0][stage] <= rows[0]["re_with_samples"]
     assert rows[1]["re_after_dynamic_supply"] < 1 and rows[2]["re"] < 1
     assert rows[1]["recall"] == 1.0
+
+
+def test_levels_of_a_stored_model_are_looked_up_once(spark, tmp_path):
+    cat = catalog(spark, DATA)
+    model = StoredModel(spark, cat.spec("events"), FLAGSHIP.group, str(tmp_path))
+    model.add("all", cat.frame("events"))
+    first = model.levels()
+    spark.sparkContext.setJobGroup("levels", "levels")
+    try:
+        again = model.levels()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("levels") == [] and again == first
+    model.add("more", cat.frame("events"))
+    assert model.levels()[1].first()["fit_rows"] == 2 * first[1].first()["fit_rows"]

@@ -84,24 +84,28 @@ class StoredModel:
         self.columns = list(columns or spec.columns)
         self.path = f"{model_path(folder, dataset, spec, group, self.columns)}/parts"
         self._parts: dict[str, DataFrame] = {}
+        self._levels: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     def add(self, name: str, rows: DataFrame) -> None:
         """Read a part and keep its sums; a part of that name that is there already is not read again."""
         self._parts[name] = write_once(partial_fit(rows, self.spec, self.group, self.columns), f"{self.path}/{name}")
 
     def levels(self) -> tuple[DataFrame, DataFrame]:
-        """By group, and overall, of the parts added so far."""
+        """By group, and overall, of the parts added so far; written or looked up once for each set of parts."""
         if not self._parts:
             raise ValueError("no part was added")
         parts = [self._parts[name] for name in sorted(self._parts)]
         place = f"{self.path}-{sha1(repr(sorted(self._parts)).encode()).hexdigest()[:16]}"
+        if place in self._levels:
+            return self._levels[place]
         # groups with few rows have many lines in all: add up first, then look at values
         by_group = merged(parts)
         shape = lambda lines, by: _fitted(lines, self.spec, self.group, self.columns, by)
-        return (
+        self._levels[place] = (
             write_once(shape(by_group, ["grp"]), f"{place}/by_group"),
             write_once(shape(merged(parts, ()), []), f"{place}/overall"),
         )
+        return self._levels[place]
 
     def fit(self, predicates: Sequence[Predicate] = (), sample: DataFrame | None = None) -> Fit:
         """The fit of a query; its equalities are learned from ``sample``, if there is one."""

@@ -16,7 +16,6 @@ from thingroups.functions.sums import spread_ratio
 from thingroups.operators.generate import Fit, condition_rows, impute
 from thingroups.operators.relational import group_sizes, left_groups
 from thingroups.operators.sampling import choice_score, supply_weight
-from thingroups.sources.storage import cut
 from thingroups.spec import Predicate, TableSpec
 
 __all__ = [
@@ -245,14 +244,17 @@ def dynamic_supply(
 
     Acceptance in one group does not depend on the others, so the batches of all
     groups that can come up are judged in one job, and one fold allocates them: the rows, and
-    ``(grp, upto)`` of the groups that got some. The names of the groups that can come up, at
-    most ``max_batches`` squared, go to the scan of the fitted levels.
+    ``(grp, upto)`` of the groups that got some. The lines of the race, ``max_batches`` + 1
+    for each of its rounds, come to the driver, and the names in them go to the scan of the fitted levels.
     """
     spec: TableSpec = fitted.spec
     sizes = group_sizes(sample, group).where(F.col("grp").isNotNull())
-    race = cut(_race(sizes, max_batches, seed))
-    names = sorted({r["grp"] for r in race.select("grp").distinct().collect()})
-    listed = sample.sparkSession.createDataFrame([(g,) for g in names], T.StructType([T.StructField("grp", types[group])]))
+    spark = sample.sparkSession
+    raced = _race(sizes, max_batches, seed)
+    candidates = raced.collect()
+    race = spark.createDataFrame(candidates, raced.schema)
+    names = sorted({r["grp"] for r in candidates})
+    listed = spark.createDataFrame([(g,) for g in names], T.StructType([T.StructField("grp", types[group])]))
     made = batch_rows(
         generate_for(listed, predicates, fitted.for_groups(names), types, bounds, max_batches * size, seed), size
     )
