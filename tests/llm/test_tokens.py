@@ -52,6 +52,38 @@ def test_encoder_goes_back_from_longest_matches():
         assert list(encoder[text]) == library.encode_ordinary(text)
 
 
+def test_pieces_learned_side_by_side(monkeypatch):
+    """As the library gives them, over forgotten pieces and kept answers; no short piece is tested by itself."""
+    with open(RANKS, "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    first = bpe.PieceEncoder(ranks)
+    encoder = bpe.PieceEncoder(ranks, *first.tables())
+    texts = ODD + random_texts() + ["rtherlyatschè Keitgewon étionou" * 3]
+    found = [bpe.regex.findall(public_tokenizers.PATTERN, text) for text in texts]
+    monkeypatch.setattr(bpe, "KEPT_ANSWERS", 16)
+    monkeypatch.setattr(bpe, "REMEMBERED_PIECES", 40)
+    for text, pieces in list(zip(texts, found, strict=True)) * 2:
+        encoder.learn(set(pieces))
+        assert all(p in encoder for p in pieces if 0 < len(p.encode()) <= bpe.SIDE_BY_SIDE)
+        assert [i for p in pieces for i in encoder[p]] == library.encode_ordinary(text)
+    monkeypatch.setattr(first.neighbours, "fit", lambda *_: pytest.fail("tested one by one"))
+    first.learn({p for pieces in found for p in pieces if len(p.encode()) <= bpe.SIDE_BY_SIDE})
+
+
+def test_side_by_side_goes_back_from_longest_matches():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"cd": 259, b"bcd": 260}
+    library = tiktoken.Encoding("small", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcd") for _ in range(draw.randint(1, 12))) for _ in range(500)]
+    encoder = bpe.PieceEncoder(ranks)
+    encoder.learn(set(texts))
+    assert all(list(dict(encoder)[text]) == library.encode_ordinary(text) for text in texts)
+    lacking = bpe.PieceEncoder({b"a": 0, b"b": 1, b"ab": 2})
+    with pytest.raises(ValueError):
+        lacking.learn({"ab", "abc"})
+
+
 def test_digest_query(spark, documents):
     library = tiktoken.Encoding(
         "own",
